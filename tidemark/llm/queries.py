@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash
+from . import bpe, decontaminate, hpylm, quality, secrets, simhash
 from .common import table, whole_text
 
 
@@ -21,6 +21,10 @@ def _split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("word_bpe_49k.json")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -39,6 +43,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
@@ -63,5 +71,5 @@ select d.doc_id, len(d.w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(it.n
 from d left join hit using (doc_id) left join it using (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_secrets, op7_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_hpylm, op5_bpe, op6_secrets, op7_simhash, op8_quality, op10_decontaminate)}
 ORACLES = {"op10_decontaminate": OP10_SQL}
