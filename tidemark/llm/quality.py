@@ -98,7 +98,7 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return each.select(*[F.col("x.rows")[c].alias(c) for c in keys], F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.score").alias("log_perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", middle: float = 0.5, upper: float = 0.9, reach: float = 4.0, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", middle: float = 0.5, upper: float = 0.9, reach: float = 8.0, order: int = ORDER) -> DataFrame:
     """(id_col, lang_col, n_bytes, log_perplexity, log_limit, accepted), one row for each row of docs.
 
     labels: (id_col, quality); documents labelled 1 are the trusted text, all of them. log_limit of a language is q(middle) +

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hpylm, quality, secrets, simhash
+from . import bpe, decontaminate, hpylm, licenses, quality, rules, secrets, shards, simhash, substrings
 from .common import table, whole_text
 
 
@@ -21,10 +21,25 @@ def _split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated(table(spark, sf_dir, "documents"), keep_bytes=False)
+    return found.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "line")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("word_bpe_49k.json")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -47,6 +62,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = rules.apply(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    s = {k: F.col(f"stats.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+    return found.select("doc_id", *[c.alias(k) for k, c in s.items()], failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), F.col("rule").cast("int").alias("rule"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
@@ -71,5 +93,5 @@ select d.doc_id, len(d.w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(it.n
 from d left join hit using (doc_id) left join it using (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_hpylm, op5_bpe, op6_secrets, op7_simhash, op8_quality, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_hpylm, op3_substrings, op4_licenses, op5_bpe, op6_secrets, op7_simhash, op8_quality, op9_rules, op10_decontaminate)}
 ORACLES = {"op10_decontaminate": OP10_SQL}

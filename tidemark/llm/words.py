@@ -58,6 +58,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of BASE and of its inverse."""
+    return _powers(1 << max(16, int(n).bit_length()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -67,8 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand."""
-    n = 1 << max(16, int(len(body) + 1).bit_length())
-    up, down = _powers(n)
+    up, down = powers(len(body) + 1)
     sums = np.zeros(len(body) + 1, np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
