@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import fresh
-from .words import ALNUM, LOWER, span_hashes, text_bytes, word_spans
+from .words import ALNUM, LOWER, parts, span_hashes, text_bytes, word_spans
 
 RESULT = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(StringType())), StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))])
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -106,15 +106,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t")), F.max(F.octet_length("t"))).first()
     n_blocks = -(-(total[0] or 0) // max_pattern_bytes) or 1
-    parts = []
+    finds = []
     docs = docs.drop(out)
     for b in range(n_blocks):
         rows = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b).toLocalIterator()] if n_blocks > 1 else [(r.i, r.t) for r in items.collect()]
-        parts.append(_finder(rows, window)(F.col(text_col)))
-    if len(parts) == 1:
-        return docs.withColumn(out, parts[0])
+        finds.append(_finder(rows, window)(F.col(text_col)))
+    if len(finds) == 1:
+        return docs.withColumn(out, finds[0])
     names = [fresh(docs, f"part{b}") for b in range(n_blocks)]
-    found = docs.withColumns(dict(zip(names, parts, strict=True)))
+    found = docs.withColumns(dict(zip(names, finds, strict=True)))
     return found.withColumn(out, _merge(*[F.col(n) for n in names])).drop(*names)
 
 
@@ -125,17 +125,17 @@ def _finder(items: list[tuple[str, str]], window: int):
     def find(column: pa.Array) -> pa.Array:
         if not made:
             made.append(Searcher(items, window))
-        return pa.array(made[0].search(column), _ARROW)
+        return pa.array([r for part in parts(column) for r in made[0].search(part)], _ARROW)
 
     return find
 
 
-def _merge(*parts):
-    first = parts[0]
-    spans = F.array_sort(F.flatten(F.array(*[p["spans"] for p in parts])))
+def _merge(*found):
+    first = found[0]
+    spans = F.array_sort(F.flatten(F.array(*[p["spans"] for p in found])))
     join = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
     hit = F.aggregate(join, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
-    return F.struct(first["n_words"].alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.array(*[p["item_ids"] for p in parts])))).alias("item_ids"), join.alias("spans"))
+    return F.struct(first["n_words"].alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.array(*[p["item_ids"] for p in found])))).alias("item_ids"), join.alias("spans"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:

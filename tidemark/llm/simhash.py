@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, fresh
 from .components import connected_components
-from .words import LOWER, NOT_SPACE, text_bytes, word_spans
+from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
 
 BITS = 64
 
@@ -32,6 +32,11 @@ def _shingle_hashes(words: bytes, starts: list[int], ends: list[int], size: int,
 
 def each_shingles(column: pa.Array, size: int, seed: int):
     """For each text the hashes of its shingles, repeats included: words in lower case (A-Z), joined by single spaces."""
+    for part in parts(column):
+        yield from _shingles_of(part, size, seed)
+
+
+def _shingles_of(column: pa.Array, size: int, seed: int):
     body, offsets = text_bytes(column)
     body = LOWER[body]
     starts, ends, first = word_spans(body, offsets, NOT_SPACE)

@@ -36,6 +36,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+def parts(column: pa.Array, most_bytes: int = 2 << 20):
+    """The column in runs of rows of about most_bytes, without a copy; a longer text is a run of its own."""
+    sizes = np.cumsum([0, *(len(x.as_buffer() or b"") if x.is_valid else 0 for x in column)])
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most_bytes, side="right")) - 1)
+        yield column.slice(at, to - at)
+        at = to
+
+
 def word_spans(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of its text; a word never crosses two texts."""
     if not len(body):
