@@ -54,8 +54,8 @@ def validate(df: DataFrame, artifact: str, *, min_rows: int = 1, not_null: tuple
 
 
 def lexicon_shares(docs: DataFrame, lexicon: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token count, and count and share of each category's words; words are runs of A-Z in the upper-cased text."""
-    words = F.regexp_extract_all(F.upper(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[A-Z]+"), 0)
+    """Token count, and count and share of each category's words; words are runs of A-Z once a-z are upper-cased."""
+    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("[A-Z]+"), 0)
     made = docs.select(id_col, words.alias("ws")).select(id_col, F.size("ws").alias("n_tokens"), *[F.size(_members(vs)).alias(f"{k}_count") for k, vs in lexicon.items()])
     return made.select("*", *[F.round(F.coalesce(F.try_divide(F.col(f"{k}_count"), F.col("n_tokens")), F.lit(0.0)), 12).alias(f"{k}_share") for k in lexicon])
 

@@ -59,7 +59,7 @@ def comparable_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 def composite_scores(spark: SparkSession, d: str) -> DataFrame:
     out = tables.composites(_deltas(spark, d), {"decline": ("revenue_pct", -1), "shrink": ("revenue_log", -1)}, least=2)
-    return _rounded(out, "stress_score", "improvement_score", "net_stress").select("o_custkey", "y", "q", "valid_components", "stress_score", "improvement_score", "net_stress", "composite_flag")
+    return out.withColumns({c: F.round(c, 4) for c in ("stress_score", "improvement_score", "net_stress")}).select("o_custkey", "y", "q", "valid_components", "stress_score", "improvement_score", "net_stress", "composite_flag")
 
 
 def concept_pivot_ratios(spark: SparkSession, d: str) -> DataFrame:
@@ -129,9 +129,9 @@ ORACLES = {
     "latest_per_key": "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "first_seen_duplicates": "select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) > 1 as is_duplicate from events",
     "comparable_deltas": f"with {_DELTAS} select o_custkey, y, q, period_key, round(revenue, 6) as revenue, round(p, 6) as revenue_prior, round(a, 6) as revenue_abs, round(pc, 6) as revenue_pct, round(lg, 6) as revenue_log, case when p is null then 'RED' else 'GREEN' end as link_flag from dl",
-    "composite_scores": f"with {_DELTAS}, cl as (select o_custkey, y, q, least(greatest(-pc, -5), 5) as u, least(greatest(-lg, -5), 5) as v from dl), z as (select *, (u is not null)::int + (v is not null)::int as n from cl) select o_custkey, y, q, n as valid_components, round(case when n > 0 then (coalesce(greatest(u, 0), 0) * (u is not null)::int + coalesce(greatest(v, 0), 0) * (v is not null)::int) / n end, 6) as stress_score, round(case when n > 0 then (coalesce(greatest(-u, 0), 0) * (u is not null)::int + coalesce(greatest(-v, 0), 0) * (v is not null)::int) / n end, 6) as improvement_score, round(case when n > 0 then (coalesce(u, 0) + coalesce(v, 0)) / n end, 6) as net_stress, case when n = 0 then 'RED' when n < 2 then 'YELLOW' else 'GREEN' end as composite_flag from z",
+    "composite_scores": f"with {_DELTAS}, cl as (select o_custkey, y, q, case when pc is not null then least(greatest(-pc, -5), 5) end as u, case when lg is not null then least(greatest(-lg, -5), 5) end as v from dl), z as (select *, (u is not null)::int + (v is not null)::int as n from cl) select o_custkey, y, q, n as valid_components, round(case when n > 0 then (coalesce(greatest(u, 0), 0) * (u is not null)::int + coalesce(greatest(v, 0), 0) * (v is not null)::int) / n end, 4) as stress_score, round(case when n > 0 then (coalesce(greatest(-u, 0), 0) * (u is not null)::int + coalesce(greatest(-v, 0), 0) * (v is not null)::int) / n end, 4) as improvement_score, round(case when n > 0 then (coalesce(u, 0) + coalesce(v, 0)) / n end, 4) as net_stress, case when n = 0 then 'RED' when n < 2 then 'YELLOW' else 'GREEN' end as composite_flag from z",
     "concept_pivot_ratios": "with f as (select l_orderkey, l_returnflag || l_linestatus as c, l_extendedprice as v from lineitem where l_returnflag || l_linestatus in ('AF', 'NO', 'RF') qualify row_number() over (partition by l_orderkey, c order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey) = 1), w as (select l_orderkey, max(v) filter (c = 'AF') as AF, max(v) filter (c = 'NO') as NO, max(v) filter (c = 'RF') as RF, count(*) as coverage from f group by 1) select *, round(RF / nullif(AF, 0), 6) as return_ratio from w",
-    "lexicon_features": f"with t as (select doc_id, regexp_extract_all(upper(coalesce(text, '')), '[A-Z]+') as w from documents) select doc_id, len(w) as n_tokens, {_LEX} from t",
+    "lexicon_features": f"with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[A-Z]+') as w from documents) select doc_id, len(w) as n_tokens, {_LEX} from t",
     "semi_join_facts": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')",
     "fold_ic": "with a as (select strftime(l_shipdate, '%Y-%m') as month, l_tax as y, l_discount as p, rank() over (partition by strftime(l_shipdate, '%Y-%m') order by l_tax) + (count(*) over (partition by strftime(l_shipdate, '%Y-%m'), l_tax) - 1) / 2 as ry, rank() over (partition by strftime(l_shipdate, '%Y-%m') order by l_discount) + (count(*) over (partition by strftime(l_shipdate, '%Y-%m'), l_discount) - 1) / 2 as rp from lineitem) select month, count(*) as n_rows, round(sqrt(avg((y - p) ** 2)), 6) as rmse, round(avg(abs(y - p)), 6) as mae, round(covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0), 6) as pearson, round(covar_pop(ry, rp) / nullif(stddev_pop(ry) * stddev_pop(rp), 0), 6) as spearman from a group by month",
     "decile_holdings": f"with {_SCORES} select month, l_suppkey, score, round(weight, 6) as weight from h",
