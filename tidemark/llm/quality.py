@@ -53,27 +53,31 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int, symbols: int =
     return p.select("k", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), trusted_col: str, order: int = ORDER, prior_bytes: int = 40) -> DataFrame:
+def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), trusted: DataFrame, trusted_col: str = "trusted", order: int = ORDER, prior_bytes: int = 40) -> DataFrame:
     """(id_col, keep..., n_bytes, log_perplexity): natural logarithm for each byte; empty and null texts have null.
 
-    Rows where trusted_col is true train the model. A text of n bytes counts with weight n against prior_bytes at the mean of all
+    trusted: one column of distinct ids; their rows train the model, and trusted_col of the result tells them. A text of n bytes counts with weight n against prior_bytes at the mean of all
     trusted text, so that a few unusual bytes don't reject a very short text. A trusted text is scored with itself in the counts.
     """
-    keys = [id_col, *keep, trusted_col]
-    packed = B.pack(docs, keys, text_col=text_col)
+    packed = B.pack(docs, [id_col, *keep], text_col=text_col)
+    # only ids are shuffled to find the trusted rows of each block; the texts stay where they are
+    places = packed.select("block", F.posexplode(F.transform("rows", lambda r: r[id_col])).alias("at", "id"))
+    good = places.join(trusted.toDF("id"), "id").groupBy("block").agg(F.collect_list("at").alias("good"))
+    packed = packed.join(good, "block", "left").withColumn("good", F.coalesce("good", F.array().cast("array<int>")))
 
     @F.arrow_udf("array<struct<k:bigint,c:bigint>>")
-    def ask(rows: pa.Array, sizes: pa.Array, body: pa.Array) -> pa.Array:
+    def ask(good: pa.Array, sizes: pa.Array, body: pa.Array) -> pa.Array:
         out = []
-        for r, s, b in zip(rows, sizes, body, strict=True):
+        for r, s, b in zip(good, sizes, body, strict=True):
             texts = B.texts_of(b.as_py(), s.as_py())
             grams, first = B.grams_of(texts, order, False)
-            trusted = np.array([bool(x[trusted_col].as_py()) for x in r], bool)
-            k, c = B.counted(grams, np.repeat(trusted, np.diff(first)))
+            train = np.zeros(len(texts), bool)
+            train[r.values.to_numpy(zero_copy_only=False)] = True
+            k, c = B.counted(grams, np.repeat(train, np.diff(first)))
             out.append(pa.StructArray.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["k", "c"]))
         return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out) if out else pa.array([], pa.struct([("k", pa.int64()), ("c", pa.int64())])))
 
-    asked = packed.select("block", F.explode(ask("rows", "sizes", "body")).alias("x")).select("block", "x.k", "x.c")
+    asked = packed.select("block", F.explode(ask("good", "sizes", "body")).alias("x")).select("block", "x.k", "x.c")
     grams = checkpoint(asked.groupBy("k").agg(F.sum("c").alias("c")))
     model = kneser_ney(grams.filter("c > 0"), grams.select("k"), order)
     mean = grams.join(model, "k").agg(F.try_divide(F.sum(F.col("c") * F.col("logp")), F.sum("c"))).first()[0] or 0.0
@@ -94,8 +98,8 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.array(out, pa.list_(pa.float64()))
 
     scored = B.with_answers(packed, answers, ["logp"])
-    each = scored.select(F.explode(F.arrays_zip("rows", "sizes", score("sizes", "body", "got").alias("score"))).alias("x"))
-    return each.select(*[F.col("x.rows")[c].alias(c) for c in keys], F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.score").alias("log_perplexity"))
+    each = scored.select("good", F.posexplode(F.arrays_zip("rows", "sizes", score("sizes", "body", "got").alias("score"))).alias("at", "x"))
+    return each.select(*[F.col("x.rows")[c].alias(c) for c in (id_col, *keep)], F.array_contains("good", F.col("at")).alias(trusted_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.score").alias("log_perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", middle: float = 0.5, upper: float = 0.9, reach: float = 8.0, order: int = ORDER) -> DataFrame:
@@ -108,8 +112,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     flag = fresh(docs, "trusted")
     good = labels.filter("quality = 1").select(F.col(id_col).alias(flag + "_id")).distinct()
-    marked = docs.select(id_col, lang_col, text_col).join(good, F.col(id_col) == F.col(flag + "_id"), "left").select(id_col, lang_col, text_col, F.col(flag + "_id").isNotNull().alias(flag))
-    found = checkpoint(perplexities(marked, id_col=id_col, text_col=text_col, keep=[lang_col], trusted_col=flag, order=order))
+    found = checkpoint(perplexities(docs, id_col=id_col, text_col=text_col, keep=[lang_col], trusted=good, trusted_col=flag, order=order))
     q = F.percentile_approx("log_perplexity", [middle, upper], 10_000)
     limits = found.filter(F.col(flag)).groupBy(lang_col).agg(q.alias("q")).select(F.col(lang_col).alias("of_lang"), (F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0])).alias("log_limit"))
     limits = checkpoint(limits)
