@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, whole_text
+from .common import checkpoint, release_shuffles, whole_text
 
 #: Stand for the places before a text and for its end; neither byte occurs in UTF-8.
 START, END = 0xFF, 0xFE
@@ -53,7 +53,9 @@ def pack(docs: DataFrame, keys: list[str], *, text_col: str = "text", block_byte
         if rows:
             yield block()
 
-    return checkpoint(frame.mapInArrow(run, f"block bigint, rows array<{row_type}>, sizes array<int>, body binary"))
+    packed = checkpoint(frame.mapInArrow(run, f"block bigint, rows array<{row_type}>, sizes array<int>, body binary"))
+    release_shuffles(docs.sparkSession)  # those that dealt out the texts, if docs is a join
+    return packed
 
 
 def texts_of(body: bytes, sizes: list[int]) -> list[bytes]:
