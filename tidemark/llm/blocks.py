@@ -20,7 +20,9 @@ from .common import checkpoint, release_shuffles, whole_text
 
 #: Stand for the places before a text and for its end; neither byte occurs in UTF-8.
 START, END = 0xFF, 0xFE
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 24 << 20
+#: So many bytes of a block are searched at a time, which bounds a task's memory.
+RUN_BYTES = 4 << 20
 
 
 def pack(docs: DataFrame, keys: list[str], *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -85,10 +87,39 @@ def grams_of(texts: list[bytes], order: int, end: bool) -> tuple[np.ndarray, np.
     return grams, np.concatenate(([0], np.cumsum(sizes)))
 
 
-def counted(keys: np.ndarray, train: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each stands where train is true (everywhere if None)."""
-    codes, distinct = pd.factorize(keys)
-    return distinct, np.bincount(codes if train is None else codes[train], minlength=len(distinct))
+def runs(texts: list[bytes], most_bytes: int = RUN_BYTES):
+    """(from, to) of runs of texts of about most_bytes; a longer text is a run of its own."""
+    at = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > most_bytes:
+            yield at, k
+            at, size = k, 0
+        size += len(text)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def counted(texts: list[bytes], keys_of, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block's texts, and how often each stands in texts for which train is true. keys_of(texts) gives keys and each text's first."""
+    found, counts = [], []
+    for a, z in runs(texts):
+        keys, first = keys_of(texts[a:z])
+        codes, distinct = pd.factorize(keys)
+        found.append(distinct)
+        counts.append(np.bincount(codes[np.repeat(train[a:z], np.diff(first))], minlength=len(distinct)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, distinct = pd.factorize(np.concatenate(found))
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, codes, np.concatenate(counts))
+    return distinct, total
+
+
+def counts_array(blocks: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Lists of (k, c), one for each block."""
+    parts = [pa.StructArray.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["k", "c"]) for k, c in blocks]
+    kind = pa.struct([("k", pa.int64()), ("c", pa.int64())])
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32), pa.concat_arrays(parts) if parts else pa.array([], kind))
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -97,11 +128,16 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def pick(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each key; every key is known. known needs no order."""
-    codes, distinct = pd.factorize(keys)
-    order = np.argsort(known)
-    return values[order][np.searchsorted(known, distinct, sorter=order)][codes]
+class Answers:
+    """The value of each key; every key asked for is known."""
+
+    def __init__(self, known: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(known)
+        self.known, self.values = known[order], values[order]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        codes, distinct = pd.factorize(keys)
+        return self.values[np.searchsorted(self.known, distinct)][codes]
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, values: list[str]) -> DataFrame:

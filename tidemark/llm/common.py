@@ -33,6 +33,12 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """df, marked for a broadcast if it has at most most_rows rows; beyond that Spark shuffles both sides. For tables of a few bytes a row."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def whole_text(column: str | Column) -> Column:
     """The text itself, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import checkpoint, fresh
+from .common import checkpoint, fresh, small_side
 
 ORDER = 4
 
@@ -61,17 +61,15 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     keys = [id_col, *keep, trusted_col]
     packed = B.pack(docs, keys, text_col=text_col)
+    grams_of = lambda texts: B.grams_of(texts, order, False)
 
     @F.arrow_udf("array<struct<k:bigint,c:bigint>>")
     def ask(rows: pa.Array, sizes: pa.Array, body: pa.Array) -> pa.Array:
         out = []
         for r, s, b in zip(rows, sizes, body, strict=True):
-            texts = B.texts_of(b.as_py(), s.as_py())
-            grams, first = B.grams_of(texts, order, False)
             trusted = np.array([bool(x[trusted_col].as_py()) for x in r], bool)
-            k, c = B.counted(grams, np.repeat(trusted, np.diff(first)))
-            out.append(pa.StructArray.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["k", "c"]))
-        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out) if out else pa.array([], pa.struct([("k", pa.int64()), ("c", pa.int64())])))
+            out.append(B.counted(B.texts_of(b.as_py(), s.as_py()), grams_of, trusted))
+        return B.counts_array(out)
 
     asked = packed.select("block", F.explode(ask("rows", "sizes", "body")).alias("x")).select("block", "x.k", "x.c")
     grams = checkpoint(asked.groupBy("k").agg(F.sum("c").alias("c")))
@@ -83,14 +81,16 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def score(sizes: pa.Array, body: pa.Array, got: pa.Array) -> pa.Array:
         out = []
         for s, b, g in zip(sizes, body, got, strict=True):
-            texts = B.texts_of(b.as_py(), s.as_py())
-            grams, first = B.grams_of(texts, order, False)
-            if not len(grams):
+            texts, scores = B.texts_of(b.as_py(), s.as_py()), []
+            if not g.is_valid:  # nothing but empty texts
                 out.append([None] * len(texts))
                 continue
-            values = B.pick(grams, g.values.field("k").to_numpy(zero_copy_only=False), g.values.field("logp").to_numpy(zero_copy_only=False))
-            total, n = B.sums(values.astype(np.float64), first), np.diff(first)
-            out.append([-(t + mean * prior_bytes) / (m + prior_bytes) if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)])
+            value_of = B.Answers(g.values.field("k").to_numpy(zero_copy_only=False), g.values.field("logp").to_numpy(zero_copy_only=False))
+            for a, z in B.runs(texts):
+                grams, first = grams_of(texts[a:z])
+                total, n = B.sums(value_of(grams).astype(np.float64), first), np.diff(first)
+                scores += [-(t + mean * prior_bytes) / (m + prior_bytes) if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)]
+            out.append(scores)
         return pa.array(out, pa.list_(pa.float64()))
 
     scored = B.with_answers(packed, answers, ["logp"])
@@ -107,7 +107,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     A label of a repeated id counts for all its rows; repeated labels count as trusted if any is 1.
     """
     flag = fresh(docs, "trusted")
-    good = labels.filter("quality = 1").select(F.col(id_col).alias(flag + "_id")).distinct()
+    good = small_side(labels.filter("quality = 1").select(F.col(id_col).alias(flag + "_id")).distinct())
     marked = docs.select(id_col, lang_col, text_col).join(good, F.col(id_col) == F.col(flag + "_id"), "left").select(id_col, lang_col, text_col, F.col(flag + "_id").isNotNull().alias(flag))
     found = checkpoint(perplexities(marked, id_col=id_col, text_col=text_col, keep=[lang_col], trusted_col=flag, order=order))
     q = F.percentile_approx("log_perplexity", [middle, upper], 10_000)
@@ -123,4 +123,4 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **pa
     """The rows of docs whose documents are accepted, with the columns of docs; rows with a null id stay."""
     name = fresh(docs, "rejected_id")
     bad = classify(docs, labels, id_col=id_col, **params).filter("not accepted").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(bad, F.col(id_col) == F.col(name), "left_anti")
+    return docs.join(small_side(bad), F.col(id_col) == F.col(name), "left_anti")
