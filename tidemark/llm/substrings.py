@@ -5,9 +5,11 @@ modulo V picks 17 of every 273 positions of a text so that for any two positions
 
 1. The prefixes of picked suffixes that every match must contain (length - V + 1 bytes from the shifted start) are named, and equal
    names are brought together. A picked suffix with a unique name lies in no repeat.
-2. Only the suffixes whose cover suffixes have names that occur twice go on: they are named by their whole prefix of ``length``
-   bytes, and equal names meet again, which is the comparison of adjacent prefixes of the sorted suffixes.
-3. Each text gets back the names that occur twice, and removes the bytes that they cover.
+2. Picked suffixes whose name occurs twice are named again, with all bytes that a match around them can hold (V - 1 before, length
+   after, cut at the text's ends). Where that wide name occurs twice, all strings of ``length`` bytes around the suffix are repeated.
+3. A name of step 1 that some suffix holds whose wide name is unique stands at the edge of a match. Only there suffixes are named
+   one by one, by their whole prefix of ``length`` bytes, and equal names meet again: the comparison of adjacent prefixes.
+4. Each text gets back the names that occur twice, and removes the bytes that they cover.
 
 Names are 64-bit hashes of the bytes. Blocks of texts send each distinct name once (see blocks), so a passage that stands in a third
 of all documents is one row for each block, and no group of equal suffixes comes together in one task.
@@ -57,12 +59,27 @@ class _Texts:
         own = np.arange(len(self.data)) - np.repeat(self.starts[:-1], self.sizes)
         return np.flatnonzero(_PICKED[own % V] & self.fitting(length))
 
+    def wide(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For those of the positions around which length bytes fit: the position, bytes before it (at most V - 1), and the wide name."""
+        text = np.searchsorted(self.starts, at, side="right") - 1
+        before = np.minimum(at - self.starts[text], V - 1)
+        ends = np.minimum(at + length, self.starts[text + 1])
+        fits = ends - at + before >= length
+        at, before, ends = at[fits], before[fits], ends[fits]
+        body = (self.sums[ends] - self.sums[at - before]) * self.down[at - before]
+        return at, before, mix(body + mix((before * 1024 + ends - at).astype(np.uint64))).view(np.int64)
+
     def near(self, marked: np.ndarray, length: int) -> np.ndarray:
-        """Positions i that hold length bytes and have a marked position in [i, i + V)."""
-        edge = np.zeros(len(self.data) + V + 1, np.int64)
-        np.add.at(edge, np.maximum(marked - V + 1, 0), 1)
-        np.add.at(edge, marked + 1, -1)
-        return np.flatnonzero((np.cumsum(edge)[: len(self.data)] > 0) & self.fitting(length))
+        """Positions i that hold length bytes of the text of a marked position in [i, i + V)."""
+        first = self.starts[np.searchsorted(self.starts, marked, side="right") - 1]
+        return np.flatnonzero(self.within(np.maximum(marked - V + 1, first), marked) & self.fitting(length))
+
+    def within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """True at the positions between any low and its high, both included."""
+        edge = np.zeros(len(self.data) + 1, np.int64)
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high + 1, -1)
+        return np.cumsum(edge)[:-1] > 0
 
 
 def _counted(names: list[np.ndarray]) -> pa.Array:
@@ -105,6 +122,20 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         texts = [_Texts(b.as_py(), s.as_py()) for s, b in zip(sizes, body, strict=True)]
         return _counted([t.names(t.picked(stem), stem) for t in texts])
 
+    @F.arrow_udf("array<struct<k:bigint,twice:boolean,stem:bigint>>")
+    def widen(sizes: pa.Array, body: pa.Array, ks: pa.Array) -> pa.Array:
+        out = []
+        for s, b, k in zip(sizes, body, ks, strict=True):
+            t = _Texts(b.as_py(), s.as_py())
+            at = t.picked(stem)
+            at, _, names = t.wide(at[pd.Index(_known(k)).get_indexer(t.names(at, stem)) >= 0], length)
+            codes, distinct = pd.factorize(names)
+            own = np.zeros(len(distinct), np.int64)
+            own[codes] = t.names(at, stem)  # a wide name holds its stem
+            twice = np.bincount(codes, minlength=len(distinct)) > 1
+            out.append(pa.StructArray.from_arrays([pa.array(distinct, pa.int64()), pa.array(twice, pa.bool_()), pa.array(own, pa.int64())], ["k", "twice", "stem"]))
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out))
+
     @F.arrow_udf(kind)
     def merge(sizes: pa.Array, body: pa.Array, ks: pa.Array) -> pa.Array:
         out = []
@@ -118,21 +149,33 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = _twice(packed.select("block", F.explode(sample("sizes", "body")).alias("x")).select("block", "x.k", "x.twice"))
     release_shuffles(spark)
     going = packed.join(first, "block")  # blocks without a repeated name are done
-    second = _twice(going.select("block", F.explode(merge("sizes", "body", "ks")).alias("x")).select("block", "x.k", "x.twice"))
+    dealt = going.select("block", F.explode(widen("sizes", "body", "ks")).alias("x")).select("block", "x.*").repartition(F.col("k"))
+    again = dealt.groupBy("k").agg(((F.count("*") > 1) | F.max("twice")).alias("again"))
+    wide = checkpoint(dealt.join(again, "k").select("block", "k", "stem", "again"))
+    release_shuffles(spark)
+    whole = checkpoint(wide.filter("again").groupBy("block").agg(F.collect_list("k").alias("whole")))
+    edges = wide.filter("not again").select("stem").distinct()
+    held = checkpoint(wide.select("block", "stem").distinct().join(edges, "stem", "left_semi").groupBy("block").agg(F.collect_list("stem").alias("ks")))
+    release_shuffles(spark)
+    second = _twice(packed.join(held, "block").select("block", F.explode(merge("sizes", "body", "ks")).alias("x")).select("block", "x.k", "x.twice"))
     release_shuffles(spark)
 
     @F.arrow_udf("array<struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary,sha:string>>")
-    def cut(sizes: pa.Array, body: pa.Array, ks: pa.Array) -> pa.Array:
+    def cut(sizes: pa.Array, body: pa.Array, ks: pa.Array, whole: pa.Array) -> pa.Array:
         out = []
-        for s, b, k in zip(sizes, body, ks, strict=True):
-            t, names = _Texts(b.as_py(), s.as_py()), _known(k)
-            edge = np.zeros(len(t.data) + 1, np.int64)
+        for s, b, k, w in zip(sizes, body, ks, whole, strict=True):
+            t, names, known = _Texts(b.as_py(), s.as_py()), _known(k), _known(w)
+            gone = np.zeros(len(t.data), bool)
             if len(names):
                 at = np.flatnonzero(t.fitting(length))
                 hit = at[pd.Index(names).get_indexer(t.names(at, length)) >= 0]
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + length, -1)
-            gone = np.cumsum(edge)[:-1] > 0
+                gone |= t.within(hit, hit + length - 1)
+            if len(known):
+                at, before, found = t.wide(t.picked(stem), length)
+                held = pd.Index(known).get_indexer(found) >= 0
+                at, low = at[held], (at - before)[held]
+                last = t.starts[np.searchsorted(t.starts, at, side="right")]
+                gone |= t.within(low, np.minimum(at + length, last) - 1)
             rows = []
             for a, z in zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True):
                 part = np.concatenate(([False], gone[a:z], [False]))
@@ -142,5 +185,5 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             out.append(rows)
         return pa.array(out, pa.list_(pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("sha", pa.string())])))
 
-    each = packed.join(second, "block", "left").select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "ks").alias("c"))).alias("x"))
+    each = packed.join(second, "block", "left").join(whole, "block", "left").select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "ks", "whole").alias("c"))).alias("x"))
     return each.select(F.col("x.rows.id").alias(id_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.c.spans").alias("spans"), F.col("x.c.kept").alias("kept"), F.col("x.c.sha").alias("kept_sha256"))
