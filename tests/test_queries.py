@@ -6,23 +6,24 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import queries
+from tidemark import queries, research
 from tidemark.functions import expr as E
 from tidemark.operators import market, tables
 
 SMALL = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | research.QUERIES, queries.ORACLES | research.ORACLES
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    got = queries.QUERIES[name](spark, SMALL)
-    if name not in queries.ORACLES:
+    got = QUERIES[name](spark, SMALL)
+    if name not in ORACLES:
         assert got.count() > 0
         return
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages labels".split():
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
-    want = con.sql(queries.ORACLES[name])
+    want = con.sql(ORACLES[name])
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     split = lambda rows: sorted((tuple(str(x) for x in r if not isinstance(x, float)), tuple(x for x in r if isinstance(x, float))) for r in rows)
