@@ -163,6 +163,44 @@ def test_near_copies_are_grouped_and_others_left_alone(spark):
     assert simhash.deduplicate(frame(spark, [])).count() == 0
 
 
+def brute_groups(texts, least=0.8):
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [lower(t).split()] for i in range(max(1, len(w) - 4))}
+    sets, root = [cut(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            shared = len(sets[i] & sets[j])
+            if shared >= least * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(r, t, n):
+    w = t.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"e{r.random()}"
+    return " ".join(w)
+
+
+def test_near_copies_equal_brute_force_around_the_limit(spark):
+    r = random.Random(8)
+    passage = " ".join(f"common{k}" for k in range(40))
+    texts = []
+    for k in range(250):
+        t = " ".join(r.choices([f"w{k}" for k in range(5000)], k=r.randint(100, 300))) + f" {passage}" * (k % 2)
+        texts += [t, edited(r, t, max(1, len(t.split()) * r.choice([15, 20, 22, 25, 28, 30]) // 1000))]
+    close = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.83 for x in close) > 15 and sum(0.76 <= x < 0.8 for x in close) > 15
+    got = {row.doc_id: row.component for row in simhash.near_groups(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_groups(texts)
+
+
 def plain_hits(text, items, window=10):
     cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "").encode())
     w, hit, found = cut(text), set(), set()

@@ -13,10 +13,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import checkpoint, fresh, small_side
 from .components import connected_components
 from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
 
@@ -148,96 +148,134 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return made.join(of, "fingerprint").select(id_col, "fingerprint", "component")
 
 
-# Wide fingerprints, for documents that share most but not nearly all of their shingles.
+# Near copies: exact similarity of shingle sets, found by a prefix-filter join.
 
-WIDE = 512
 
+def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all sets (common ones last), so many that two sets of this similarity share one."""
+    if not len(hashes):
+        return hashes
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+        if rank.any():
+            hashes = hashes[np.lexsort((hashes, rank))]
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, size: int, sample: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur repeatedly in about ``sample`` texts, sorted, and their ranks from 1 by frequency. They only steer the order."""
 
-def wide_simhash(hashes: np.ndarray) -> bytes:
-    """512 bits over the distinct shingles; each shingle's bits come from eight mixes of its hash."""
-    from .words import mix
+    @F.arrow_udf("array<bigint>")
+    def shingles(column: pa.Array) -> pa.Array:
+        return pa.array([np.unique(h).view(np.int64) for h in each_shingles(column, size, 42)], pa.list_(pa.int64()))
 
-    counts = np.zeros(WIDE, np.int64)
-    hashes = np.unique(hashes)
-    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 1 << 13):
-        wide = mix(hashes[at : at + (1 << 13), None] + steps[None, :])
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    share = min(1.0, sample / max(docs.count(), 1))
+    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)) < int((1 << 40) * share)).select(text_col)
+    counts = drawn.select(F.explode(shingles(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    rows = counts.orderBy(F.desc("c"), "h").limit(most).collect()
+    values = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(rows) - np.arange(len(rows)))[order]
 
 
-def most_distance(similarity: float, bits: int = WIDE) -> int:
-    """Differing bits that two texts of this Jaccard similarity are expected to have, if they have equally many shingles."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.arccos(cosine) / np.pi * bits)
+def _able(size_a, size_b, pos_a, pos_b, similarity: float):
+    """Whether sets of these sizes, whose first common shingle has these positions in them, can be similar enough. Arrays or columns."""
+    least = F.least if isinstance(size_a, Column) else np.minimum
+    needed = similarity / (1 + similarity) * (size_a + size_b) - 1e-9
+    return (least(size_a, size_b) >= needed) & (least(size_a - pos_a, size_b - pos_b) >= needed)
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 160, band_bits: int = 26, bucket_rows: int = 1024) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bucket_rows: int = 1024, sample: int = 5000) -> DataFrame:
     """(id_col, component): groups of texts whose word shingles have at least this similarity, component being the smallest id.
 
-    Wide fingerprints (512 bits over distinct shingles) are split into bands of bits; at a similarity of 0.8 about a sixth of the
-    bits differ, so pigeonhole blocks that always catch a pair would be too short, and many bands are used instead: 160 bands of 26
-    bits miss about one in ten pairs at exactly 0.8, one in 50 at 0.85 and next to none from 0.9 on; a group of several copies is
-    joined over any of its pairs. Pairs that share a band are linked if their distance is at most what this similarity implies, so
-    texts within about 0.02 of the limit may fall on either side. Buckets of a band are dealt out in parts of about bucket_rows
-    distinct fingerprints, each part links its rows and passes on one row of each of its groups, and the parts' rows meet in a second
-    step. Texts without words are copies of each other. Repeated rows share a group; null ids never name a group of others.
+    The similarity is the exact Jaccard similarity of the sets of shingles (compared as 64-bit hashes), and a group holds everything
+    that a chain of such pairs reaches; no pair is lost or added. Two sets of this similarity share one of the first shingles of
+    each in any fixed order, so these are the keys under which sets meet. A sample of texts tells which shingles are common and go
+    last, which changes the cost only. First every set is checked against a few neighbours under its keys, which joins large groups;
+    then all pairs under a key that aren't joined yet are checked, keys of over bucket_rows sets as blocks of rows against blocks.
+    Sets that meet under common keys without being similar are still compared by pairs. Texts without words are copies of each
+    other. Repeated rows share a group; null ids never name a group of others.
     """
-    limit = most_distance(similarity)
-    picks = np.random.default_rng(7).permuted(np.tile(np.arange(WIDE), (bands, 1)), axis=1)[:, :band_bits]
+    common, ranks = _common_shingles(docs, id_col, text_col, size, sample)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<n:bigint,size:int,prefix:array<bigint>>")
     def make(column: pa.Array) -> pa.Array:
-        return pa.array([wide_simhash(h) for h in each_shingles(column, size, 42)], pa.binary())
-
-    @F.arrow_udf("array<int>")
-    def keys(column: pa.Array) -> pa.Array:
-        prints = np.stack([np.frombuffer(b.as_py(), np.uint8) for b in column]) if len(column) else np.zeros((0, WIDE // 8), np.uint8)
-        bits = np.unpackbits(prints, axis=1, bitorder="little")
-        weight = (1 << np.arange(band_bits, dtype=np.int64)).astype(np.int32)
-        out = np.stack([(bits[:, p].astype(np.int32) * weight).sum(axis=1, dtype=np.int32) for p in picks], axis=1) if len(prints) else np.zeros((0, bands), np.int32)
-        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), bands).cast(pa.list_(pa.int32()))
-
-    made = checkpoint(docs.select(F.col(id_col).alias("id"), make(F.col(text_col)).alias("f")))
-    prints = checkpoint(made.groupBy("f").agg(F.min("id").alias("low")).withColumn("n", F.xxhash64("f")))
-    # a band's keys first, with the number of a fingerprint only; what stands alone under its key goes no further
-    keyed = prints.select("n", F.posexplode(keys("f")).alias("t", "key")).select("n", F.xxhash64("t", "key").alias("key"))
-    rows = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    met = checkpoint(keyed.join(rows, "key").select("n", "key", (F.pmod("n", F.ceil(F.col("rows") / bucket_rows))).alias("part")))
-    full = met.join(prints.select("n", "f"), "n")
-
-    def linked(frame: DataFrame, by: list[str]) -> DataFrame:
-        @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-        def star(column: pa.Array) -> pa.Array:
-            return pa.array([_stars(x.values, limit) for x in column], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-
-        groups = frame.groupBy(*by).agg(F.collect_list(F.struct("n", "f")).alias("xs"))
-        return groups.select(*by, F.explode(star("xs")).alias("x")).select(*by, "x.a", "x.b")
-
-    first = checkpoint(linked(full, ["key", "part"]))
-    heads = first.filter("a = b").select("key", F.col("a").alias("n")).join(rows.filter(F.col("rows") > bucket_rows).select("key"), "key", "left_semi").join(prints.select("n", "f"), "n")
-    second = linked(heads, ["key"])
-    edges = first.select("a", "b").union(second.select("a", "b")).filter("a <> b").distinct()
+        ns, sizes, prefixes = [], [], []
+        for hashes in each_shingles(column, size, 42):
+            hashes = np.unique(hashes)
+            ns.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+            sizes.append(len(hashes))
+            prefixes.append(_prefix(hashes, similarity, common, ranks).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["n", "size", "prefix"])
+
+    @F.arrow_udf("struct<n:bigint,hashes:array<bigint>>")
+    def whole(column: pa.Array) -> pa.Array:
+        sets = [np.unique(h) for h in each_shingles(column, size, 42)]
+        ns = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(ns), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["n", "hashes"])
+
+    text_hash = F.xxhash64(F.col(text_col))
+    made = checkpoint(docs.select(F.col(id_col).alias("id"), text_hash.alias("th"), make(F.col(text_col)).alias("s")).select("id", "th", "s.*"))
+    prints = made.groupBy("n").agg(F.min("id").alias("low"), F.min("th").alias("th"))
+    sets = made.groupBy("n").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    keyed = sets.select("n", "size", F.posexplode("prefix").alias("pos", "h"))
+    met = checkpoint(keyed.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).filter("rows > 1"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that have the similarity."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        wanted = small_side(asked.join(prints, "n").select("th").distinct())
+        texts = docs.select(text_hash.alias("th"), F.col(text_col).alias("t")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("t").alias("t"))
+        known = checkpoint(texts.select(whole(F.col("t")).alias("s")).select("s.*"))
+        both = pairs.join(known.select(F.col("n").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("n").alias("b"), F.col("hashes").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+    along = Window.partitionBy("h").orderBy(F.xxhash64("h", "n"))
+    nexts = met.select("n", "size", "pos", *[F.lead(c).over(along).alias(f"{c}_2") for c in ("n", "size", "pos")]).filter("n_2 is not null")
+    able = nexts.filter(_able(F.col("size"), F.col("size_2"), F.col("pos"), F.col("pos_2"), similarity))
+    pairs = able.select(F.least("n", "n_2").alias("a"), F.greatest("n", "n_2").alias("b")).distinct()
+    few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+    tried = checkpoint(pairs.withColumn("k", few).filter("k <= 4").select("a", "b"))
+    first = checkpoint(similar(tried))
+
+    roots = connected_components(first)
+    rooted = met.join(roots.withColumnRenamed("node", "n"), "n", "left").select("n", "h", "size", "pos", "rows", F.coalesce("root", "n").alias("root"))
+    of_key = Window.partitionBy("h")
+    split = rooted.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high")).filter("low <> high")
+    parts_of = F.ceil(F.col("rows") / bucket_rows)
+    dealt = split.withColumn("part", F.pmod(F.xxhash64("n"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts_of - 1).cast("int"))))
+    blocks = dealt.groupBy("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("n", "size", "pos", "root", "part")).alias("xs"))
+
+    def open_pairs(batches):
+        for batch in batches:
+            for i, j, xs in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("xs"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _open_pairs(xs.values, i != j, similarity)], ["a", "b"])
+
+    rest = blocks.select("i", "j", "xs").mapInArrow(open_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = checkpoint(rest)
+    edges = first if rest.isEmpty() else first.union(similar(rest))
     roots = connected_components(edges)
-    rooted = prints.join(roots, prints["n"] == roots["node"], "left").select("f", "low", F.coalesce("root", "n").alias("root"))
+    rooted = prints.join(roots, prints["n"] == roots["node"], "left").select("n", "low", F.coalesce("root", "n").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    of = rooted.join(lowest, "root").select("f", "component")
-    return made.join(of, "f").select(F.col("id").alias(id_col), "component")
-
-
-def _stars(rows: pa.Array, limit: int) -> list[dict]:
-    """Each row linked to the first head within limit; a row without one becomes a head (linked to itself), after heads are compared."""
-    n = rows.field("n").to_numpy(zero_copy_only=False)
-    bits = np.stack([np.frombuffer(b.as_py(), np.uint64) for b in rows.field("f")])
-    order = np.argsort(n)
-    n, bits = n[order], bits[order]
-    out, left = [], np.arange(len(n))
-    while len(left):
-        head = left[0]
-        near = np.bitwise_count(bits[left] ^ bits[head]).sum(axis=1) <= limit
-        out += [{"a": int(n[head]), "b": int(n[k])} for k in left[near]]
-        left = left[~near]
-    return out
+    of = rooted.join(lowest, "root").select("n", "component")
+    return made.select("id", "n").join(of, "n").select(F.col("id").alias(id_col), "component")
+
+
+def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows under one key that have different roots and can be similar enough; only those of different parts if across."""
+    n, size, pos, root, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("n", "size", "pos", "root", "part"))
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(n), 512):  # 512 rows at a time against all, so memory stays bounded
+        to = slice(at, at + 512)
+        good = (root[to, None] != root[None, :]) & (n[to, None] < n[None, :]) & _able(size[to, None], size[None, :], pos[to, None], pos[None, :], similarity)
+        if across:
+            good &= part[to, None] != part[None, :]
+        i, j = np.nonzero(good)
+        low.append(n[i + at])
+        high.append(n[j])
+    return np.concatenate(low), np.concatenate(high)
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
