@@ -201,6 +201,20 @@ def test_near_copies_equal_brute_force_around_the_limit(spark):
     assert [got[k] for k in range(len(texts))] == brute_groups(texts)
 
 
+@pytest.mark.parametrize("bucket_rows", [1024, 8])
+def test_chains_and_large_groups_of_near_copies_equal_brute_force(spark, bucket_rows):
+    r = random.Random(4)
+    base = [" ".join(r.choices([f"w{k}" for k in range(5000)], k=300)) for _ in range(3)]
+    chain = [base[0]]
+    for _ in range(40):
+        chain.append(edited(r, chain[-1], 5))
+    texts = [*chain, *(edited(r, base[1], 4) for _ in range(60)), *(edited(r, base[2], r.choice([2, 7])) for _ in range(60))]
+    r.shuffle(texts)
+    want = brute_groups(texts)
+    got = {row.doc_id: row.component for row in simhash.near_groups(frame(spark, texts), bucket_rows=bucket_rows).collect()}
+    assert len(set(want)) > 3 and [got[k] for k in range(len(texts))] == want
+
+
 def plain_hits(text, items, window=10):
     cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "").encode())
     w, hit, found = cut(text), set(), set()
