@@ -53,3 +53,34 @@ def test_entry_on_or_after_the_date_and_weights_sum_to_nothing(spark):
 def test_html_text(spark):
     df = spark.createDataFrame([("<head>x</head><p> A\n\tB&nbsp; C </p><script>z</script><table><tr>q</table>",)], "h string")
     assert df.select(tables.clean_html(F.col("h"))).first()[0] == "A B C"
+
+
+def test_fold_models_fit_and_evaluate_every_month(spark):
+    import numpy as np
+    import pandas as pd
+
+    got = {(r.fold_id, r.role): r for r in research.fold_models(spark, SMALL).filter("model_name = 'ridge'").collect()}
+    t = pd.read_parquet(f"{SMALL}/lineitem.parquet")
+    t["day"] = pd.to_datetime(t.l_shipdate).dt.normalize()
+    x, y, day = t[["l_quantity", "l_discount", "l_tax"]].to_numpy(float), t.l_extendedprice.to_numpy(float), pd.Timedelta(days=1)
+    first, last, want = t.day.min(), t.day.max(), {}
+    for start in pd.date_range(first.replace(day=1) + pd.DateOffset(months=36), last, freq="MS"):
+        valid_end = start - 64 * day
+        valid_start = valid_end - pd.DateOffset(months=12) + day
+        train_end = valid_start - 64 * day
+        if train_end < first + pd.DateOffset(months=24) - day:
+            continue
+        name = f"WF{len(want) + 1:04d}_{start:%Y%m}"
+        train = ((t.day >= first) & (t.day <= train_end)).to_numpy()
+        mean, sd = x[train].mean(0), x[train].std(0)
+        z = (x - mean) / sd
+        w = np.linalg.solve(z[train].T @ z[train] + np.eye(3), z[train].T @ (y[train] - y[train].mean()))
+        want[name] = {}
+        for role, a, b in (("validation", valid_start, valid_end), ("test", start, start + pd.DateOffset(months=1) - day)):
+            seen = ((t.day >= a) & (t.day <= b)).to_numpy()
+            if seen.any():
+                want[name][role] = (seen.sum(), np.sqrt(np.mean((y[seen] - z[seen] @ w - y[train].mean()) ** 2)))
+    assert len(want) > 12 and set(got) == {(f, role) for f, roles in want.items() for role in roles}
+    for (f, role), r in got.items():
+        n, rmse = want[f][role]
+        assert r.n_rows == n and r.rmse == pytest.approx(rmse, rel=1e-6)

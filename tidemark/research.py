@@ -75,7 +75,7 @@ def fold_models(spark: SparkSession, d: str) -> DataFrame:
     """Ridge and elastic net of every walk-forward fold, evaluated on validation and test rows."""
     features = ["l_quantity", "l_discount", "l_tax"]
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), "l_extendedprice", *features)
-    windows = market.fold_windows(F.col("lo"), F.col("hi"), rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi")), step=6)
+    windows = market.fold_windows(F.col("lo"), F.col("hi"), rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi")))
     dealt = models.impute(market.assign_folds(rows, "day", windows), features)
     fitted = models.linear_models(dealt, features, "l_extendedprice")
     seen = models.predict(dealt.filter("role <> 'train'"), fitted, features, "l_extendedprice", ["l_orderkey", "l_linenumber"])
