@@ -94,6 +94,13 @@ def test_rules_find_the_planted_threshold_and_none_without_labels(spark):
     assert not learned and found.filter("rule > 0").count() == 0
 
 
+def test_rules_are_learned_from_a_small_share_of_many_labelled_rows(spark):
+    rows = spark.range(6_000_000).select(F.col("id"), (F.xxhash64("id", F.lit(1)) % 100 / 100.0).alias("x"))
+    fold = F.pmod(F.xxhash64("id"), F.lit(rules.FOLDS))
+    learned = rules.learn(rows, {"x": F.col("x")}, bad=F.col("x") > 0.5, fold=fold, max_rows=1000)
+    assert learned and rows.filter((rules.rejected_by(learned, {"x": F.col("x")}) > 0) & (F.col("x") <= 0.4)).count() == 0
+
+
 def plain_grams(text, order, end):
     data = b"\xff" * (order - 1) + text + b"\xfe" * end
     return [int.from_bytes(data[i : i + order], "big") for i in range(len(data) - order + 1)]

@@ -1,7 +1,7 @@
 """Quality rules (operator 9): decision lists learned from labelled statistics, emitted as Spark conditional expressions.
 
 Sequential covering: a rule is grown one threshold condition at a time on two thirds of the labelled rows that no earlier rule covers,
-taking the condition with the best information gain; it is pruned on the other third by dropping final conditions while that helps;
+taking the condition with the best information gain (of equal ones on a feature, the one that holds for more values); it is pruned on the other third by dropping final conditions while that helps;
 it is accepted if it is right often enough there. All counts are grouped sums over the labelled statistics; the driver sees a row of
 counts for each round, never the rows. What comes out is an ordered list of conditions, so it reads and runs as one CASE expression.
 """
@@ -19,6 +19,8 @@ from .common import checkpoint, fresh
 #: A word, for Java's regular expressions; and the symbols that are counted.
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
+#: Values over which labelled rows are dealt out for sampling, fine enough for any number of rows.
+FOLDS = 1 << 40
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
 
@@ -111,12 +113,13 @@ def learn(labelled: DataFrame, columns: dict[str, Column], *, bad: Column, fold:
     """Rules that find bad rows, most useful first; none without bad and other rows.
 
     Learning uses at most about max_rows labelled rows (a documented bound for fitting only): those whose fold value, spread evenly
-    over 0 to 9999, lies under the share that gives max_rows. Thresholds are quantiles of each feature over these rows.
+    over 0 to FOLDS - 1, lies under the share that gives max_rows. A third of them, by a hash of its own, prunes rules. Thresholds
+    are quantiles of each feature over these rows.
     """
     names = list(columns)
     total = labelled.count()
-    share = 10_000 if total <= max_rows else int(10_000 * max_rows / total)
-    rows = checkpoint(labelled.filter(fold < share).select(*[c.alias(k) for k, c in columns.items()], bad.alias("bad"), (fold % 3 == 0).alias("test")))
+    share = FOLDS if total <= max_rows else FOLDS * max_rows // total
+    rows = checkpoint(labelled.filter(fold < share).select(*[c.alias(k) for k, c in columns.items()], bad.alias("bad"), (F.pmod(F.xxhash64(fold, F.lit("test")), F.lit(3)) == 0).alias("test")))
     own = {k: F.col(k) for k in names}
     steps = [(i + 0.5) / cuts for i in range(cuts)]
     sides = [F.col("bad"), ~F.col("bad")]
@@ -154,7 +157,7 @@ def learn(labelled: DataFrame, columns: dict[str, Column], *, bad: Column, fold:
         if p0 < least_covered:
             break
         while n0 and len(rule) < max_conditions:
-            p, n, best = max(candidates(grow & holds(rule, own)), key=lambda x: (_gain(x[0], x[1], p0, n0), str(x[2])))
+            p, n, best = max(candidates(grow & holds(rule, own)), key=lambda x: (_gain(x[0], x[1], p0, n0), x[2].feature, x[2].above, -x[2].limit if x[2].above else x[2].limit))
             if _gain(p, n, p0, n0) <= 0:
                 break
             rule, p0, n0 = (*rule, best), p, n
@@ -178,5 +181,5 @@ def apply(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     measured = statistics(docs, text_col=text_col, out=stats)
     taught = labels.filter("quality is not null").select(F.col(id_col).alias("label_id"), (F.col("quality") == 0).alias("is_bad")).groupBy("label_id").agg(F.max("is_bad").alias("is_bad"))
     labelled = statistics(docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).join(taught, "label_id"), text_col="t", out=stats)
-    rules = learn(labelled, features(stats), bad=F.col("is_bad"), fold=F.pmod(F.xxhash64("label_id"), F.lit(10_000)), **params)
+    rules = learn(labelled, features(stats), bad=F.col("is_bad"), fold=F.pmod(F.xxhash64("label_id"), F.lit(FOLDS)), **params)
     return measured.withColumn(out, rejected_by(rules, features(stats))), rules
