@@ -34,6 +34,16 @@ def test_availability_of_a_submission_text(spark, accepted, day):
     assert chosen == "a.htm"
 
 
+def test_documents_beyond_the_header_limit_are_indexed(spark, tmp_path):
+    part = lambda kind, n, name, size: f"<DOCUMENT>\n<TYPE>{kind}\n<SEQUENCE>{n}\n<FILENAME>{name}\n<TEXT>{'x ' * size}</TEXT>\n</DOCUMENT>\n"
+    (tmp_path / "0000320193").mkdir()
+    text = "<SEC-HEADER>\nACCESSION NUMBER: 0000320193-23-000106\n</SEC-HEADER>\n" + part("EX-99", 1, "big.htm", 400_000) + part("10-K", 2, "late.htm", 10)
+    (tmp_path / "0000320193" / "0000320193-23-000106.txt").write_text(text)
+    found = filings.header_fields(filings.documents(files.complete_submissions(spark, str(tmp_path))))
+    row = found.select("accession_number_header", filings.choose_document(F.col("index"), F.lit(None).cast("string"), F.lit("10-k")).alias("d"), F.size("index").alias("n")).first()
+    assert (row.accession_number_header, row.n, row.d) == ("0000320193-23-000106", 2, "late.htm")
+
+
 def test_sections_take_the_longest_run_and_flag_missing_ones(spark):
     text = "Item 1A. Risk Factors Item 1B none. Item 1A. Risk Factors " + "peril " * 200 + "Item 1B. More Item 7. Management's Discussion short Item 7A."
     rows = {r.section_name: r for r in filings.sections(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), ["id"]).filter("id = 1").collect()}

@@ -20,6 +20,8 @@ HEADER_FIELDS = {
     "state_of_incorporation": r"STATE OF INCORPORATION:\s*([A-Z]+)",
     "fiscal_year_end": r"FISCAL YEAR END:\s*(\d{4})",
 }
+#: The start of a submission that holds its header; that limit is the format's.
+HEADER_CHARS = 250_000
 FORMS = ("10-K", "10-Q")
 
 
@@ -40,8 +42,9 @@ def filing_events(raw: DataFrame, *, forms: tuple[str, ...] = FORMS, lowest: str
 
 
 def header_fields(texts: DataFrame, column: str = "value") -> DataFrame:
-    """texts with header fields, first match each, and accepted_raw; absent ones are null. The header ends where the first document starts."""
-    header = F.element_at(F.split(F.element_at(F.split(column, "(?i)</(?:SEC|IMS)-HEADER>", 2), 1), "(?i)<DOCUMENT>", 2), 1)
+    """texts with header fields, first match each, and accepted_raw; absent ones are null. The header ends where the first document starts,
+    and is looked for in the first HEADER_CHARS characters."""
+    header = F.element_at(F.split(F.element_at(F.split(F.substring(column, 1, HEADER_CHARS), "(?i)</(?:SEC|IMS)-HEADER>", 2), 1), "(?i)<DOCUMENT>", 2), 1)
     got = texts.withColumn("_header", F.substring(header, 1, 200_000))
     first = lambda p: F.nullif(F.trim(F.regexp_extract("_header", f"(?i){p}", 1)), F.lit(""))
     return got.withColumns({k: first(p) for k, p in HEADER_FIELDS.items()} | {"accepted_raw": first(r"<ACCEPTANCE-DATETIME>\s*(\d{14})")}).drop("_header")

@@ -35,10 +35,10 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("source_file"), F.regexp_extract("_metadata.file_path", r"CIK(\d{10})", 1).alias("file_cik"), "*")
 
 
-def complete_submissions(spark: SparkSession, path: str, most_chars: int = 250_000) -> DataFrame:
-    """(path, value): each text file's first most_chars characters, which hold its header; that limit is the format's."""
+def complete_submissions(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): each text file as a whole, as documents are indexed over all of it."""
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.substring("value", 1, most_chars).alias("value"))
+    return raw.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def primary_documents(spark: SparkSession, path: str) -> DataFrame:
