@@ -74,6 +74,20 @@ def test_secrets_against_plain_patterns(spark):
     assert dense[len(ODD) + 4] == []
 
 
+def test_secrets_without_digits_in_names_and_in_paths(spark):
+    import string
+
+    r = random.Random(2)
+    random_key = lambda letters, n: "".join(r.choices(letters, k=n))
+    keys = [random_key(string.ascii_letters, 24) for _ in range(40)] + [random_key(string.ascii_letters + string.digits, 24) for _ in range(40)]
+    texts = [f(k) for k in keys for f in (str, lambda k: f"com/api/v1/authentication/users/information/{k}")] + ["an xkqjzvbnmwprtyl-8842 key"]
+    plain = ["com/api/v1/authentication/users/information", "responsibilities_and_requirements", "internationalization", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "documents/f81d4fae-7dec-11d0-a765-00a0c91e6bf6/information", "get-user-by-id-2024-release-notes", "-" * 40 + "title" + "-" * 40]
+    found = {x.doc_id: [x.text[s.start : s.end] for s in x.secrets if s.kind == "dense"] for x in secrets.secret_spans(frame(spark, texts + plain), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    hit = [any(k in x for x in found[2 * i + p]) for i, k in enumerate(keys) for p in (0, 1)]
+    assert sum(hit) >= 0.97 * len(hit) and found[len(texts) - 1] == ["xkqjzvbnmwprtyl-8842"]
+    assert all(found[len(texts) + k] == [] for k in range(len(plain)))
+
+
 def test_redaction_masks_spans_and_keeps_rows(spark):
     texts = [None, "", "clean text", "my password = Xk3jd92kfPq81z ok"]
     out = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}

@@ -1,8 +1,9 @@
 """Secret scans (operator 6): fixed patterns, and strings that a token vocabulary can't compress.
 
 Ordinary text takes few tokens for its length. A random key or password is cut into tokens of one or two characters, so its ratio of
-characters to tokens is low. Candidates are long runs of key characters with a digit and a letter; digests of known lengths, UUIDs
-and identifiers (words, numbers and short parts joined by - _ / =) are left out before the ratio is taken.
+characters to tokens is low. Candidates are long runs of key characters with a letter, what is left of them without known parts at
+either end, and their long parts between separators, so that a path before a key doesn't hide it. Digests of known lengths, UUIDs
+and identifiers (words that compress well, numbers and short parts joined by - _ / =) are left out before the ratio is taken.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-_UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
-_PART = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]*|[0-9]*|[A-Za-z]{1,3}[0-9]{1,4})\Z")
-_PARTS = re.compile(r"[-_/=+]+")
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+_SHORT = re.compile(r"(?:[0-9]*|[A-Za-z]{1,3}[0-9]{1,4})\Z")
+_LETTERS = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]*)\Z")
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: Letters that are an abbreviation whatever their tokens, and the least length of a candidate.
+_FEW, _LEAST = 4, 16
 
 
 class _Ratio:
@@ -48,11 +52,35 @@ class _Ratio:
         return len(s) / len(self.encoding.encode_ordinary(s))
 
 
-def is_known(s: str) -> bool:
-    """A digest of a usual length, a UUID, or an identifier made of words and numbers."""
-    if (len(s) in _DIGEST_LENGTHS and _DIGEST.match(s)) or _UUID.match(s):
+def is_known(part: str, ratio, most: float) -> bool:
+    """A part between separators that is a digest of a usual length, a number, a short name, or a word that compresses well."""
+    if _SHORT.match(part) or (len(part) in _DIGEST_LENGTHS and _DIGEST.match(part)):
         return True
-    return all(_PART.match(p) for p in _PARTS.split(s))
+    return bool(_LETTERS.match(part)) and (len(part) <= _FEW or ratio(part) >= most)
+
+
+def dense(s: str, ratio, most: float) -> list[tuple[int, int]]:
+    """The spans of a run of key characters that the vocabulary can't compress; the widest one that is known to be such."""
+    spans, at = [], 0
+    for m in _UUID.finditer(s):
+        spans += _dense(s, at, m.start(), ratio, most)
+        at = m.end()
+    return spans + _dense(s, at, len(s), ratio, most)
+
+
+def _dense(s: str, start: int, end: int, ratio, most: float) -> list[tuple[int, int]]:
+    def hard(a: int, b: int) -> bool:
+        return b - a >= _LEAST and any(c.isalpha() for c in s[a:b]) and ratio(s[a:b]) < most
+
+    if end - start < _LEAST:
+        return []
+    unknown = [m.span() for m in _PART.finditer(s, start, end) if not is_known(m[0], ratio, most)]
+    if not unknown:
+        return []
+    if hard(start, end):
+        return [(start, end)]
+    core = unknown[0][0], unknown[-1][1]
+    return [core] if hard(*core) else [x for x in unknown if hard(*x)]
 
 
 def scan(text: str, ratio, most: float) -> list[dict]:
@@ -64,9 +92,7 @@ def scan(text: str, ratio, most: float) -> list[dict]:
             if m.end(group) - m.start(group) >= least:
                 found.append((m.start(), rank, m.end(), kind))
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not is_known(s) and ratio(s) < most:
-            found.append((m.start(), len(KINDS), m.end(), "dense"))
+        found += [(m.start() + a, len(KINDS), m.start() + b, "dense") for a, b in dense(m[0], ratio, most)]
     return [{"kind": kind, "start": start, "end": end} for start, _, end, kind in sorted(found)]
 
 
