@@ -42,8 +42,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("word_bpe_49k.json")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return coded.select("doc_id", F.col("tokens.n_tokens").alias("n_tokens"), F.sha2("tokens.ids", 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("tokens.ids"), path), 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
+    return coded.select("doc_id", F.col("tokens.n_tokens").alias("n_tokens"), F.sha2("tokens.ids", 256).alias("ids_sha256"), F.col("tokens.decoded_sha256").alias("decoded_sha256"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
