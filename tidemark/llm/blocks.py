@@ -8,6 +8,9 @@ by an ordinary join on the block's number.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,29 +19,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release_shuffles, whole_text
+from .common import bucketed, whole_text
 
 #: Stand for the places before a text and for its end; neither byte occurs in UTF-8.
 START, END = 0xFF, 0xFE
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: So many bytes of a block are searched at a time, which bounds a task's memory.
 RUN_BYTES = 4 << 20
 
 
-def pack(docs: DataFrame, keys: list[str], *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, rows array<struct<keys>>, sizes, body): texts of a partition in order, until a block holds block_bytes; checkpointed.
+@contextlib.contextmanager
+def packed(docs: DataFrame, keys: list[str], *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[DataFrame]:
+    """(block, rows array<struct<keys>>, sizes, body): texts of a partition in order, until a block holds block_bytes.
 
-    body holds the compressed UTF-8 bytes. Null texts are empty. A text over block_bytes makes a block of its own.
+    body holds the compressed UTF-8 bytes. Null texts are empty. A text over block_bytes makes a block of its own. The blocks are a
+    table dealt out by block's number while the context lasts, so what is joined to them comes to where they lie.
     """
     frame = docs.select(F.struct(*keys).alias("row"), whole_text(text_col).alias("text"))
     row_type = frame.schema["row"].dataType.simpleString()
 
     def run(batches):
         base, number = TaskContext.get().partitionId() << 32, 0
-        rows, sizes, parts, total, kind = [], [], [], 0, None
+        rows, sizes, held, total, kind = [], [], [], 0, None
 
         def block():
-            body = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+            body = zstandard.ZstdCompressor(level=3).compress(b"".join(held))
             return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([rows], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32())), pa.array([body], pa.binary())], names=["block", "rows", "sizes", "body"])
 
         for batch in batches:
@@ -47,17 +52,16 @@ def pack(docs: DataFrame, keys: list[str], *, text_col: str = "text", block_byte
                 data = text.as_py().encode()
                 rows.append(row.as_py())
                 sizes.append(len(data))
-                parts.append(data)
+                held.append(data)
                 total += len(data)
                 if total >= block_bytes:
                     yield block()
-                    rows, sizes, parts, total, number = [], [], [], 0, number + 1
+                    rows, sizes, held, total, number = [], [], [], 0, number + 1
         if rows:
             yield block()
 
-    packed = checkpoint(frame.mapInArrow(run, f"block bigint, rows array<{row_type}>, sizes array<int>, body binary"))
-    release_shuffles(docs.sparkSession)  # those that dealt out the texts, if docs is a join
-    return packed
+    with bucketed(frame.mapInArrow(run, f"block bigint, rows array<{row_type}>, sizes array<int>, body binary"), "block") as found:
+        yield found
 
 
 def texts_of(body: bytes, sizes: list[int]) -> list[bytes]:
@@ -99,27 +103,31 @@ def runs(texts: list[bytes], most_bytes: int = RUN_BYTES):
         yield at, len(texts)
 
 
-def counted(texts: list[bytes], keys_of, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a block's texts, and how often each stands in texts for which train is true. keys_of(texts) gives keys and each text's first."""
+def counted(texts: list[bytes], keys_of, groups: np.ndarray, n_groups: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block's texts, and for each of n_groups how often they stand in its texts; texts of a negative group don't count.
+
+    keys_of(texts) gives keys and each text's first.
+    """
     found, counts = [], []
     for a, z in runs(texts):
         keys, first = keys_of(texts[a:z])
         codes, distinct = pd.factorize(keys)
+        of = np.repeat(groups[a:z], np.diff(first))
         found.append(distinct)
-        counts.append(np.bincount(codes[np.repeat(train[a:z], np.diff(first))], minlength=len(distinct)))
+        counts.append(np.stack([np.bincount(codes[of == g], minlength=len(distinct)) for g in range(n_groups)], 1))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros((0, n_groups), np.int64)
     codes, distinct = pd.factorize(np.concatenate(found))
-    total = np.zeros(len(distinct), np.int64)
+    total = np.zeros((len(distinct), n_groups), np.int64)
     np.add.at(total, codes, np.concatenate(counts))
     return distinct, total
 
 
-def counts_array(blocks: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """Lists of (k, c), one for each block."""
-    parts = [pa.StructArray.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["k", "c"]) for k, c in blocks]
-    kind = pa.struct([("k", pa.int64()), ("c", pa.int64())])
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32), pa.concat_arrays(parts) if parts else pa.array([], kind))
+def counts_array(blocks: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.Array:
+    """Lists of (k, names...), one for each block."""
+    kind = pa.struct([(n, pa.int64()) for n in ("k", *names)])
+    made = [pa.StructArray.from_arrays([pa.array(k, pa.int64()), *[pa.array(np.ascontiguousarray(c[:, j]), pa.int64()) for j in range(len(names))]], fields=list(kind)) for k, c in blocks]
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32), pa.concat_arrays(made) if made else pa.array([], kind))
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 The model counts byte n-grams, so it needs no word list and works for any language. Its tables are made with grouped counts and
 joins over distinct n-grams; blocks of texts ask for the n-grams they hold and get probabilities back (see blocks). A document's
-perplexity is compared with a limit that comes from the quantiles of trusted documents of its language.
+perplexity is compared with a high quantile of those of trusted documents of its language, each scored by a model without it.
 """
 
 from __future__ import annotations
@@ -53,74 +53,91 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int, symbols: int =
     return p.select("k", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), trusted_col: str, order: int = ORDER, prior_bytes: int = 40) -> DataFrame:
+def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), trusted_col: str, order: int = ORDER, prior_bytes: int = 120) -> DataFrame:
     """(id_col, keep..., n_bytes, log_perplexity): natural logarithm for each byte; empty and null texts have null.
 
-    Rows where trusted_col is true train the model. A text of n bytes counts with weight n against prior_bytes at the mean of all
-    trusted text, so that a few unusual bytes don't reject a very short text. A trusted text is scored with itself in the counts.
+    Rows where trusted_col is true train the models: one on each half of the ids, so that a trusted text is scored by the model of
+    the other half, without itself; all others get the mean of both. If one half has no text, the other's model scores all. A text
+    of n bytes counts with weight n against prior_bytes at the mean of all trusted text, so that a few unusual bytes don't reject a
+    very short text. The result is checkpointed.
     """
+    half = F.when(F.col(trusted_col), F.pmod(F.xxhash64(id_col), F.lit(2))).otherwise(-1).cast("int")
     keys = [id_col, *keep, trusted_col]
-    packed = B.pack(docs, keys, text_col=text_col)
+    fold = fresh(docs, "fold")
     grams_of = lambda texts: B.grams_of(texts, order, False)
 
-    @F.arrow_udf("array<struct<k:bigint,c:bigint>>")
+    @F.arrow_udf("array<struct<k:bigint,c0:bigint,c1:bigint>>")
     def ask(rows: pa.Array, sizes: pa.Array, body: pa.Array) -> pa.Array:
         out = []
         for r, s, b in zip(rows, sizes, body, strict=True):
-            trusted = np.array([bool(x[trusted_col].as_py()) for x in r], bool)
-            out.append(B.counted(B.texts_of(b.as_py(), s.as_py()), grams_of, trusted))
-        return B.counts_array(out)
-
-    asked = packed.select("block", F.explode(ask("rows", "sizes", "body")).alias("x")).select("block", "x.k", "x.c")
-    grams = checkpoint(asked.groupBy("k").agg(F.sum("c").alias("c")))
-    model = kneser_ney(grams.filter("c > 0"), grams.select("k"), order)
-    mean = grams.join(model, "k").agg(F.try_divide(F.sum(F.col("c") * F.col("logp")), F.sum("c"))).first()[0] or 0.0
-    answers = asked.select("block", "k").join(model, "k")
+            folds = r.values.field(fold).to_numpy(zero_copy_only=False)
+            out.append(B.counted(B.texts_of(b.as_py(), s.as_py()), grams_of, folds, 2))
+        return B.counts_array(out, ["c0", "c1"])
 
     @F.arrow_udf("array<double>")
-    def score(sizes: pa.Array, body: pa.Array, got: pa.Array) -> pa.Array:
+    def score(rows: pa.Array, sizes: pa.Array, body: pa.Array, got: pa.Array) -> pa.Array:
         out = []
-        for s, b, g in zip(sizes, body, got, strict=True):
+        for r, s, b, g in zip(rows, sizes, body, got, strict=True):
             texts, scores = B.texts_of(b.as_py(), s.as_py()), []
             if not g.is_valid:  # nothing but empty texts
                 out.append([None] * len(texts))
                 continue
-            value_of = B.Answers(g.values.field("k").to_numpy(zero_copy_only=False), g.values.field("logp").to_numpy(zero_copy_only=False))
+            folds = r.values.field(fold).to_numpy(zero_copy_only=False)
+            known = [g.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "logp0", "logp1")]
+            values_of = [B.Answers(known[0], x.astype(np.float64)) for x in known[1:]]
             for a, z in B.runs(texts):
                 grams, first = grams_of(texts[a:z])
-                total, n = B.sums(value_of(grams).astype(np.float64), first), np.diff(first)
-                scores += [-(t + mean * prior_bytes) / (m + prior_bytes) if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)]
+                by = [B.sums(of(grams), first) for of in values_of]
+                total = np.select([folds[a:z] == 0, folds[a:z] == 1], [by[1], by[0]], (by[0] + by[1]) / 2)
+                scores += [-(t + mean * prior_bytes) / (m + prior_bytes) if m else None for t, m in zip(total.tolist(), np.diff(first).tolist(), strict=True)]
             out.append(scores)
         return pa.array(out, pa.list_(pa.float64()))
 
-    scored = B.with_answers(packed, answers, ["logp"])
-    each = scored.select(F.explode(F.arrays_zip("rows", "sizes", score("sizes", "body", "got").alias("score"))).alias("x"))
-    return each.select(*[F.col("x.rows")[c].alias(c) for c in keys], F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.score").alias("log_perplexity"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", middle: float = 0.5, upper: float = 0.9, reach: float = 8.0, order: int = ORDER) -> DataFrame:
-    """(id_col, lang_col, n_bytes, log_perplexity, log_limit, accepted), one row for each row of docs.
-
-    labels: (id_col, quality); documents labelled 1 are the trusted text, all of them. log_limit of a language is q(middle) +
-    reach * (q(upper) - q(middle)) over the log-perplexities of its trusted documents. Documents above the limit aren't accepted.
-    Empty and null texts are accepted (they hold nothing to judge); so are languages without trusted text, null among them.
+    with B.packed(docs.withColumn(fold, half), [*keys, fold], text_col=text_col) as packed:
+        asked = packed.select("block", F.explode(ask("rows", "sizes", "body")).alias("x")).select("block", "x.*")
+        grams = checkpoint(asked.groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+        have = grams.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c0", "c1")]).first()
+        model = None
+        for j in (0, 1):
+            c = f"c{j if have[j] or not have[1 - j] else 1 - j}"
+            own = kneser_ney(grams.filter(F.col(c) > 0).select("k", F.col(c).alias("c")), grams.select("k"), order).withColumnRenamed("logp", f"logp{j}")
+            model = own if model is None else checkpoint(model.join(own, "k"))
+        held_out = F.col("c0") * F.col("logp1") + F.col("c1") * F.col("logp0")
+        mean = grams.join(model, "k").agg(F.try_divide(F.sum(held_out), F.sum(F.col("c0") + F.col("c1")))).first()[0] or 0.0
+        answers = asked.select("block", "k").join(model, "k")
+        scored = B.with_answers(packed, answers, ["logp0", "logp1"])
+        each = scored.select(F.explode(F.arrays_zip("rows", "sizes", score("rows", "sizes", "body", "got").alias("score"))).alias("x"))
+        return checkpoint(each.select(*[F.col("x.rows")[c].alias(c) for c in keys], F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.score").alias("log_perplexity")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] = (), share: float = 0.995, least_trusted: int = 50, order: int = ORDER) -> DataFrame:
+    """(id_col, lang_col, keep..., n_bytes, log_perplexity, log_limit, accepted), one row for each row of docs.
+
+    labels: (id_col, quality); documents labelled 1 are the trusted text, all of them. log_limit of a language is the quantile
+    ``share`` of the log-perplexities of its trusted documents, each scored without itself; a language with fewer than least_trusted
+    of them, null among them, takes the higher of its own quantile and that of all trusted documents. Documents above the limit
+    aren't accepted. Empty and null texts are accepted, as they hold nothing to judge; so is everything if nothing is trusted.
     A label of a repeated id counts for all its rows; repeated labels count as trusted if any is 1.
     """
     flag = fresh(docs, "trusted")
     good = small_side(labels.filter("quality = 1").select(F.col(id_col).alias(flag + "_id")).distinct())
-    marked = docs.select(id_col, lang_col, text_col).join(good, F.col(id_col) == F.col(flag + "_id"), "left").select(id_col, lang_col, text_col, F.col(flag + "_id").isNotNull().alias(flag))
-    found = checkpoint(perplexities(marked, id_col=id_col, text_col=text_col, keep=[lang_col], trusted_col=flag, order=order))
-    q = F.percentile_approx("log_perplexity", [middle, upper], 10_000)
-    limits = found.filter(F.col(flag)).groupBy(lang_col).agg(q.alias("q")).select(F.col(lang_col).alias("of_lang"), (F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0])).alias("log_limit"))
-    limits = checkpoint(limits)
+    columns = list(dict.fromkeys([id_col, lang_col, *keep, text_col]))
+    marked = docs.join(good, F.col(id_col) == F.col(flag + "_id"), "left").select(*columns, F.col(flag + "_id").isNotNull().alias(flag))
+    found = perplexities(marked, id_col=id_col, text_col=text_col, keep=[lang_col, *keep], trusted_col=flag, order=order)
+    trusted = found.filter(F.col(flag))
+    q = F.percentile_approx("log_perplexity", share, 10_000)
+    overall = trusted.agg(q.alias("q")).first().q
+    limits = checkpoint(trusted.groupBy(lang_col).agg(q.alias("own"), F.count("*").alias("n")).select(F.col(lang_col).alias("of_lang"), F.when(F.col("n") >= least_trusted, F.col("own")).otherwise(F.greatest("own", F.lit(overall).cast("double"))).alias("log_limit")))
     if limits.count() <= 10_000:  # a row for each language; beyond this size Spark chooses the join
         limits = F.broadcast(limits)
-    joined = found.join(limits, F.col(lang_col) == F.col("of_lang"), "left")
-    return joined.select(id_col, lang_col, "n_bytes", "log_perplexity", "log_limit", F.coalesce(F.col("log_perplexity") <= F.col("log_limit"), F.lit(True)).alias("accepted"))
+    joined = found.join(limits, F.col(lang_col) == F.col("of_lang"), "left").withColumn("log_limit", F.coalesce("log_limit", F.lit(overall).cast("double")))
+    return joined.select(id_col, lang_col, *keep, "n_bytes", "log_perplexity", "log_limit", F.coalesce(F.col("log_perplexity") <= F.col("log_limit"), F.lit(True)).alias("accepted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of docs whose documents are accepted, with the columns of docs; rows with a null id stay."""
-    name = fresh(docs, "rejected_id")
-    bad = classify(docs, labels, id_col=id_col, **params).filter("not accepted").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(small_side(bad), F.col(id_col) == F.col(name), "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **params) -> DataFrame:
+    """The rows of docs that are accepted, with the columns of docs. Rows of one id are judged each by its own text and language."""
+    name, row = fresh(docs, "rejected_id"), fresh(docs, "rejected_row")
+    key = F.xxhash64(text_col, lang_col)
+    judged = classify(docs.withColumn(row, key), labels, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=[row], **params)
+    bad = judged.filter("not accepted").select(F.col(id_col).alias(name), row).distinct()
+    return docs.join(small_side(bad), F.col(id_col).eqNullSafe(F.col(name)) & (key == F.col(row)), "left_anti")

@@ -12,7 +12,7 @@ modulo V picks 17 of every 273 positions of a text so that for any two positions
 4. Each text gets back the names that occur twice, and removes the bytes that they cover.
 
 Names are 64-bit hashes of the bytes. Blocks of texts send each distinct name once (see blocks), so a passage that stands in a third
-of all documents is one row for each block, and no group of equal suffixes comes together in one task.
+of all documents is one row for each block, and no group of equal suffixes comes together in one task. Blocks stay where they lie.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -30,6 +30,7 @@ from .common import checkpoint, release_shuffles
 from .words import mix, powers
 
 V = 273
+BLOCK_BYTES = 2 << 20
 #: A perfect difference set modulo 273.
 COVER = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
 _PICKED = np.zeros(V, bool)
@@ -43,7 +44,7 @@ class _Texts:
         self.data = np.frombuffer(b"".join(B.texts_of(body, sizes)), np.uint8)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        up, self.down = powers(len(self.data) + 1)
+        up, self.down = powers(len(self.data) + 1)  # a block's size bounds these tables
         self.sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=self.sums[1:])
 
@@ -69,8 +70,11 @@ class _Texts:
         body = (self.sums[ends] - self.sums[at - before]) * self.down[at - before]
         return at, before, mix(body + mix((before * 1024 + ends - at).astype(np.uint64))).view(np.int64)
 
-    def near(self, marked: np.ndarray, length: int) -> np.ndarray:
-        """Positions i that hold length bytes of the text of a marked position in [i, i + V)."""
+    def near(self, stems: np.ndarray, length: int) -> np.ndarray:
+        """Positions of strings of ``length`` bytes that hold, from one of their first V positions on, a picked suffix named in stems."""
+        stem = length - V + 1
+        picked = self.picked(stem)
+        marked = picked[_among(self.names(picked, stem), stems)]
         first = self.starts[np.searchsorted(self.starts, marked, side="right") - 1]
         return np.flatnonzero(self.within(np.maximum(marked - V + 1, first), marked) & self.fitting(length))
 
@@ -96,11 +100,21 @@ def _known(got: pa.Scalar) -> np.ndarray:
     return got.values.to_numpy(zero_copy_only=False) if got.is_valid else np.zeros(0, np.int64)
 
 
-def _twice(asked: DataFrame) -> DataFrame:
-    """(block, ks): for each block those of its names that stand at two places or more anywhere; one shuffle serves both sides."""
-    dealt = asked.repartition(F.col("k"))
-    more = dealt.groupBy("k").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("k")
-    return checkpoint(dealt.join(more, "k", "left_semi").groupBy("block").agg(F.collect_list("k").alias("ks")))
+def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return pd.Index(known).get_indexer(names) >= 0 if len(known) else np.zeros(len(names), bool)
+
+
+def _marked(asked: DataFrame) -> DataFrame:
+    """asked with a column ``more``: whether its name stands at two places or more anywhere. A name has one row for a block at most."""
+    of_name = Window.partitionBy("k")
+    return asked.withColumn("more", (F.count("*").over(of_name) > 1) | F.max("twice").over(of_name))
+
+
+def _listed(rows: DataFrame, name: str, column: str = "k") -> DataFrame:
+    """(block, name): the names that each block holds; checkpointed, after which the shuffles before it may go."""
+    out = checkpoint(rows.groupBy("block").agg(F.collect_list(column).alias(name)))
+    release_shuffles(rows.sparkSession)
+    return out
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_bytes: bool = True) -> DataFrame:
@@ -108,18 +122,16 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     A byte is removed if a string of ``length`` bytes of its text covers it that also starts at another place of any text; length must
     be over 273. Null and empty texts, and texts shorter than length, keep all bytes; a repeated row is another place. kept is
-    null unless keep_bytes. Other columns of docs aren't returned.
+    null unless keep_bytes. Other columns of docs aren't returned. The result is checkpointed.
     """
     if length <= V:
         raise ValueError(f"length must be over {V}")
-    spark = docs.sparkSession
     stem = length - V + 1
-    packed = B.pack(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], block_bytes=4 << 20)
     kind = "array<struct<k:bigint,twice:boolean>>"
 
     @F.arrow_udf(kind)
     def sample(sizes: pa.Array, body: pa.Array) -> pa.Array:
-        texts = [_Texts(b.as_py(), s.as_py()) for s, b in zip(sizes, body, strict=True)]
+        texts = (_Texts(b.as_py(), s.as_py()) for s, b in zip(sizes, body, strict=True))
         return _counted([t.names(t.picked(stem), stem) for t in texts])
 
     @F.arrow_udf("array<struct<k:bigint,twice:boolean,stem:bigint>>")
@@ -128,7 +140,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for s, b, k in zip(sizes, body, ks, strict=True):
             t = _Texts(b.as_py(), s.as_py())
             at = t.picked(stem)
-            at, _, names = t.wide(at[pd.Index(_known(k)).get_indexer(t.names(at, stem)) >= 0], length)
+            at, _, names = t.wide(at[_among(t.names(at, stem), _known(k))], length)
             codes, distinct = pd.factorize(names)
             own = np.zeros(len(distinct), np.int64)
             own[codes] = t.names(at, stem)  # a wide name holds its stem
@@ -137,42 +149,23 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out))
 
     @F.arrow_udf(kind)
-    def merge(sizes: pa.Array, body: pa.Array, ks: pa.Array) -> pa.Array:
-        out = []
-        for s, b, k in zip(sizes, body, ks, strict=True):
-            t = _Texts(b.as_py(), s.as_py())
-            at = t.picked(stem)
-            marked = at[pd.Index(_known(k)).get_indexer(t.names(at, stem)) >= 0]
-            out.append(t.names(t.near(marked, length), length))
-        return _counted(out)
-
-    first = _twice(packed.select("block", F.explode(sample("sizes", "body")).alias("x")).select("block", "x.k", "x.twice"))
-    release_shuffles(spark)
-    going = packed.join(first, "block")  # blocks without a repeated name are done
-    dealt = going.select("block", F.explode(widen("sizes", "body", "ks")).alias("x")).select("block", "x.*").repartition(F.col("k"))
-    again = dealt.groupBy("k").agg(((F.count("*") > 1) | F.max("twice")).alias("again"))
-    wide = checkpoint(dealt.join(again, "k").select("block", "k", "stem", "again"))
-    release_shuffles(spark)
-    whole = checkpoint(wide.filter("again").groupBy("block").agg(F.collect_list("k").alias("whole")))
-    edges = wide.filter("not again").select("stem").distinct()
-    held = checkpoint(wide.select("block", "stem").distinct().join(edges, "stem", "left_semi").groupBy("block").agg(F.collect_list("stem").alias("ks")))
-    release_shuffles(spark)
-    second = _twice(packed.join(held, "block").select("block", F.explode(merge("sizes", "body", "ks")).alias("x")).select("block", "x.k", "x.twice"))
-    release_shuffles(spark)
+    def merge(sizes: pa.Array, body: pa.Array, edges: pa.Array) -> pa.Array:
+        texts = ((_Texts(b.as_py(), s.as_py()), _known(e)) for s, b, e in zip(sizes, body, edges, strict=True))
+        return _counted([t.names(t.near(e, length), length) for t, e in texts])
 
     @F.arrow_udf("array<struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary,sha:string>>")
-    def cut(sizes: pa.Array, body: pa.Array, ks: pa.Array, whole: pa.Array) -> pa.Array:
+    def cut(sizes: pa.Array, body: pa.Array, edges: pa.Array, whole: pa.Array, single: pa.Array) -> pa.Array:
         out = []
-        for s, b, k, w in zip(sizes, body, ks, whole, strict=True):
-            t, names, known = _Texts(b.as_py(), s.as_py()), _known(k), _known(w)
+        for s, b, e, w, n in zip(sizes, body, edges, whole, single, strict=True):
+            t = _Texts(b.as_py(), s.as_py())
             gone = np.zeros(len(t.data), bool)
-            if len(names):
-                at = np.flatnonzero(t.fitting(length))
-                hit = at[pd.Index(names).get_indexer(t.names(at, length)) >= 0]
-                gone |= t.within(hit, hit + length - 1)
-            if len(known):
-                at, before, found = t.wide(t.picked(stem), length)
-                held = pd.Index(known).get_indexer(found) >= 0
+            if n.is_valid:
+                at = t.near(_known(e), length)
+                held = at[_among(t.names(at, length), _known(n))]
+                gone = t.within(held, held + length - 1)
+            if w.is_valid:
+                at, before, names = t.wide(t.picked(stem), length)
+                held = _among(names, _known(w))
                 at, low = at[held], (at - before)[held]
                 last = t.starts[np.searchsorted(t.starts, at, side="right")]
                 gone |= t.within(low, np.minimum(at + length, last) - 1)
@@ -185,5 +178,15 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             out.append(rows)
         return pa.array(out, pa.list_(pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("sha", pa.string())])))
 
-    each = packed.join(second, "block", "left").join(whole, "block", "left").select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "ks", "whole").alias("c"))).alias("x"))
-    return each.select(F.col("x.rows.id").alias(id_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.c.spans").alias("spans"), F.col("x.c.kept").alias("kept"), F.col("x.c.sha").alias("kept_sha256"))
+    with B.packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], block_bytes=BLOCK_BYTES) as packed:
+        asks = lambda frame, made: _marked(frame.select("block", F.explode(made).alias("x")).select("block", "x.*"))
+        stems = _listed(asks(packed, sample("sizes", "body")).filter("more"), "ks")
+        # blocks without a repeated name are done
+        wide = checkpoint(asks(packed.join(stems, "block"), widen("sizes", "body", "ks")).select("block", "k", "stem", "more"))
+        whole = _listed(wide.filter("more"), "whole")
+        lone = wide.filter("not more").select("stem").distinct()
+        edges = _listed(wide.select("block", "stem").distinct().join(lone, "stem", "left_semi"), "edges", "stem")
+        single = _listed(asks(packed.join(edges, "block"), merge("sizes", "body", "edges")).filter("more"), "single")
+        all_of = packed.join(edges, "block", "left").join(whole, "block", "left").join(single, "block", "left")
+        each = all_of.select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "edges", "whole", "single").alias("c"))).alias("x"))
+        return checkpoint(each.select(F.col("x.rows.id").alias(id_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.c.spans").alias("spans"), F.col("x.c.kept").alias("kept"), F.col("x.c.sha").alias("kept_sha256")))

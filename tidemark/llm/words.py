@@ -61,16 +61,18 @@ def word_spans(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Spans are hashed about so many bytes at a time; tables of powers of that size are kept, larger ones aren't.
+CHUNK = 1 << 17
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of BASE and of its inverse."""
     up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of BASE and of its inverse."""
-    return _powers(1 << max(16, int(n).bit_length()))
+_kept_powers = functools.lru_cache(maxsize=1)(powers)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,8 +83,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand."""
-    up, down = powers(len(body) + 1)
-    sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes, spans in order; equal bytes have equal hashes wherever they stand."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, base + CHUNK)))
+        part = body[base : int(ends[at:to].max())]
+        up, down = _kept_powers(2 * CHUNK) if len(part) < 2 * CHUNK else powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        a, z = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64))
+        at = to
+    return out
