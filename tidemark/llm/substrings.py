@@ -8,7 +8,8 @@ modulo V picks 17 of every 273 positions of a text so that for any two positions
 2. Picked suffixes whose name occurs twice are named again, with all bytes that a match around them can hold (V - 1 before, length
    after, cut at the text's ends). Where that wide name occurs twice, all strings of ``length`` bytes around the suffix are repeated.
 3. A name of step 1 that some suffix holds whose wide name is unique stands at the edge of a match. Only there suffixes are named
-   one by one, by their whole prefix of ``length`` bytes, and equal names meet again: the comparison of adjacent prefixes.
+   one by one, by their whole prefix of ``length`` bytes, and equal names meet again: the comparison of adjacent prefixes. Answers
+   go to suffixes that no wide name has settled.
 4. Each text gets back the names that occur twice, and removes the bytes that they cover.
 
 Names are 64-bit hashes of the bytes. Blocks of texts send each distinct name once (see blocks), so a passage that stands in a third
@@ -78,6 +79,16 @@ class _Texts:
         first = self.starts[np.searchsorted(self.starts, marked, side="right") - 1]
         return np.flatnonzero(self.within(np.maximum(marked - V + 1, first), marked) & self.fitting(length))
 
+    def settled(self, whole: np.ndarray, length: int) -> np.ndarray:
+        """True at the positions of strings of ``length`` bytes within the surroundings that a name in whole stands for."""
+        if not len(whole):
+            return np.zeros(len(self.data), bool)
+        at, before, names = self.wide(self.picked(length - V + 1), length)
+        held = _among(names, whole)
+        at, low = at[held], (at - before)[held]
+        last = self.starts[np.searchsorted(self.starts, at, side="right")]
+        return self.within(low, np.minimum(at + length, last) - length)
+
     def within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """True at the positions between any low and its high, both included."""
         edge = np.zeros(len(self.data) + 1, np.int64)
@@ -148,27 +159,30 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             out.append(pa.StructArray.from_arrays([pa.array(distinct, pa.int64()), pa.array(twice, pa.bool_()), pa.array(own, pa.int64())], ["k", "twice", "stem"]))
         return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out))
 
-    @F.arrow_udf(kind)
-    def merge(sizes: pa.Array, body: pa.Array, edges: pa.Array) -> pa.Array:
-        texts = ((_Texts(b.as_py(), s.as_py()), _known(e)) for s, b, e in zip(sizes, body, edges, strict=True))
-        return _counted([t.names(t.near(e, length), length) for t, e in texts])
+    @F.arrow_udf("array<struct<k:bigint,twice:boolean,open:boolean>>")
+    def merge(sizes: pa.Array, body: pa.Array, edges: pa.Array, whole: pa.Array) -> pa.Array:
+        out = []
+        for s, b, e, w in zip(sizes, body, edges, whole, strict=True):
+            t = _Texts(b.as_py(), s.as_py())
+            at = t.near(_known(e), length)
+            codes, distinct = pd.factorize(t.names(at, length))
+            twice = np.bincount(codes, minlength=len(distinct)) > 1
+            left = np.bincount(codes, weights=~t.settled(_known(w), length)[at], minlength=len(distinct)) > 0
+            out.append(pa.StructArray.from_arrays([pa.array(distinct, pa.int64()), pa.array(twice, pa.bool_()), pa.array(left, pa.bool_())], ["k", "twice", "open"]))
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out))
 
     @F.arrow_udf("array<struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary,sha:string>>")
     def cut(sizes: pa.Array, body: pa.Array, edges: pa.Array, whole: pa.Array, single: pa.Array) -> pa.Array:
         out = []
         for s, b, e, w, n in zip(sizes, body, edges, whole, single, strict=True):
             t = _Texts(b.as_py(), s.as_py())
-            gone = np.zeros(len(t.data), bool)
+            found = t.settled(_known(w), length)
             if n.is_valid:
                 at = t.near(_known(e), length)
-                held = at[_among(t.names(at, length), _known(n))]
-                gone = t.within(held, held + length - 1)
-            if w.is_valid:
-                at, before, names = t.wide(t.picked(stem), length)
-                held = _among(names, _known(w))
-                at, low = at[held], (at - before)[held]
-                last = t.starts[np.searchsorted(t.starts, at, side="right")]
-                gone |= t.within(low, np.minimum(at + length, last) - 1)
+                at = at[~found[at]]
+                found[at[_among(t.names(at, length), _known(n))]] = True
+            at = np.flatnonzero(found)
+            gone = t.within(at, at + length - 1)
             rows = []
             for a, z in zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True):
                 part = np.concatenate(([False], gone[a:z], [False]))
@@ -186,7 +200,8 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         whole = _listed(wide.filter("more"), "whole")
         lone = wide.filter("not more").select("stem").distinct()
         edges = _listed(wide.select("block", "stem").distinct().join(lone, "stem", "left_semi"), "edges", "stem")
-        single = _listed(asks(packed.join(edges, "block"), merge("sizes", "body", "edges")).filter("more"), "single")
+        near = packed.join(edges, "block").join(whole, "block", "left")
+        single = _listed(asks(near, merge("sizes", "body", "edges", "whole")).filter("more and open"), "single")
         all_of = packed.join(edges, "block", "left").join(whole, "block", "left").join(single, "block", "left")
         each = all_of.select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "edges", "whole", "single").alias("c"))).alias("x"))
         return checkpoint(each.select(F.col("x.rows.id").alias(id_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.c.spans").alias("spans"), F.col("x.c.kept").alias("kept"), F.col("x.c.sha").alias("kept_sha256")))
