@@ -7,9 +7,9 @@ modulo V picks 17 of every 273 positions of a text so that for any two positions
    names are brought together. A picked suffix with a unique name lies in no repeat.
 2. Picked suffixes whose name occurs twice are named again, with all bytes that a match around them can hold (V - 1 before, length
    after, cut at the text's ends). Where that wide name occurs twice, all strings of ``length`` bytes around the suffix are repeated.
-3. A name of step 1 that some suffix holds whose wide name is unique stands at the edge of a match. Only there suffixes are named
-   one by one, by their whole prefix of ``length`` bytes, and equal names meet again: the comparison of adjacent prefixes. Answers
-   go to suffixes that no wide name has settled.
+3. What no wide name settles are suffixes at the edges of matches. They tell at which distances they stand before picked suffixes,
+   by these suffixes' names; suffixes at such distances from equal names anywhere are named one by one, by their whole prefix of
+   ``length`` bytes, and equal names meet again: the comparison of adjacent prefixes.
 4. Each text gets back the names that occur twice, and removes the bytes that they cover.
 
 Names are 64-bit hashes of the bytes. Blocks of texts send each distinct name once (see blocks), so a passage that stands in a third
@@ -71,13 +71,32 @@ class _Texts:
         body = (self.sums[ends] - self.sums[at - before]) * self.down[at - before]
         return at, before, mix(body + mix((before * 1024 + ends - at).astype(np.uint64))).view(np.int64)
 
-    def near(self, stems: np.ndarray, length: int) -> np.ndarray:
-        """Positions of strings of ``length`` bytes that hold, from one of their first V positions on, a picked suffix named in stems."""
-        stem = length - V + 1
-        picked = self.picked(stem)
-        marked = picked[_among(self.names(picked, stem), stems)]
-        first = self.starts[np.searchsorted(self.starts, marked, side="right") - 1]
-        return np.flatnonzero(self.within(np.maximum(marked - V + 1, first), marked) & self.fitting(length))
+    def marked(self, stems: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The picked suffixes named in stems: where they are, the first position of their text, and the place of their names in stems."""
+        picked = self.picked(length - V + 1)
+        which = pd.Index(stems).get_indexer(self.names(picked, length - V + 1)) if len(stems) else np.full(len(picked), -1)
+        at = picked[which >= 0]
+        return at, self.starts[np.searchsorted(self.starts, at, side="right") - 1], which[which >= 0]
+
+    def reach(self, stems: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the stems the least and the largest distance at which an unsettled string starts before it; -1 if none does."""
+        low, high = np.full(len(stems), V), np.full(len(stems), -1)
+        at, first, which = self.marked(stems, length)
+        left = np.flatnonzero(self.fitting(length) & ~self.settled(whole, length))
+        a, z = np.searchsorted(left, np.maximum(at - V + 1, first)), np.searchsorted(left, at, side="right") - 1
+        some = a <= z
+        np.minimum.at(low, which[some], at[some] - left[z[some]])
+        np.maximum.at(high, which[some], at[some] - left[a[some]])
+        return np.where(high < 0, -1, low), high
+
+    def near(self, got: pa.Scalar, length: int) -> np.ndarray:
+        """Positions of strings of ``length`` bytes that start at the given distances before picked suffixes of the given names."""
+        if not got.is_valid:
+            return np.zeros(0, np.int64)
+        stems, low, high = (got.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "low", "high"))
+        at, first, which = self.marked(stems, length)
+        a, z = np.maximum(at - high[which], first), at - low[which]
+        return np.flatnonzero(self.within(a[a <= z], z[a <= z]) & self.fitting(length))
 
     def settled(self, whole: np.ndarray, length: int) -> np.ndarray:
         """True at the positions of strings of ``length`` bytes within the surroundings that a name in whole stands for."""
@@ -121,9 +140,9 @@ def _marked(asked: DataFrame) -> DataFrame:
     return asked.withColumn("more", (F.count("*").over(of_name) > 1) | F.max("twice").over(of_name))
 
 
-def _listed(rows: DataFrame, name: str, column: str = "k") -> DataFrame:
-    """(block, name): the names that each block holds; checkpointed, after which the shuffles before it may go."""
-    out = checkpoint(rows.groupBy("block").agg(F.collect_list(column).alias(name)))
+def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(block, name): the names that each block holds, or structs of columns; checkpointed, after which the shuffles before it may go."""
+    out = checkpoint(rows.groupBy("block").agg(F.collect_list(F.struct(*columns) if columns else "k").alias(name)))
     release_shuffles(rows.sparkSession)
     return out
 
@@ -145,26 +164,29 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         texts = (_Texts(b.as_py(), s.as_py()) for s, b in zip(sizes, body, strict=True))
         return _counted([t.names(t.picked(stem), stem) for t in texts])
 
-    @F.arrow_udf("array<struct<k:bigint,twice:boolean,stem:bigint>>")
+    @F.arrow_udf(kind)
     def widen(sizes: pa.Array, body: pa.Array, ks: pa.Array) -> pa.Array:
         out = []
         for s, b, k in zip(sizes, body, ks, strict=True):
             t = _Texts(b.as_py(), s.as_py())
-            at = t.picked(stem)
-            at, _, names = t.wide(at[_among(t.names(at, stem), _known(k))], length)
-            codes, distinct = pd.factorize(names)
-            own = np.zeros(len(distinct), np.int64)
-            own[codes] = t.names(at, stem)  # a wide name holds its stem
-            twice = np.bincount(codes, minlength=len(distinct)) > 1
-            out.append(pa.StructArray.from_arrays([pa.array(distinct, pa.int64()), pa.array(twice, pa.bool_()), pa.array(own, pa.int64())], ["k", "twice", "stem"]))
-        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out))
+            out.append(t.wide(t.marked(_known(k), length)[0], length)[2])
+        return _counted(out)
+
+    @F.arrow_udf("array<struct<k:bigint,low:int,high:int>>")
+    def reach(sizes: pa.Array, body: pa.Array, ks: pa.Array, whole: pa.Array) -> pa.Array:
+        out = []
+        for s, b, k, w in zip(sizes, body, ks, whole, strict=True):
+            low, high = _Texts(b.as_py(), s.as_py()).reach(_known(k), _known(w), length)
+            out.append([pa.array(_known(k), pa.int64()), pa.array(low, pa.int32(), mask=low < 0), pa.array(high, pa.int32(), mask=high < 0)])
+        parts = [pa.StructArray.from_arrays(x, ["k", "low", "high"]) for x in out]
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32), pa.concat_arrays(parts))
 
     @F.arrow_udf("array<struct<k:bigint,twice:boolean,open:boolean>>")
     def merge(sizes: pa.Array, body: pa.Array, edges: pa.Array, whole: pa.Array) -> pa.Array:
         out = []
         for s, b, e, w in zip(sizes, body, edges, whole, strict=True):
             t = _Texts(b.as_py(), s.as_py())
-            at = t.near(_known(e), length)
+            at = t.near(e, length)
             codes, distinct = pd.factorize(t.names(at, length))
             twice = np.bincount(codes, minlength=len(distinct)) > 1
             left = np.bincount(codes, weights=~t.settled(_known(w), length)[at], minlength=len(distinct)) > 0
@@ -178,7 +200,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             t = _Texts(b.as_py(), s.as_py())
             found = t.settled(_known(w), length)
             if n.is_valid:
-                at = t.near(_known(e), length)
+                at = t.near(e, length)
                 at = at[~found[at]]
                 found[at[_among(t.names(at, length), _known(n))]] = True
             at = np.flatnonzero(found)
@@ -193,15 +215,16 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pa.array(out, pa.list_(pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("sha", pa.string())])))
 
     with B.packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], block_bytes=BLOCK_BYTES) as packed:
-        asks = lambda frame, made: _marked(frame.select("block", F.explode(made).alias("x")).select("block", "x.*"))
-        stems = _listed(asks(packed, sample("sizes", "body")).filter("more"), "ks")
+        asks = lambda frame, made: frame.select("block", F.explode(made).alias("x")).select("block", "x.*")
+        stems = _listed(_marked(asks(packed, sample("sizes", "body"))).filter("more"), "ks")
         # blocks without a repeated name are done
-        wide = checkpoint(asks(packed.join(stems, "block"), widen("sizes", "body", "ks")).select("block", "k", "stem", "more"))
-        whole = _listed(wide.filter("more"), "whole")
-        lone = wide.filter("not more").select("stem").distinct()
-        edges = _listed(wide.select("block", "stem").distinct().join(lone, "stem", "left_semi"), "edges", "stem")
+        going = packed.join(stems, "block")
+        whole = _listed(_marked(asks(going, widen("sizes", "body", "ks"))).filter("more"), "whole")
+        of_stem = Window.partitionBy("k")
+        reached = asks(going.join(whole, "block", "left"), reach("sizes", "body", "ks", "whole")).select("block", "k", F.min("low").over(of_stem).alias("low"), F.max("high").over(of_stem).alias("high"))
+        edges = _listed(reached.filter("high is not null"), "edges", "k", "low", "high")
         near = packed.join(edges, "block").join(whole, "block", "left")
-        single = _listed(asks(near, merge("sizes", "body", "edges", "whole")).filter("more and open"), "single")
+        single = _listed(_marked(asks(near, merge("sizes", "body", "edges", "whole"))).filter("more and open"), "single")
         all_of = packed.join(edges, "block", "left").join(whole, "block", "left").join(single, "block", "left")
         each = all_of.select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "edges", "whole", "single").alias("c"))).alias("x"))
         return checkpoint(each.select(F.col("x.rows.id").alias(id_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.c.spans").alias("spans"), F.col("x.c.kept").alias("kept"), F.col("x.c.sha").alias("kept_sha256")))
