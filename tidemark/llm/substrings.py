@@ -12,8 +12,9 @@ modulo V picks 17 of every 273 positions of a text so that for any two positions
    ``length`` bytes, and equal names meet again: the comparison of adjacent prefixes.
 4. Each text gets back the names that occur twice, and removes the bytes that they cover.
 
-Names are 64-bit hashes of the bytes. Blocks of texts send each distinct name once (see blocks), so a passage that stands in a third
-of all documents is one row for each block, and no group of equal suffixes comes together in one task. Blocks stay where they lie.
+Names are 62-bit hashes of the bytes. Blocks of texts send each distinct name once, sorted and packed by ranges of names (see _sent);
+a range stands for a fixed size of text, so the names that meet in one task don't grow with the corpus. A passage that stands in a
+third of all documents is one name for each block. Blocks stay where they lie.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -38,6 +40,15 @@ _PICKED = np.zeros(V, bool)
 _PICKED[list(COVER)] = True
 
 
+#: So many bytes of text send their names to one range of names.
+SHARD_BYTES = 8 << 20
+
+
+def _name(x: np.ndarray) -> np.ndarray:
+    """62 mixed bits; the two lowest are left free."""
+    return (mix(x) & ~np.uint64(3)).view(np.int64)
+
+
 class _Texts:
     """The bytes of a block's texts, and names of the windows in them."""
 
@@ -50,7 +61,7 @@ class _Texts:
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=self.sums[1:])
 
     def names(self, at: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.sums[at + length] - self.sums[at]) * self.down[at]).view(np.int64)
+        return _name((self.sums[at + length] - self.sums[at]) * self.down[at])
 
     def fitting(self, length: int) -> np.ndarray:
         """True at the positions from which length bytes of the same text follow."""
@@ -69,7 +80,7 @@ class _Texts:
         fits = ends - at + before >= length
         at, before, ends = at[fits], before[fits], ends[fits]
         body = (self.sums[ends] - self.sums[at - before]) * self.down[at - before]
-        return at, before, mix(body + mix((before * 1024 + ends - at).astype(np.uint64))).view(np.int64)
+        return at, before, _name(body + mix((before * 1024 + ends - at).astype(np.uint64)))
 
     def marked(self, stems: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The picked suffixes named in stems: where they are, the first position of their text, and the place of their names in stems."""
@@ -89,14 +100,16 @@ class _Texts:
         np.maximum.at(high, which[some], at[some] - left[a[some]])
         return np.where(high < 0, -1, low), high
 
-    def near(self, got: pa.Scalar, length: int) -> np.ndarray:
-        """Positions of strings of ``length`` bytes that start at the given distances before picked suffixes of the given names."""
-        if not got.is_valid:
-            return np.zeros(0, np.int64)
-        stems, low, high = (got.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "low", "high"))
-        at, first, which = self.marked(stems, length)
-        a, z = np.maximum(at - high[which], first), at - low[which]
-        return np.flatnonzero(self.within(a[a <= z], z[a <= z]) & self.fitting(length))
+    def marked(self, stems: np.ndarray, stem: int) -> np.ndarray:
+        """The picked suffixes named in stems."""
+        at = self.picked(stem)
+        return at[_among(self.names(at, stem), stems)]
+
+    def near(self, stems: np.ndarray, length: int) -> np.ndarray:
+        """Positions of strings of ``length`` bytes that hold, from one of their first V positions on, a picked suffix named in stems."""
+        marked = self.marked(stems, length - V + 1)
+        first = self.starts[np.searchsorted(self.starts, marked, side="right") - 1]
+        return np.flatnonzero(self.within(np.maximum(marked - V + 1, first), marked) & self.fitting(length))
 
     def settled(self, whole: np.ndarray, length: int) -> np.ndarray:
         """True at the positions of strings of ``length`` bytes within the surroundings that a name in whole stands for."""
@@ -116,34 +129,71 @@ class _Texts:
         return np.cumsum(edge)[:-1] > 0
 
 
-def _counted(names: list[np.ndarray]) -> pa.Array:
-    parts = []
-    for n in names:
-        codes, distinct = pd.factorize(n)
-        twice = np.bincount(codes, minlength=len(distinct)) > 1
-        parts.append(pa.StructArray.from_arrays([pa.array(distinct, pa.int64()), pa.array(twice, pa.bool_())], ["k", "twice"]))
-    kind = pa.struct([("k", pa.int64()), ("twice", pa.bool_())])
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), pa.concat_arrays(parts) if parts else pa.array([], kind))
+_SENT = "array<struct<shard:int,names:binary>>"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted unsigned integers as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=np.uint64(0)).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64), dtype=np.uint64)
+
+
+def _sent(names: np.ndarray, shards: int, wanted: np.ndarray | None = None) -> list[dict]:
+    """The distinct names of a block, packed for each of ``shards`` equal ranges.
+
+    The lowest bit of a sent name tells that it stands twice in the block, the next one that some place with it wants an answer.
+    """
+    codes, distinct = pd.factorize(names)
+    twice = np.bincount(codes, minlength=len(distinct)) > 1
+    asks = np.ones(len(distinct), bool) if wanted is None else np.bincount(codes, weights=wanted, minlength=len(distinct)) > 0
+    values = np.sort(distinct.view(np.uint64) | (asks.astype(np.uint64) << np.uint64(1)) | twice.astype(np.uint64))
+    shard = ((values >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(values)] if len(values) else []
+    return [{"shard": int(shard[a]), "names": _packed(values[a:z])} for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def _meet(rows: pa.Table, any_asks: bool = False) -> pa.Table:
+    """Of one range: for each block its names that want an answer and stand at two places or more anywhere.
+
+    With any_asks the names for which some block wants an answer, for all blocks that hold them.
+    """
+    lists = [_unpacked(x.as_py()) for x in rows.column("names")]
+    block = np.repeat(rows.column("block").to_numpy(), [len(x) for x in lists])
+    values = np.concatenate(lists)
+    order = np.argsort(values, kind="stable")
+    values, block = values[order], block[order]
+    names, asks = values >> np.uint64(2), (values & np.uint64(2)) > 0
+    starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(names)])))
+    if any_asks:
+        good = np.repeat(np.logical_or.reduceat(asks, starts), sizes)
+    else:
+        good = np.repeat((sizes > 1) | np.logical_or.reduceat((values & np.uint64(1)) > 0, starts), sizes) & asks
+    names, block = names[good] << np.uint64(2), block[good]
+    order = np.argsort(block, kind="stable")
+    names, block = names[order], block[order]
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else []
+    return pa.table({"block": pa.array(block[cuts[:-1]] if cuts else block, pa.int64()), "names": pa.array([_packed(names[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
 
 def _known(got: pa.Scalar) -> np.ndarray:
-    return got.values.to_numpy(zero_copy_only=False) if got.is_valid else np.zeros(0, np.int64)
+    """The names of a block, from what the ranges sent."""
+    return np.concatenate([_unpacked(x.as_py()) for x in got.values]).view(np.int64) if got.is_valid else np.zeros(0, np.int64)
 
 
 def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
     return pd.Index(known).get_indexer(names) >= 0 if len(known) else np.zeros(len(names), bool)
 
 
-def _marked(asked: DataFrame) -> DataFrame:
-    """asked with a column ``more``: whether its name stands at two places or more anywhere. A name has one row for a block at most."""
-    of_name = Window.partitionBy("k")
-    return asked.withColumn("more", (F.count("*").over(of_name) > 1) | F.max("twice").over(of_name))
-
-
-def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-    """(block, name): the names that each block holds, or structs of columns; checkpointed, after which the shuffles before it may go."""
-    out = checkpoint(rows.groupBy("block").agg(F.collect_list(F.struct(*columns) if columns else "k").alias(name)))
-    release_shuffles(rows.sparkSession)
+def _answers(asks: DataFrame, name: str, any_asks: bool = False) -> DataFrame:
+    """(block, name): the packed names that _meet gives each block; checkpointed, after which the shuffles before it may go."""
+    rows = asks.select("block", F.explode("sent").alias("x")).select("block", "x.shard", "x.names")
+    met = rows.groupBy("shard").applyInArrow(lambda t: _meet(t, any_asks), "block bigint, names binary")
+    out = checkpoint(met.groupBy("block").agg(F.collect_list("names").alias(name)))
+    release_shuffles(asks.sparkSession)
     return out
 
 
@@ -157,41 +207,33 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if length <= V:
         raise ValueError(f"length must be over {V}")
     stem = length - V + 1
-    kind = "array<struct<k:bigint,twice:boolean>>"
 
-    @F.arrow_udf(kind)
-    def sample(sizes: pa.Array, body: pa.Array) -> pa.Array:
-        texts = (_Texts(b.as_py(), s.as_py()) for s, b in zip(sizes, body, strict=True))
-        return _counted([t.names(t.picked(stem), stem) for t in texts])
+    def asked(frame: DataFrame, names_of, *lists: str) -> DataFrame:
+        """(block, sent): names_of(texts, *lists of known names) gives a block's names, and which of them want an answer."""
 
-    @F.arrow_udf(kind)
-    def widen(sizes: pa.Array, body: pa.Array, ks: pa.Array) -> pa.Array:
-        out = []
-        for s, b, k in zip(sizes, body, ks, strict=True):
-            t = _Texts(b.as_py(), s.as_py())
-            out.append(t.wide(t.marked(_known(k), length)[0], length)[2])
-        return _counted(out)
+        @F.arrow_udf(_SENT)
+        def ask(sizes: pa.Array, body: pa.Array, *got: pa.Array) -> pa.Array:
+            out = []
+            for s, b, *known in zip(sizes, body, *got, strict=True):
+                names, wanted = names_of(_Texts(b.as_py(), s.as_py()), *map(_known, known))
+                out.append(_sent(names, shards, wanted))
+            return pa.array(out, pa.list_(pa.struct([("shard", pa.int32()), ("names", pa.binary())])))
 
-    @F.arrow_udf("array<struct<k:bigint,low:int,high:int>>")
-    def reach(sizes: pa.Array, body: pa.Array, ks: pa.Array, whole: pa.Array) -> pa.Array:
-        out = []
-        for s, b, k, w in zip(sizes, body, ks, whole, strict=True):
-            low, high = _Texts(b.as_py(), s.as_py()).reach(_known(k), _known(w), length)
-            out.append([pa.array(_known(k), pa.int64()), pa.array(low, pa.int32(), mask=low < 0), pa.array(high, pa.int32(), mask=high < 0)])
-        parts = [pa.StructArray.from_arrays(x, ["k", "low", "high"]) for x in out]
-        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32), pa.concat_arrays(parts))
-
-    @F.arrow_udf("array<struct<k:bigint,twice:boolean,open:boolean>>")
-    def merge(sizes: pa.Array, body: pa.Array, edges: pa.Array, whole: pa.Array) -> pa.Array:
-        out = []
-        for s, b, e, w in zip(sizes, body, edges, whole, strict=True):
-            t = _Texts(b.as_py(), s.as_py())
-            at = t.near(e, length)
-            codes, distinct = pd.factorize(t.names(at, length))
-            twice = np.bincount(codes, minlength=len(distinct)) > 1
-            left = np.bincount(codes, weights=~t.settled(_known(w), length)[at], minlength=len(distinct)) > 0
-            out.append(pa.StructArray.from_arrays([pa.array(distinct, pa.int64()), pa.array(twice, pa.bool_()), pa.array(left, pa.bool_())], ["k", "twice", "open"]))
-        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32), pa.concat_arrays(out))
+        return frame.select("block", ask("sizes", "body", *lists).alias("sent"))
+
+    def sample(t: _Texts):
+        return t.names(t.picked(stem), stem), None
+
+    def widen(t: _Texts, stems: np.ndarray):
+        return t.wide(t.marked(stems, stem), length)[2], None
+
+    def edge(t: _Texts, stems: np.ndarray, whole: np.ndarray):
+        at, _, names = t.wide(t.marked(stems, stem), length)
+        return t.names(at, stem), ~_among(names, whole)
+
+    def merge(t: _Texts, edges: np.ndarray, whole: np.ndarray):
+        at = t.near(edges, length)
+        return t.names(at, length), ~t.settled(whole, length)[at]
 
     @F.arrow_udf("array<struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary,sha:string>>")
     def cut(sizes: pa.Array, body: pa.Array, edges: pa.Array, whole: pa.Array, single: pa.Array) -> pa.Array:
@@ -200,7 +242,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             t = _Texts(b.as_py(), s.as_py())
             found = t.settled(_known(w), length)
             if n.is_valid:
-                at = t.near(e, length)
+                at = t.near(_known(e), length)
                 at = at[~found[at]]
                 found[at[_among(t.names(at, length), _known(n))]] = True
             at = np.flatnonzero(found)
@@ -215,16 +257,14 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pa.array(out, pa.list_(pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("sha", pa.string())])))
 
     with B.packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], block_bytes=BLOCK_BYTES) as packed:
-        asks = lambda frame, made: frame.select("block", F.explode(made).alias("x")).select("block", "x.*")
-        stems = _listed(_marked(asks(packed, sample("sizes", "body"))).filter("more"), "ks")
-        # blocks without a repeated name are done
-        going = packed.join(stems, "block")
-        whole = _listed(_marked(asks(going, widen("sizes", "body", "ks"))).filter("more"), "whole")
-        of_stem = Window.partitionBy("k")
-        reached = asks(going.join(whole, "block", "left"), reach("sizes", "body", "ks", "whole")).select("block", "k", F.min("low").over(of_stem).alias("low"), F.max("high").over(of_stem).alias("high"))
-        edges = _listed(reached.filter("high is not null"), "edges", "k", "low", "high")
+        total = packed.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
+        shards = total // SHARD_BYTES + 1
+        stems = _answers(asked(packed, sample), "stems")
+        going = packed.join(stems, "block")  # blocks without a repeated name are done
+        whole = _answers(asked(going, widen, "stems"), "whole")
+        edges = _answers(asked(going.join(whole, "block", "left"), edge, "stems", "whole"), "edges", any_asks=True)
         near = packed.join(edges, "block").join(whole, "block", "left")
-        single = _listed(_marked(asks(near, merge("sizes", "body", "edges", "whole"))).filter("more and open"), "single")
+        single = _answers(asked(near, merge, "edges", "whole"), "single")
         all_of = packed.join(edges, "block", "left").join(whole, "block", "left").join(single, "block", "left")
         each = all_of.select(F.explode(F.arrays_zip("rows", "sizes", cut("sizes", "body", "edges", "whole", "single").alias("c"))).alias("x"))
         return checkpoint(each.select(F.col("x.rows.id").alias(id_col), F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.c.spans").alias("spans"), F.col("x.c.kept").alias("kept"), F.col("x.c.sha").alias("kept_sha256")))
