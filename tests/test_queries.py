@@ -6,12 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import queries, research
+from tidemark import panels, queries, research
 from tidemark.functions import expr as E
 from tidemark.operators import market, tables
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | research.QUERIES, queries.ORACLES | research.ORACLES
+QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

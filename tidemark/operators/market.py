@@ -70,30 +70,24 @@ def fold_metrics(df: DataFrame, group: list[str], truth: str, predicted: str) ->
     return rows.groupBy(*group).agg(F.count("*").alias("n_rows"), F.sqrt(F.avg(F.pow(F.col(truth) - F.col(predicted), 2))).alias("rmse"), F.avg(F.abs(F.col(truth) - F.col(predicted))).alias("mae"), correlation(truth, predicted).alias("pearson"), correlation("_rt", "_rp").alias("spearman"))
 
 
-def holdings(df: DataFrame, *, period: str, name: str, score: str, group: list[str] = (), long_q: float = 0.9, short_q: float = 0.1, min_names: int = 10) -> DataFrame:
-    """Top and bottom share of names of each period with weights +1/k and -1/k; periods under min_names have none; long wins overlaps."""
+def holdings(df: DataFrame, *, period: str, name: str, score: str, group: list[str] = (), outcome: str | None = None, long_q: float = 0.9, short_q: float = 0.1, min_names: int = 10) -> DataFrame:
+    """Top and bottom share of names of each period with weights +1/k and -1/k; periods under min_names have none; long wins overlaps.
+
+    Rows without a score, or without an outcome if one is named, leave before names are ranked.
+    """
     by = [*group, period]
     n = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.filter(F.col(score).isNotNull()).withColumns({"_n": n, "_r": F.row_number().over(Window.partitionBy(*by).orderBy(score, name))}).filter(F.col("_n") >= min_names)
+    known = df.filter(F.col(score).isNotNull() & (F.col(outcome).isNotNull() if outcome else F.lit(True)))
+    ranked = known.withColumns({"_n": n, "_r": F.row_number().over(Window.partitionBy(*by).orderBy(score, name))}).filter(F.col("_n") >= min_names)
     k_long, k_short = F.greatest(F.lit(1), F.ceil(F.col("_n") * (1 - F.lit(long_q)))), F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(short_q)))
     weight = F.when(F.col("_r") > F.col("_n") - k_long, 1 / k_long).when(F.col("_r") <= k_short, -1 / k_short)
     return ranked.withColumn("weight", weight).filter("weight is not null").drop("_n", "_r")
 
 
-def period_returns(held: DataFrame, *, period: str, name: str, outcome: str, group: list[str] = (), bps: float = 10.0) -> DataFrame:
-    """Gross return, turnover (half the absolute weight change since the previous held period), cost and net return."""
-    ordered = held.withColumn("_k", F.dense_rank().over(Window.partitionBy(*group).orderBy(period))) if group else held.join(held.select(period).distinct().withColumn("_k", F.row_number().over(Window.orderBy(period))), period)
-    now = ordered.select(*group, "_k", name, "weight")
-    before = now.select(*group, (F.col("_k") + 1).alias("_k"), name, F.col("weight").alias("_old"))
-    turnover = now.join(before, [*group, "_k", name], "full").groupBy(*group, "_k").agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))) / 2).alias("turnover"))
-    gross = ordered.groupBy(*group, period, "_k").agg(F.sum(F.col("weight") * F.col(outcome)).alias("gross_return"), F.count_if(F.col("weight") > 0).alias("long_count"), F.count_if(F.col("weight") < 0).alias("short_count"))
-    cost = F.col("turnover") * bps / 10_000
-    return gross.join(turnover, [*group, "_k"]).select(*group, period, "gross_return", "long_count", "short_count", "turnover", cost.alias("cost"), (F.col("gross_return") - cost).alias("net_return"))
-
-
 def performance(returns: DataFrame, *, period: str, net: str = "net_return", group: list[str] = (), per_year: int = 12) -> DataFrame:
     """One row for each group: cumulative and annual return, volatility, Sharpe, worst drawdown, hit rate, profit factor."""
     w = Window.partitionBy(*group).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
+    returns = returns.withColumn(net, F.col(net).cast("double"))
     grown = returns.withColumn("_index", F.product(1 + F.col(net)).over(w))
     grown = grown.withColumn("_drawdown", F.col("_index") / F.max("_index").over(w) - 1)
     c = F.col(net)

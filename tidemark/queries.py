@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import market, tables
+from tidemark.operators import market, performance, tables
 
 LEXICON = {"positive": ("WAS", "FOR", "AND"), "negative": ("NOT", "NO", "ON"), "uncertainty": ("THAT", "IT", "OR")}
 
@@ -102,14 +102,9 @@ def decile_holdings(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(held, "weight").select("month", "l_suppkey", "score", "weight")
 
 
-def portfolio_returns(spark: SparkSession, d: str) -> DataFrame:
-    held = market.holdings(_scores(spark, d), period="month", name="l_suppkey", score="score")
-    return _rounded(market.period_returns(held, period="month", name="l_suppkey", outcome="outcome"), "gross_return", "turnover", "cost", "net_return")
-
-
 def performance_summary(spark: SparkSession, d: str) -> DataFrame:
-    held = market.holdings(_scores(spark, d), period="month", name="l_suppkey", score="score").withColumn("strategy", F.lit("discount"))
-    out = market.performance(market.period_returns(held, period="month", name="l_suppkey", outcome="outcome", group=["strategy"]), period="month", group=["strategy"])
+    held = market.holdings(_scores(spark, d), period="month", name="l_suppkey", score="score", outcome="outcome").withColumn("strategy", F.lit("discount"))
+    out = market.performance(performance.period_returns(held, period="month", name="l_suppkey", outcome="outcome", group=["strategy"]), period="month", group=["strategy"])
     return _rounded(out, "cumulative", "mean_return", "volatility", "max_drawdown", "hit_rate", "profit_factor", "annualized", "sharpe")
 
 
@@ -135,8 +130,7 @@ ORACLES = {
     "semi_join_facts": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')",
     "fold_ic": "with a as (select strftime(l_shipdate, '%Y-%m') as month, l_tax as y, l_discount as p, rank() over (partition by strftime(l_shipdate, '%Y-%m') order by l_tax) + (count(*) over (partition by strftime(l_shipdate, '%Y-%m'), l_tax) - 1) / 2 as ry, rank() over (partition by strftime(l_shipdate, '%Y-%m') order by l_discount) + (count(*) over (partition by strftime(l_shipdate, '%Y-%m'), l_discount) - 1) / 2 as rp from lineitem) select month, count(*) as n_rows, round(sqrt(avg((y - p) ** 2)), 6) as rmse, round(avg(abs(y - p)), 6) as mae, round(covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0), 6) as pearson, round(covar_pop(ry, rp) / nullif(stddev_pop(ry) * stddev_pop(rp), 0), 6) as spearman from a group by month",
     "decile_holdings": f"with {_SCORES} select month, l_suppkey, score, round(weight, 6) as weight from h",
-    "portfolio_returns": f"with {_RETURNS} select month, round(gross_return, 6) as gross_return, long_count, short_count, round(turnover, 6) as turnover, round(cost, 6) as cost, round(net_return, 6) as net_return from ret",
     "performance_summary": f"with {_RETURNS}, ix as (select *, exp(sum(ln(1 + net_return)) over (order by month)) as i from ret), dd as (select *, i / max(i) over (order by month) - 1 as dd from ix), z as (select 'discount' as strategy, count(*) as periods, exp(sum(ln(1 + net_return))) - 1 as cumulative, avg(net_return) as mean_return, stddev_samp(net_return) as volatility, min(dd) as max_drawdown, avg((net_return > 0)::double) as hit_rate, sum(net_return) filter (net_return > 0) / nullif(-sum(net_return) filter (net_return < 0), 0) as profit_factor from dd) select strategy, periods, round(cumulative, 6) as cumulative, round(mean_return, 6) as mean_return, round(volatility, 6) as volatility, round(max_drawdown, 6) as max_drawdown, round(hit_rate, 6) as hit_rate, round(profit_factor, 6) as profit_factor, round((1 + cumulative) ** (12.0 / periods) - 1, 6) as annualized, round(mean_return / nullif(volatility, 0) * sqrt(12), 6) as sharpe from z",
     "contract_validation": "with c(artifact, check_name, failures) as (select 'orders', 'min_rows', greatest(1 - count(*), 0) from orders union all select 'orders', 'not_null:o_orderkey', count(*) filter (o_orderkey is null) from orders union all select 'orders', 'not_null:o_custkey', count(*) filter (o_custkey is null) from orders union all select 'orders', 'unique:o_orderkey', count(*) - count(distinct o_orderkey) from orders union all select 'orders', 'allowed:o_orderstatus', count(*) filter (o_orderstatus not in ('F', 'O', 'P')) from orders union all select 'lineitem', 'min_rows', greatest(1 - count(*), 0) from lineitem union all select 'lineitem', 'not_null:l_orderkey', count(*) filter (l_orderkey is null) from lineitem union all select 'lineitem', 'unique:l_orderkey+l_linenumber', count(*) - count(distinct (l_orderkey, l_linenumber)) from lineitem union all select 'lineitem', 'allowed:l_returnflag', count(*) filter (l_returnflag not in ('A', 'N')) from lineitem) select *, case when failures = 0 then 'PASS' else 'FAIL' end as status from c",
 }
-QUERIES = {f.__name__: f for f in (forward_returns_asof, daily_returns, latest_per_key, first_seen_duplicates, comparable_deltas, composite_scores, concept_pivot_ratios, lexicon_features, html_clean, semi_join_facts, walk_forward_folds, fold_ic, decile_holdings, portfolio_returns, performance_summary, contract_validation)}
+QUERIES = {f.__name__: f for f in (forward_returns_asof, daily_returns, latest_per_key, first_seen_duplicates, comparable_deltas, composite_scores, concept_pivot_ratios, lexicon_features, html_clean, semi_join_facts, walk_forward_folds, fold_ic, decile_holdings, performance_summary, contract_validation)}
