@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,11 +124,43 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-4
 
 
+def test_gibbs_tables_follow_the_exact_posterior():
+    # four customers of one dish, all partitions of them weighed by the process itself
+    theta, d, rest, p = 1.0, 0.4, 3, 0.3
+
+    def weigh(sizes, left):
+        if not left:
+            return {len(sizes): 1.0}
+        out = Counter()
+        for k, n in enumerate(sizes):
+            for t, w in weigh([*sizes[:k], n + 1, *sizes[k + 1 :]], left - 1).items():
+                out[t] += w * (n - d)
+        for t, w in weigh([*sizes, 1], left - 1).items():
+            out[t] += w * (theta + d * (rest + len(sizes))) * p
+        return out
+
+    exact = weigh([], 4)
+    n = 20_000
+    full = lambda x, kind: np.full(n, x, kind)
+    tables, mean = hpylm.gibbs(full(4, np.int64), full(rest, np.int64), full(p, float), np.arange(n), theta=theta, discount=d, salt=(1,), moves=40)
+    share = Counter(tables.tolist())
+    for t, w in exact.items():
+        assert abs(share[t] / n - w / sum(exact.values())) < 0.015
+    again, _ = hpylm.gibbs(full(4, np.int64)[:7], full(rest, np.int64)[:7], full(p, float)[:7], np.arange(7), theta=theta, discount=d, salt=(1,), moves=40)
+    assert again.tolist() == tables[:7].tolist()  # whatever stands beside a dish
+
+
+def test_language_model_beats_the_base_on_held_out_documents(spark):
+    rows = queries.op2_hpylm(spark, SMALL.replace("sf0.001", "sf0.01")).filter("held_out and n_tokens > 1").collect()
+    assert sum(r.score > r.base_score for r in rows) >= 0.6 * len(rows)
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.96
+
+
 def test_language_model_sums_to_one_and_base_is_exact(spark):
     counts = Counter(g for t in (b"banana band", b"bandana", b"an ant") for g in plain_grams(t, 3, True))
     table = spark.createDataFrame(list(counts.items()), "k long, c long")
     wanted = spark.createDataFrame([((int.from_bytes(b"an", "big") << 8) | s,) for s in range(256)], "k long")
-    assert abs(sum(r.p for r in hpylm.sampled_probabilities(table, wanted, 3, symbols=256).collect()) - 1) < 1e-6
+    assert abs(sum(r.p for r in hpylm.byte_model(table, wanted, 3, symbols=256).collect()) - 1) < 1e-6
     texts = [*ODD, *(f"common words and {k % 7} rare{k}" for k in range(60))]
     got = hpylm.score(frame(spark, texts), held_out=F.crc32(F.col("doc_id").cast("string")) % 10 == 0).collect()
     assert len(got) == len(texts) + 1
