@@ -153,7 +153,7 @@ def test_gibbs_tables_follow_the_exact_posterior():
 def test_language_model_beats_the_base_on_held_out_documents(spark):
     rows = queries.op2_hpylm(spark, SMALL.replace("sf0.001", "sf0.01")).filter("held_out and n_tokens > 1").collect()
     assert sum(r.score > r.base_score for r in rows) >= 0.6 * len(rows)
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.96
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.985
 
 
 def test_language_model_sums_to_one_and_base_is_exact(spark):
