@@ -26,7 +26,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", *, max_ro
         offers = seen.select(F.explode(F.array(F.struct(F.col("p").alias("u"), F.col("n").alias("o")), F.struct(F.col("u").alias("u"), F.least("p", "g", "n").alias("o")))).alias("x")).select("x.*")
         best = offers.groupBy("u").agg(F.min("o").alias("o"))
         step = checkpoint(parent.join(best, "u").select("u", F.least("p", "o").alias("q"), F.col("p")))
-        changed = step.filter("q <> p").limit(1).count()
+        changed = not step.filter("q <> p").isEmpty()
         parent = step.select("u", F.col("q").alias("p"))
         if not changed:
             return parent.select(F.col("u").alias("node"), F.col("p").alias("root"))

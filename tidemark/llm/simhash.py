@@ -13,10 +13,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, small_side
+from .common import checkpoint, fresh, release_shuffles, small_side
 from .components import connected_components
 from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
 
@@ -179,6 +180,20 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str, size: int, sam
     return values[order], (len(rows) - np.arange(len(rows)))[order]
 
 
+def _packed_set(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes, as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(np.unique(hashes >> np.uint64(24)), prepend=np.uint64(0)).tobytes())
+
+
+def _unpacked_set(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64), dtype=np.uint64)
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
+
+
 def _able(size_a, size_b, pos_a, pos_b, similarity: float):
     """Whether sets of these sizes, whose first common shingle has these positions in them, can be similar enough. Arrays or columns."""
     least = F.least if isinstance(size_a, Column) else np.minimum
@@ -189,7 +204,8 @@ def _able(size_a, size_b, pos_a, pos_b, similarity: float):
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bucket_rows: int = 1024, sample: int = 5000) -> DataFrame:
     """(id_col, component): groups of texts whose word shingles have at least this similarity, component being the smallest id.
 
-    The similarity is the exact Jaccard similarity of the sets of shingles (compared as 64-bit hashes), and a group holds everything
+    The similarity is the exact Jaccard similarity of the sets of shingles (compared as 40-bit hashes, of which two of a set or pair
+    agree by chance about once in ten million pairs of usual texts), and a group holds everything
     that a chain of such pairs reaches; no pair is lost or added. Two sets of this similarity share one of the first shingles of
     each in any fixed order, so these are the keys under which sets meet. A sample of texts tells which shingles are common and go
     last, which changes the cost only. First every set is checked against a few neighbours under its keys, which joins large groups;
@@ -197,6 +213,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Sets that meet under common keys without being similar are still compared by pairs. Texts without words are copies of each
     other. Repeated rows share a group; null ids never name a group of others.
     """
+    spark = docs.sparkSession
     common, ranks = _common_shingles(docs, id_col, text_col, size, sample)
 
     @F.arrow_udf("struct<n:bigint,size:int,prefix:array<bigint>>")
@@ -209,11 +226,18 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             prefixes.append(_prefix(hashes, similarity, common, ranks).view(np.int64))
         return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["n", "size", "prefix"])
 
-    @F.arrow_udf("struct<n:bigint,hashes:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,packed:binary>")
     def whole(column: pa.Array) -> pa.Array:
-        sets = [np.unique(h) for h in each_shingles(column, size, 42)]
-        ns = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(ns), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["n", "hashes"])
+        ns, packed = [], []
+        for hashes in each_shingles(column, size, 42):
+            hashes = np.unique(hashes)
+            ns.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+            packed.append(_packed_set(hashes))
+        return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], ["n", "packed"])
+
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([_jaccard(_unpacked_set(a.as_py()), _unpacked_set(b.as_py())) >= similarity - 1e-9 for a, b in zip(x, y, strict=True)], pa.bool_())
 
     text_hash = F.xxhash64(F.col(text_col))
     made = checkpoint(docs.select(F.col(id_col).alias("id"), text_hash.alias("th"), make(F.col(text_col)).alias("s")).select("id", "th", "s.*"))
@@ -228,9 +252,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         wanted = small_side(asked.join(prints, "n").select("th").distinct())
         texts = docs.select(text_hash.alias("th"), F.col(text_col).alias("t")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("t").alias("t"))
         known = checkpoint(texts.select(whole(F.col("t")).alias("s")).select("s.*"))
-        both = pairs.join(known.select(F.col("n").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("n").alias("b"), F.col("hashes").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+        release_shuffles(spark)
+        both = pairs.join(known.select(F.col("n").alias("a"), F.col("packed").alias("x")), "a").join(known.select(F.col("n").alias("b"), F.col("packed").alias("y")), "b")
+        found = checkpoint(both.select("a", "b", alike("x", "y").alias("ok")).filter("ok").select("a", "b"))
+        release_shuffles(spark)
+        return found
 
     along = Window.partitionBy("h").orderBy(F.xxhash64("h", "n"))
     nexts = met.select("n", "size", "pos", *[F.lead(c).over(along).alias(f"{c}_2") for c in ("n", "size", "pos")]).filter("n_2 is not null")
@@ -238,9 +264,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = able.select(F.least("n", "n_2").alias("a"), F.greatest("n", "n_2").alias("b")).distinct()
     few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
     tried = checkpoint(pairs.withColumn("k", few).filter("k <= 4").select("a", "b"))
-    first = checkpoint(similar(tried))
+    first = similar(tried)
 
     roots = connected_components(first)
+    release_shuffles(spark)
     rooted = met.join(roots.withColumnRenamed("node", "n"), "n", "left").select("n", "h", "size", "pos", "rows", F.coalesce("root", "n").alias("root"))
     of_key = Window.partitionBy("h")
     split = rooted.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high")).filter("low <> high")
@@ -255,6 +282,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     rest = blocks.select("i", "j", "xs").mapInArrow(open_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
     rest = checkpoint(rest)
+    release_shuffles(spark)
     edges = first if rest.isEmpty() else first.union(similar(rest))
     roots = connected_components(edges)
     rooted = prints.join(roots, prints["n"] == roots["node"], "left").select("n", "low", F.coalesce("root", "n").alias("root"))
