@@ -25,7 +25,7 @@ from .common import bucketed, whole_text
 START, END = 0xFF, 0xFE
 BLOCK_BYTES = 8 << 20
 #: So many bytes of a block are searched at a time, which bounds a task's memory.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 @contextlib.contextmanager
