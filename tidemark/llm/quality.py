@@ -107,7 +107,7 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         answers = asked.select("block", "k").join(model, "k")
         scored = B.with_answers(packed, answers, ["logp0", "logp1"])
         each = scored.select(F.explode(F.arrays_zip("rows", "sizes", score("rows", "sizes", "body", "got").alias("score"))).alias("x"))
-        return checkpoint(each.select(*[F.col("x.rows")[c].alias(c) for c in keys], F.col("x.sizes").cast("bigint").alias("n_bytes"), F.col("x.score").alias("log_perplexity")))
+        return checkpoint(each.select(*[F.col("x.rows")[c].alias(c) for c in keys], F.col("x.sizes").cast("bigint").alias("n_bytes"), F.round("x.score", 9).alias("log_perplexity")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] = (), share: float = 0.995, least_trusted: int = 50, order: int = ORDER) -> DataFrame:
