@@ -7,13 +7,15 @@ perplexity is compared with a high quantile of those of trusted documents of its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import checkpoint, fresh, small_side
+from .common import checkpoint, fresh, release_shuffles, scratch, small_side
 
 ORDER = 4
 
@@ -26,15 +28,16 @@ def _suffix(column, n: int):
     return F.col(column).bitwiseAND(F.lit((1 << (8 * n)) - 1).cast("bigint"))
 
 
-def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int, symbols: int = 257) -> DataFrame:
+def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int, symbols: int = 257, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """(k, logp): the natural logarithm of the probability of each wanted n-gram's last byte after its others.
 
     counts: (k, c), distinct n-grams of the highest order and their counts; wanted: (k), distinct. Lower orders count the distinct
     bytes that stand before an n-gram. Discounts D1, D2, D3+ of each order come from its counts of counts, and are 0.5, 0.75, 0.9 where these are too few.
+    keep cuts the lineage of a step's table.
     """
     levels = {order: counts}
     for n in range(order - 1, 0, -1):
-        levels[n] = checkpoint(levels[n + 1].select(_suffix("k", n).alias("k")).groupBy("k").agg(F.count("*").alias("c")))
+        levels[n] = keep(levels[n + 1].select(_suffix("k", n).alias("k")).groupBy("k").agg(F.count("*").alias("c")))
     p = wanted.select("k", F.lit(1.0 / symbols).alias("p"))
     for n in range(1, order + 1):
         t = levels[n]
@@ -49,7 +52,7 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int, symbols: int =
         term = t.select("k", (F.col("c") - cut).alias("kept"))
         asked = p.select("k", "p", _suffix("k", n).alias("g")).withColumn("h", F.shiftright("g", 8))
         p = asked.join(term.withColumnRenamed("k", "g"), "g", "left").join(context, "h", "left").select("k", F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("kept", F.lit(0.0)) + F.col("left") * F.col("p")) / F.col("total")).alias("p"))
-        p = checkpoint(p) if n in (2, order) else p
+        p = keep(p) if n in (2, order) else p
     return p.select("k", F.log("p").cast("float").alias("logp"))
 
 
@@ -93,15 +96,16 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             out.append(scores)
         return pa.array(out, pa.list_(pa.float64()))
 
-    with B.packed(docs.withColumn(fold, half), [*keys, fold], text_col=text_col) as packed:
+    with B.packed(docs.withColumn(fold, half), [*keys, fold], text_col=text_col) as packed, scratch(docs.sparkSession) as keep_table:
         asked = packed.select("block", F.explode(ask("rows", "sizes", "body")).alias("x")).select("block", "x.*")
-        grams = checkpoint(asked.groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+        grams = keep_table(asked.groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+        release_shuffles(docs.sparkSession)
         have = grams.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c0", "c1")]).first()
         model = None
         for j in (0, 1):
             c = f"c{j if have[j] or not have[1 - j] else 1 - j}"
-            own = kneser_ney(grams.filter(F.col(c) > 0).select("k", F.col(c).alias("c")), grams.select("k"), order).withColumnRenamed("logp", f"logp{j}")
-            model = own if model is None else checkpoint(model.join(own, "k"))
+            own = kneser_ney(grams.filter(F.col(c) > 0).select("k", F.col(c).alias("c")), grams.select("k"), order, keep=keep_table).withColumnRenamed("logp", f"logp{j}")
+            model = own if model is None else keep_table(model.join(own, "k"))
         held_out = F.col("c0") * F.col("logp1") + F.col("c1") * F.col("logp0")
         mean = grams.join(model, "k").agg(F.try_divide(F.sum(held_out), F.sum(F.col("c0") + F.col("c1")))).first()[0] or 0.0
         answers = asked.select("block", "k").join(model, "k")
