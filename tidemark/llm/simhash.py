@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, release_shuffles, small_side
+from .common import checkpoint, fresh, release_shuffles, scratch, small_side
 from .components import connected_components
 from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
 
@@ -239,31 +239,39 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([_jaccard(_unpacked_set(a.as_py()), _unpacked_set(b.as_py())) >= similarity - 1e-9 for a, b in zip(x, y, strict=True)], pa.bool_())
 
+    with scratch(spark) as keep:
+        return _near_groups(docs, id_col, text_col, make, whole, alike, similarity, bucket_rows, keep)
+
+
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike, similarity: float, bucket_rows: int, keep) -> DataFrame:
+    """The groups, given the functions on shingles; keep cuts the lineage of a step's table."""
+    spark = docs.sparkSession
     text_hash = F.xxhash64(F.col(text_col))
-    made = checkpoint(docs.select(F.col(id_col).alias("id"), text_hash.alias("th"), make(F.col(text_col)).alias("s")).select("id", "th", "s.*"))
+    made = keep(docs.select(F.col(id_col).alias("id"), text_hash.alias("th"), make(F.col(text_col)).alias("s")).select("id", "th", "s.*"))
     prints = made.groupBy("n").agg(F.min("id").alias("low"), F.min("th").alias("th"))
     sets = made.groupBy("n").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     keyed = sets.select("n", "size", F.posexplode("prefix").alias("pos", "h"))
-    met = checkpoint(keyed.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).filter("rows > 1"))
+    along = Window.partitionBy("h").orderBy(F.xxhash64("h", "n"))
+    nexts = {f"{c}_2": F.lead(c).over(along) for c in ("n", "size", "pos")}
+    met = keep(keyed.withColumns({"rows": F.count("*").over(Window.partitionBy("h")), **nexts}).filter("rows > 1"))
+    release_shuffles(spark)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that have the similarity."""
         asked = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         wanted = small_side(asked.join(prints, "n").select("th").distinct())
         texts = docs.select(text_hash.alias("th"), F.col(text_col).alias("t")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("t").alias("t"))
-        known = checkpoint(texts.select(whole(F.col("t")).alias("s")).select("s.*"))
+        known = keep(texts.select(whole(F.col("t")).alias("s")).select("s.*"))
         release_shuffles(spark)
         both = pairs.join(known.select(F.col("n").alias("a"), F.col("packed").alias("x")), "a").join(known.select(F.col("n").alias("b"), F.col("packed").alias("y")), "b")
-        found = checkpoint(both.select("a", "b", alike("x", "y").alias("ok")).filter("ok").select("a", "b"))
+        found = keep(both.select("a", "b", alike("x", "y").alias("ok")).filter("ok").select("a", "b"))
         release_shuffles(spark)
         return found
 
-    along = Window.partitionBy("h").orderBy(F.xxhash64("h", "n"))
-    nexts = met.select("n", "size", "pos", *[F.lead(c).over(along).alias(f"{c}_2") for c in ("n", "size", "pos")]).filter("n_2 is not null")
-    able = nexts.filter(_able(F.col("size"), F.col("size_2"), F.col("pos"), F.col("pos_2"), similarity))
+    able = met.filter("n_2 is not null").filter(_able(F.col("size"), F.col("size_2"), F.col("pos"), F.col("pos_2"), similarity))
     pairs = able.select(F.least("n", "n_2").alias("a"), F.greatest("n", "n_2").alias("b")).distinct()
     few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-    tried = checkpoint(pairs.withColumn("k", few).filter("k <= 4").select("a", "b"))
+    tried = keep(pairs.withColumn("k", few).filter("k <= 4").select("a", "b"))
     first = similar(tried)
 
     roots = connected_components(first)
@@ -281,14 +289,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _open_pairs(xs.values, i != j, similarity)], ["a", "b"])
 
     rest = blocks.select("i", "j", "xs").mapInArrow(open_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = checkpoint(rest)
+    rest = keep(rest)
     release_shuffles(spark)
     edges = first if rest.isEmpty() else first.union(similar(rest))
     roots = connected_components(edges)
     rooted = prints.join(roots, prints["n"] == roots["node"], "left").select("n", "low", F.coalesce("root", "n").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     of = rooted.join(lowest, "root").select("n", "component")
-    return made.select("id", "n").join(of, "n").select(F.col("id").alias(id_col), "component")
+    return checkpoint(made.select("id", "n").join(of, "n").select(F.col("id").alias(id_col), "component"))
 
 
 def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
