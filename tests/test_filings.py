@@ -44,6 +44,24 @@ def test_documents_beyond_the_header_limit_are_indexed(spark, tmp_path):
     assert (row.accession_number_header, row.n, row.d) == ("0000320193-23-000106", 2, "late.htm")
 
 
+@pytest.mark.parametrize(
+    ("hint", "form", "want"),
+    [
+        (" A.HTM ", "10-K", ("a.htm", "primary_document_hint_confirmed_in_complete_submission", "")),
+        ("z.htm", "10-K", ("z.htm", "primary_document_hint_from_filing_event", "primary_document_hint_not_found_in_complete_submission_index")),
+        (" ", "ex-99", ("a.htm", "document_type_matches_form", "")),
+        (None, "8-K", ("b.htm", "document_type_allowed_form_fallback", "")),
+        (None, None, ("b.htm", "document_type_allowed_form_fallback", "")),
+    ],
+)
+def test_choice_of_the_primary_document(spark, hint, form, want):
+    index = "array(named_struct('type', '10-K', 'filename', cast(null as string)), named_struct('type', 'EX-99', 'filename', 'a.htm'), named_struct('type', '10-q', 'filename', 'b.htm'))"
+    rows = spark.createDataFrame([(hint, form)], "hint string, form string").select("hint", "form", F.expr(index).alias("index"))
+    assert tuple(rows.select(filings.document_choice(F.col("index"), F.col("hint"), F.col("form")).alias("d")).first().d) == want
+    nothing = rows.select(filings.document_choice(F.filter("index", lambda x: x["filename"] == "a.htm"), F.lit(None).cast("string"), F.lit("8-K")).alias("d")).first().d
+    assert tuple(nothing) == (None, "not_discovered", "primary_document_not_discovered")
+
+
 def test_sections_take_the_longest_run_and_flag_missing_ones(spark):
     text = "Item 1A. Risk Factors Item 1B none. Item 1A. Risk Factors " + "peril " * 200 + "Item 1B. More Item 7. Management's Discussion short Item 7A."
     rows = {r.section_name: r for r in filings.sections(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), ["id"]).filter("id = 1").collect()}

@@ -94,10 +94,26 @@ def documents(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.withColumn("index", F.transform(blocks, lambda b: F.struct(*[field(b, n.upper()).alias(n) for n in ("sequence", "type", "filename", "description")])))
 
 
+#: How a primary document was found, in order of preference, and the warnings of two of them.
+FOUND_BY = ("primary_document_hint_confirmed_in_complete_submission", "primary_document_hint_from_filing_event", "document_type_matches_form", "document_type_allowed_form_fallback", "not_discovered")
+FOUND_WARNINGS = {"primary_document_hint_from_filing_event": "primary_document_hint_not_found_in_complete_submission_index", "not_discovered": "primary_document_not_discovered"}
+
+
+def document_choice(index: Column, hint: Column, form: Column, forms: tuple[str, ...] = FORMS) -> Column:
+    """struct(document, method, warning): the hint as the index spells it, else the hint itself, else the first document of the form, else
+    of an allowed form. Names and types are compared without case; documents without a name are passed over and a blank hint is none.
+    Without any document it is null, and warning is "" where nothing is amiss.
+    """
+    asked = F.nullif(F.trim(hint), F.lit(""))
+    named = lambda test: F.get(F.filter(index, lambda x: x["filename"].isNotNull() & test(x)), 0)["filename"]
+    found = (named(lambda x: F.lower(F.trim(x["filename"])) == F.lower(asked)), asked, named(lambda x: F.upper(x["type"]) == F.upper(form)), named(lambda x: F.upper(x["type"]).isin(*forms)))
+    row = lambda name, how: F.struct(name.alias("document"), F.lit(how).alias("method"), F.lit(FOUND_WARNINGS.get(how, "")).alias("warning"))
+    return F.coalesce(*[F.when(c.isNotNull(), row(c, how)) for c, how in zip(found, FOUND_BY, strict=False)], row(F.lit(None).cast("string"), FOUND_BY[-1]))
+
+
 def choose_document(index: Column, hint: Column, form: Column, forms: tuple[str, ...] = FORMS) -> Column:
-    """The hint if the index has it or is silent, else the first document of the form, else of an allowed form."""
-    named = lambda test: F.get(F.filter(index, test), 0)["filename"]
-    return F.coalesce(named(lambda x: x["filename"] == hint), hint, named(lambda x: F.upper(x["type"]) == F.upper(form)), named(lambda x: F.upper(x["type"]).isin(*forms)))
+    """The document of document_choice."""
+    return document_choice(index, hint, form, forms)["document"]
 
 
 #: Sections, the headings that open them and what may follow, and the least number of words.
