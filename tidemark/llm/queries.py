@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hpylm, licenses, quality, rules, secrets, shards, simhash, substrings
+from . import audit, bpe, decontaminate, hpylm, licenses, mixing, quality, repair, rules, secrets, shards, simhash, sql, substrings
 from .common import table, whole_text
 
 
@@ -75,6 +75,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["item_ids"]).cast("bigint").alias("n_items"), F.sha2(F.array_join(c["item_ids"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with copies (0, 1 or 2), text and role damaged as crc32 of conv_id:turn says; nulls are one space."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat_ws(":", one("conv_id"), one("turn")).cast("binary")) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(one("text"), "[.!?]", "")).otherwise(one("text"))
+    return rows.select("conv_id", "turn", F.when(k == 4, "user").otherwise(one("role")).alias("role"), text.alias("text"), F.when(k == 0, 0).when(k == 3, 2).otherwise(1).alias("copies"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken", "whole", "part")
+
+
 OP10_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -93,5 +114,5 @@ select d.doc_id, len(d.w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(it.n
 from d left join hit using (doc_id) left join it using (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_hpylm, op3_substrings, op4_licenses, op5_bpe, op6_secrets, op7_simhash, op8_quality, op9_rules, op10_decontaminate)}
-ORACLES = {"op10_decontaminate": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_hpylm, op3_substrings, op4_licenses, op5_bpe, op6_secrets, op7_simhash, op8_quality, op9_rules, op10_decontaminate, op11_audit, op12_repair, op13_mix)}
+ORACLES = {"op10_decontaminate": OP10_SQL, "op11_audit": sql.OP11, "op12_repair": sql.OP12, "op13_mix": sql.OP13}
