@@ -6,12 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import panels, queries, research
+from tidemark import panels, queries, research, studies
 from tidemark.functions import expr as E
 from tidemark.operators import market, tables
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES
+QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES | studies.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES | studies.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -59,10 +59,11 @@ def test_fold_models_fit_and_evaluate_every_month(spark):
     import numpy as np
     import pandas as pd
 
-    got = {(r.fold_id, r.role): r for r in research.fold_models(spark, SMALL).filter("model_name = 'ridge'").collect()}
+    got = {(r.fold_id, r.role): r for r in studies.fold_models(spark, SMALL).filter("model_name = 'ridge' and status = 'success'").collect()}
     t = pd.read_parquet(f"{SMALL}/lineitem.parquet")
     t["day"] = pd.to_datetime(t.l_shipdate).dt.normalize()
-    x, y, day = t[["l_quantity", "l_discount", "l_tax"]].to_numpy(float), t.l_extendedprice.to_numpy(float), pd.Timedelta(days=1)
+    t.loc[t.l_returnflag == "A", "l_tax"] = np.nan
+    raw, y, day = t[["l_quantity", "l_discount", "l_tax"]].to_numpy(float), t.l_extendedprice.to_numpy(float), pd.Timedelta(days=1)
     first, last, want = t.day.min(), t.day.max(), {}
     for start in pd.date_range(first.replace(day=1) + pd.DateOffset(months=36), last, freq="MS"):
         valid_end = start - 64 * day
@@ -72,6 +73,7 @@ def test_fold_models_fit_and_evaluate_every_month(spark):
             continue
         name = f"WF{len(want) + 1:04d}_{start:%Y%m}"
         train = ((t.day >= first) & (t.day <= train_end)).to_numpy()
+        x = np.where(np.isnan(raw), np.nanmedian(raw[train], axis=0), raw)
         mean, sd = x[train].mean(0), x[train].std(0)
         z = (x - mean) / sd
         w = np.linalg.solve(z[train].T @ z[train] + np.eye(3), z[train].T @ (y[train] - y[train].mean()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import cut
+
 
 def price_returns(prices: DataFrame, security: str = "security") -> DataFrame:
     """prices (security, date, price, ...) with daily_return and a trading-day index from 0."""
@@ -13,21 +15,31 @@ def price_returns(prices: DataFrame, security: str = "security") -> DataFrame:
 
 
 def entry_dates(asof: DataFrame, prices: DataFrame, security: str = "security") -> DataFrame:
-    """asof (security, asof_date, ...) with entry_date, the first priced day on or after the as-of date.
+    """asof (security, asof_date, ...) with entry_date, the first priced day on or after the as-of date; null dates and securities have none.
 
-    Both tables are ordered together once for each security, as-of rows before prices of their day, so no range is expanded.
+    Both tables are ordered together by month of a security, as-of rows before prices of their day, so a security with all rows runs in many
+    tasks. Where the month has no later price, the first price of later months is carried back: one row for each security and month.
     """
     rest = [c for c in asof.columns if c not in (security, "asof_date")]
-    both = asof.select(security, F.col("asof_date").alias("date"), F.lit(0).alias("kind"), F.struct(*rest, F.lit(1).alias("_")).alias("row")).unionByName(prices.select(security, "date", F.lit(1).alias("kind")), allowMissingColumns=True)
-    w = Window.partitionBy(security).orderBy("date", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("entry_date", F.first(F.when(F.col("kind") == 1, F.col("date")), ignorenulls=True).over(w)).filter("kind = 0")
-    return found.select(security, F.col("date").alias("asof_date"), *[F.col(f"row.{c}") for c in rest], "entry_date")
+    month = lambda c: F.trunc(c, "month").alias("_month")
+    asked = asof.select(security, F.col("asof_date").alias("date"), month("asof_date"), F.lit(0).alias("_kind"), F.struct(*rest, F.lit(1).alias("_")).alias("_row"))
+    both = asked.unionByName(prices.select(security, "date", month("date"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    w = Window.partitionBy(security, "_month").orderBy("date", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("_own", F.first(F.when(F.col("_kind") == 1, F.col("date")), ignorenulls=True).over(w)).filter("_kind = 0")
+    months = both.groupBy(security, "_month").agg(F.min(F.when(F.col("_kind") == 1, F.col("date"))).alias("_first"))
+    later = F.min("_first").over(Window.partitionBy(security).orderBy("_month").rowsBetween(1, Window.unboundedFollowing))
+    carried = months.filter(F.col("_month").isNotNull()).select(security, "_month", later.alias("_later"))
+    entry = F.when(F.col("date").isNotNull() & F.col(security).isNotNull(), F.coalesce("_own", "_later"))
+    return found.join(carried, [security, "_month"], "left").select(security, F.col("date").alias("asof_date"), *[F.col(f"_row.{c}").alias(c) for c in rest], entry.alias("entry_date"))
 
 
 def return_targets(asof: DataFrame, prices: DataFrame, *, horizon: int = 63, min_members: int = 2) -> DataFrame:
-    """Forward raw, sector and sector-adjusted returns from the entry date to the horizon-th trading day after it."""
-    priced = price_returns(prices).select("security", "sector", "date", "price", "day_index")
-    entered = entry_dates(asof, prices).join(priced.select("security", "sector", F.col("date").alias("entry_date"), F.col("price").alias("entry_price"), F.col("day_index").alias("entry_index")), ["security", "entry_date"], "left")
+    """Forward raw, sector and sector-adjusted returns from the entry date to the horizon-th trading day after it.
+
+    Prices are read five times, so they are written once.
+    """
+    priced = cut(price_returns(prices).select("security", "sector", "date", "price", "day_index"))
+    entered = entry_dates(asof, priced).join(priced.select("security", "sector", F.col("date").alias("entry_date"), F.col("price").alias("entry_price"), F.col("day_index").alias("entry_index")), ["security", "entry_date"], "left")
     exits = priced.select("security", F.col("date").alias("exit_date"), F.col("price").alias("exit_price"), (F.col("day_index") - horizon).alias("entry_index"))
     held = entered.join(exits, ["security", "entry_index"], "left")
     spans = held.filter("exit_date is not null").select("sector", "entry_date", "exit_date").distinct()
@@ -52,22 +64,49 @@ def fold_windows(first: Column, last: Column, bounds: DataFrame, *, train: int =
 
 
 def assign_folds(df: DataFrame, date: str, windows: DataFrame) -> DataFrame:
-    """Each row once for each fold and role whose window holds its date; windows are broadcast, as there are at most a few hundred."""
-    role = F.when(F.col(date).between(F.col("train_start"), F.col("train_end")), "train").when(F.col(date).between(F.col("validation_start"), F.col("validation_end")), "validation").when(F.col(date).between(F.col("test_start"), F.col("test_end")), "test")
-    return df.join(F.broadcast(windows), role.isNotNull()).withColumn("role", role)
+    """Each row once for each fold and role whose window holds its date: an equal join with the days of the windows."""
+    roles = ("train", "validation", "test")
+    spans = F.array(*[F.struct(F.lit(r).alias("role"), F.sequence(f"{r}_start", f"{r}_end").alias("days")) for r in roles])
+    seats = windows.select("*", F.explode(spans).alias("_x")).select(*windows.columns, F.col("_x.role").alias("role"), F.explode("_x.days").alias("_day"))
+    return df.join(seats, F.col(date) == F.col("_day")).select(*[df[c] for c in df.columns], *windows.columns, "role")
 
 
 def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def fold_metrics(df: DataFrame, group: list[str], truth: str, predicted: str) -> DataFrame:
-    """Count, errors, Pearson and Spearman correlations (average ranks) for each group; rows with a null are left out."""
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (F.count("*").over(Window.partitionBy(*group, c)) - 1) / 2
+def average_ranks(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, _which, _value, _rank): the average rank of every distinct value of each column within its group, counted from 1.
 
-    rows = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).select(*group, truth, predicted, rank(truth).alias("_rt"), rank(predicted).alias("_rp"))
-    return rows.groupBy(*group).agg(F.count("*").alias("n_rows"), F.sqrt(F.avg(F.pow(F.col(truth) - F.col(predicted), 2))).alias("rmse"), F.avg(F.abs(F.col(truth) - F.col(predicted))).alias("mae"), correlation(truth, predicted).alias("pearson"), correlation("_rt", "_rp").alias("spearman"))
+    Values are counted first, so ties are one row. The counts are cut into ranges of (group, column, value) of near equal size and ranks are the rows of lower
+    ranges plus those before in the own range: no task holds a group that is larger than a range.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("_which"), F.col(c).alias("_value")) for k, c in enumerate(columns)])
+    counts = df.select(group, F.explode(each).alias("_x")).select(group, "_x.*").groupBy(group, "_which", "_value").agg(F.count("*").alias("_n"))
+    by = [group, "_which"]
+    ranged = cut(counts.repartitionByRange(*by, "_value").withColumn("_range", F.spark_partition_id()))  # written, as ranges are drawn anew by every run
+    total = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = total.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, [*by, "_range"])
+    return placed.select(*by, "_value", (F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("_rank"))
+
+
+def fold_metrics(df: DataFrame, group: list[str], truth: str, predicted: str, *, full: bool = False) -> DataFrame:
+    """Count, errors, Pearson and Spearman correlations (average ranks) for each group; rows with a null are left out.
+
+    full: also mse, r2 (null under two rows or for a constant truth) and the means.
+    """
+    rows = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).select(F.struct(*group).alias("_g"), F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p"))
+    ranks = average_ranks(rows, "_g", ["_t", "_p"])
+    of = lambda k, c: ranks.filter(F.col("_which") == k).select("_g", F.col("_value").alias(c), F.col("_rank").alias(f"_r{c}"))
+    ranked = rows.join(of(0, "_t"), ["_g", "_t"]).join(of(1, "_p"), ["_g", "_p"])
+    t, p = F.col("_t"), F.col("_p")
+    mse = F.avg(F.pow(t - p, 2))
+    more = [mse.alias("mse"), (1 - F.try_divide(mse, F.when(F.count("*") > 1, F.var_pop(t)))).alias("r2"), F.avg(t).alias("mean_y_true"), F.avg(p).alias("mean_y_pred")] if full else []
+    found = ranked.groupBy("_g").agg(F.count("*").alias("n_rows"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), correlation("_t", "_p").alias("pearson"), correlation("_r_t", "_r_p").alias("spearman"), *more)
+    return found.select("_g.*", *found.columns[1:])
 
 
 def holdings(df: DataFrame, *, period: str, name: str, score: str, group: list[str] = (), outcome: str | None = None, long_q: float = 0.9, short_q: float = 0.1, min_names: int = 10) -> DataFrame:

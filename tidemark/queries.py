@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import market, performance, tables
+from tidemark.operators import folds, market, performance, tables
 
 LEXICON = {"positive": ("WAS", "FOR", "AND"), "negative": ("NOT", "NO", "ON"), "uncertainty": ("THAT", "IT", "OR")}
 
@@ -84,7 +84,7 @@ def semi_join_facts(spark: SparkSession, d: str) -> DataFrame:
 def walk_forward_folds(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     windows = market.fold_windows(F.col("lo"), F.col("hi"), o.agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
-    return market.assign_folds(o, "d", windows).groupBy("fold_id", "role").agg(F.count("*").alias("n_rows"), F.min("d").alias("first_date"), F.max("d").alias("last_date"))
+    return folds.fold_counts(o, "d", windows)
 
 
 def fold_ic(spark: SparkSession, d: str) -> DataFrame:

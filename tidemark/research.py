@@ -71,17 +71,6 @@ def ablation_ics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "mean_ic", "median_ic", "mean_mae", "mean_rmse")
 
 
-def fold_models(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge and elastic net of every walk-forward fold, evaluated on validation and test rows."""
-    features = ["l_quantity", "l_discount", "l_tax"]
-    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), "l_extendedprice", *features)
-    windows = market.fold_windows(F.col("lo"), F.col("hi"), rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi")))
-    dealt = models.impute(market.assign_folds(rows, "day", windows), features)
-    fitted = models.linear_models(dealt, features, "l_extendedprice")
-    seen = models.predict(dealt.filter("role <> 'train'"), fitted, features, "l_extendedprice", ["l_orderkey", "l_linenumber"])
-    return _rounded(market.fold_metrics(seen, ["fold_id", "model_name", "role"], "y_true", "y_pred"), "rmse", "mae", "pearson", "spearman")
-
-
 _NEXT = "{0} + case isodow({0}) when 5 then 3 when 6 then 2 else 1 end"
 _FM = "rank() over (partition by {g} order by {y}) + (count(*) over (partition by {g}, {y}) - 1) / 2"
 
@@ -113,4 +102,4 @@ ORACLES = {
     "mismatch_scores": "with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[A-Z]+') as w from documents), s as (select doc_id, " + ", ".join(f"coalesce(len(list_filter(w, lambda x: x in {v})) / nullif(len(w), 0), 0) as {k}" for k, v in LEXICON.items()) + " from t), p as (select doc_id, (toxic * positive + toxic / (1 + negative)) / 2 as dn, (quality * negative + quality * uncertainty) / 2 as up from s join labels using (doc_id)) select doc_id, round(dn, 6) as downside_mismatch_score, round(up, 6) as upside_mismatch_score, round(up - dn, 6) as net_mismatch_score from p",
     "ablation_ics": f"with a as (select strftime(l_shipdate, '%Y-%m') as month, l_tax, unnest([{{'n': 'dfm_score', 'p': l_discount}}, {{'n': 'fundamentals_only', 'p': -l_quantity}}, {{'n': 'naive_baseline', 'p': 0.0}}]) as u from lineitem), s as (select month, l_tax, u.n as ablation_name, cast(u.p as double) as y_pred from a), m as ({_metrics_sql('s', 'ablation_name, month', 'l_tax', 'y_pred')}) select ablation_name, count(*) as folds, round(avg(spearman), 6) as mean_ic, round(median(spearman), 6) as median_ic, round(avg(mae), 6) as mean_mae, round(avg(rmse), 6) as mean_rmse from m group by 1",
 }
-QUERIES = {f.__name__: f for f in (execution_dates, sensitive_scan, lineage_impact, release_gate, stage_diagnostics, dataset_features, model_selection, verdicts, mismatch_scores, ablation_ics, fold_models)}
+QUERIES = {f.__name__: f for f in (execution_dates, sensitive_scan, lineage_impact, release_gate, stage_diagnostics, dataset_features, model_selection, verdicts, mismatch_scores, ablation_ics)}
