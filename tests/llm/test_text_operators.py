@@ -230,6 +230,28 @@ def test_chains_and_large_groups_of_near_copies_equal_brute_force(spark, bucket_
     assert len(set(want)) > 3 and [got[k] for k in range(len(texts))] == want
 
 
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    r = random.Random(6)
+    base = [" ".join(r.choices([f"w{k}" for k in range(3000)], k=120)) for _ in range(30)]
+    rows = []
+    for k, t in enumerate(base):
+        rows += [(r.choice([None, 1, 2, k]), x) for x in r.choice([(t,), (t, t), (t, edited(r, t, 1)), (t, t, edited(r, t, 1), edited(r, t, 1))])]
+    rows += [(None, None), (None, ""), (5, " "), (7, "a b"), (7, "a b"), (7, "c d"), (None, "e f"), (None, "g h"), (None, "g h")]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, text_hash int")
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    want = {}
+    for k, g in enumerate(brute_groups([t or "" for _, t in rows])):
+        want.setdefault(g, []).append(rows[k])
+    groups = {t: g for g, members in want.items() for _, t in members}
+    got = [groups[x.text] for x in kept.collect()]
+    assert sorted(got) == sorted(want)  # each group once
+    for x in kept.collect():
+        ids = [i for i, _ in want[groups[x.text]] if i is not None]
+        assert x.doc_id == (min(ids) if ids else None) and rows[x.text_hash] == (x.doc_id, x.text)
+
+
 def plain_hits(text, items, window=10):
     cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "").encode())
     w, hit, found = cut(text), set(), set()

@@ -213,6 +213,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Sets that meet under common keys without being similar are still compared by pairs. Texts without words are copies of each
     other. Repeated rows share a group; null ids never name a group of others.
     """
+    return _grouped(docs, id_col, text_col, size, similarity, bucket_rows, sample).select(F.col("id").alias(id_col), "component")
+
+
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bucket_rows: int = 1024, sample: int = 5000) -> DataFrame:
+    """(id, th, root, component) for each row: th is the hash of its text, root a number that its group alone has; see ``near_groups``."""
     spark = docs.sparkSession
     common, ranks = _common_shingles(docs, id_col, text_col, size, sample)
 
@@ -295,8 +300,8 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     roots = connected_components(edges)
     rooted = prints.join(roots, prints["n"] == roots["node"], "left").select("n", "low", F.coalesce("root", "n").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    of = rooted.join(lowest, "root").select("n", "component")
-    return checkpoint(made.select("id", "n").join(of, "n").select(F.col("id").alias(id_col), "component"))
+    of = rooted.join(lowest, "root").select("n", "root", "component")
+    return checkpoint(made.select("id", "th", "n").join(of, "n").select("id", "th", "root", "component"))
 
 
 def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -315,13 +320,16 @@ def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.nda
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest id stays, with all its columns; of repeated rows one stays.
+    """docs without near copies: one row of each group stays, with all its columns.
 
-    Rows with a null id stay only if their group has no other.
+    It is the row with the smallest id (null ids last), then the smallest hash of the text; of rows that agree in both, that with the smallest hash of all
+    columns. Groups are of rows, so unlike texts stay whether their ids are null, repeated or unique.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **params)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component"))).select(id_col).distinct()
-    name = fresh(docs, "row_of_id")
-    rows = docs.join(kept.withColumnRenamed(id_col, name), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return rows.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
+    groups = _grouped(docs, id_col, text_col, **params)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("w"))
+    th, kept, row = (fresh(docs, c) for c in ("text_hash", "kept_id", "row"))
+    winners = first.select(F.col("w.id").alias(kept), F.col("w.th").alias(th))
+    hashed = docs.withColumn(th, F.xxhash64(F.col(text_col)))
+    rows = hashed.join(winners, (hashed[th] == winners[th]) & hashed[id_col].eqNullSafe(winners[kept]), "left_semi")
+    columns = [F.col(c) for c in docs.columns]
+    return rows.groupBy(id_col, th).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)).select(f"{row}.*")
