@@ -9,6 +9,7 @@ by an ordinary join on the block's number.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,13 @@ BLOCK_BYTES = 8 << 20
 RUN_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from stage to stage, and what earlier blocks and stages freed stays theirs otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def packed(docs: DataFrame, keys: list[str], *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[DataFrame]:
     """(block, rows array<struct<keys>>, sizes, body): texts of a partition in order, until a block holds block_bytes.
@@ -115,6 +123,7 @@ def counted(texts: list[bytes], keys_of, groups: np.ndarray, n_groups: int = 1)
         of = np.repeat(groups[a:z], np.diff(first))
         found.append(distinct)
         counts.append(np.stack([np.bincount(codes[of == g], minlength=len(distinct)) for g in range(n_groups)], 1))
+    give_back()
     if not found:
         return np.zeros(0, np.int64), np.zeros((0, n_groups), np.int64)
     codes, distinct = pd.factorize(np.concatenate(found))

@@ -88,6 +88,7 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             folds = r.values.field(fold).to_numpy(zero_copy_only=False)
             known = [g.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "logp0", "logp1")]
             values_of = [B.Answers(known[0], x.astype(np.float64)) for x in known[1:]]
+            B.give_back()
             for a, z in B.runs(texts):
                 grams, first = grams_of(texts[a:z])
                 by = [B.sums(of(grams), first) for of in values_of]
