@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .common import checkpoint, fresh, release_shuffles, scratch, small_side
 from .components import connected_components
 from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
@@ -169,6 +170,7 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str, size: int, sam
 
     @F.arrow_udf("array<bigint>")
     def shingles(column: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([np.unique(h).view(np.int64) for h in each_shingles(column, size, 42)], pa.list_(pa.int64()))
 
     share = min(1.0, sample / max(docs.count(), 1))
@@ -223,6 +225,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     @F.arrow_udf("struct<n:bigint,size:int,prefix:array<bigint>>")
     def make(column: pa.Array) -> pa.Array:
+        give_back()
         ns, sizes, prefixes = [], [], []
         for hashes in each_shingles(column, size, 42):
             hashes = np.unique(hashes)
@@ -233,6 +236,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     @F.arrow_udf("struct<n:bigint,packed:binary>")
     def whole(column: pa.Array) -> pa.Array:
+        give_back()
         ns, packed = [], []
         for hashes in each_shingles(column, size, 42):
             hashes = np.unique(hashes)
@@ -242,6 +246,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([_jaccard(_unpacked_set(a.as_py()), _unpacked_set(b.as_py())) >= similarity - 1e-9 for a, b in zip(x, y, strict=True)], pa.bool_())
 
     with scratch(spark) as keep:
