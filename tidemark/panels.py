@@ -317,7 +317,7 @@ _TONE = ("lm_token_count", "lm_positive_count", "lm_negative_share", "lm_net_ton
 
 
 def text_features(spark: SparkSession, d: str) -> DataFrame:
-    out = texts.text_features(*_sections(spark, d), TONES)
+    out = texts.text_features(*_sections(spark, d), texts.as_lexicon(spark, TONES), categories=tuple(TONES))
     prefixes = list(texts.SECTIONS.values())
     return _plain(out.select("accession_lineage_key", "parse_quality_flag", *[f"{p}{c}" for p in ("full_", *prefixes) for c in _TONE], *[f"{p}{c}" for p in prefixes for c in ("section_available", "section_quality_flag", "section_word_count_source")]))
 

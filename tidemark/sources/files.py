@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECENT = "accessionNumber array<string>, filingDate array<string>, reportDate array<string>, acceptanceDateTime array<string>, form array<string>, primaryDocument array<string>, primaryDocDescription array<string>"
@@ -69,12 +70,52 @@ def accounting_archives(spark: SparkSession, path: str, member: str, columns: li
     return files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in [*columns, "source_file"]))
 
 
-def lexicon(spark: SparkSession, path: str, categories: list[str]) -> DataFrame:
-    """(word, category), distinct, words in upper case; a member is any value but blank, 0, FALSE, N and NO."""
-    raw = spark.read.option("header", True).csv(path)
-    member = lambda c: F.coalesce(~F.upper(F.trim(c)).isin("", "0", "0.0", "FALSE", "N", "NO"), F.lit(False))
-    each = F.explode(F.array_compact(F.array(*[F.when(member(F.col(c)), F.lit(c.lower())) for c in categories])))
-    return raw.select(F.upper(F.trim("Word")).alias("word"), each.alias("category")).filter("word <> ''").distinct()
+#: The columns of a lexicon file and what else they are called.
+LEXICON_COLUMNS = {
+    "word": ("word", "words"),
+    "negative": ("negative", "neg"),
+    "positive": ("positive", "pos"),
+    "uncertainty": ("uncertainty", "uncertain"),
+    "litigious": ("litigious", "litigation"),
+    "constraining": ("constraining", "constraint"),
+    "strong_modal": ("strong_modal", "strongmodal"),
+    "weak_modal": ("weak_modal", "weakmodal"),
+}
+
+
+def lexicon_file(spark: SparkSession, path: str) -> str:
+    """path itself if it is a file, else the lexicon file in that folder: the first by name of .csv and .txt files."""
+    names = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # a folder of a few files; their bodies aren't read
+    found = sorted((n for n in names if n.lower().endswith((".csv", ".txt"))), key=lambda n: n.rsplit("/", 1)[-1].lower())
+    if not found:
+        raise FileNotFoundError(f"no lexicon file in {path}")
+    return found[0]
+
+
+def lexicon(spark: SparkSession, path: str, categories: list[str] | None = None) -> DataFrame:
+    """(word, category), distinct, words in upper case, of a lexicon file or folder (see ``lexicon_file``).
+
+    A .txt file is cut at tabs if its header holds one, else at commas like a .csv file. Columns are known by aliases, in any case, with blanks and dashes as
+    underscores; a category that the file lacks has no words, and a file without a word column fails. A member is any value but blank, a number equal to 0, FALSE, N and NO.
+    """
+    file = lexicon_file(spark, path)
+    head = spark.read.text(file).first()
+    if head is None:
+        raise ValueError(f"{file} is empty")
+    tabs = file.lower().endswith(".txt") and "\t" in head[0]
+    raw = spark.read.option("header", True).option("sep", "\t" if tabs else ",").csv(file)
+    plain = {re.sub("[- ]", "_", c.strip().lower()): c for c in reversed(raw.columns)}
+    have = {k: plain[a] for k, aliases in LEXICON_COLUMNS.items() for a in reversed(aliases) if a in plain}
+    if "word" not in have:
+        raise ValueError(f"{file} has no word column")
+
+    def member(c: str) -> Column:
+        text = F.upper(F.trim(F.col(f"`{c}`")))
+        return F.coalesce(~text.isin("", "FALSE", "N", "NO") & (F.coalesce(text.try_cast("double"), F.lit(1.0)) != 0), F.lit(False))
+
+    wanted = [k.lower() for k in categories or list(LEXICON_COLUMNS)[1:]]
+    each = F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(member(have[k]), F.lit(k)) for k in wanted if k in have])))
+    return raw.select(F.upper(F.trim(F.col(f"`{have['word']}`"))).alias("word"), each.alias("category")).filter("word <> ''").distinct()
 
 
 def inventory(spark: SparkSession, path: str, skip: str = r"/(\.git|__pycache__|\.pytest_cache|logs)/") -> DataFrame:

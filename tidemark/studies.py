@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, market
+from tidemark.operators import folds, market, texts
 from tidemark.queries import _t
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -42,5 +42,15 @@ def fold_medians(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(held, "fold_id string, feature string, median double").withColumn("median", F.round("median", 6))
 
 
-QUERIES = {f.__name__: f for f in (fold_models, fold_ridge, fold_medians)}
+def dictionary_features(spark: SparkSession, d: str) -> DataFrame:
+    """Lexicon features of every document with a dictionary of all words of the documents, dealt into categories by a digest."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(texts.tokens(F.col("text"))).alias("word")).distinct()
+    mark = F.ascii(F.md5("word")) % 9  # of a hexadecimal digit; two of the nine values are no category
+    lexicon = words.select("word", F.get(F.array(*[F.lit(k) for k in texts.CATEGORIES]), mark.cast("int")).alias("category")).filter("category is not null")
+    found = texts.lexicon_features(docs, "text", lexicon, "", ["doc_id"])
+    return found.withColumns({c: F.round(c, 6) for c, t in found.dtypes if t == "double"})
+
+
+QUERIES = {f.__name__: f for f in (fold_models, fold_ridge, fold_medians, dictionary_features)}
 ORACLES = {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("sql").glob("*.sql"))}
