@@ -13,7 +13,7 @@ from tidemark.operators.tables import comparable_deltas, keep_one
 #: The canonical concepts, and the ratios as numerator and denominator.
 CONCEPTS = ("revenue", "net_income", "cfo", "assets", "liabilities", "debt", "cash", "receivables", "inventory", "capex", "shares")
 RATIOS = {"net_margin": ("net_income", "revenue"), "cfo_to_net_income": ("cfo", "net_income"), "cfo_to_revenue": ("cfo", "revenue"), "liabilities_to_assets": ("liabilities", "assets"), "debt_to_assets": ("debt", "assets"), "cash_to_assets": ("cash", "assets"), "receivables_to_assets": ("receivables", "assets"), "inventory_to_assets": ("inventory", "assets"), "capex_to_revenue": ("capex", "revenue"), "asset_turnover": ("revenue", "assets")}
-ALIASES = {"margin": "net_margin", "cfo_quality": "cfo_to_net_income", "cash_conversion": "cfo_to_revenue", "leverage": "debt_to_assets", "liability_intensity": "liabilities_to_assets", "working_capital_proxy": "working_capital_to_assets", "capex_intensity": "capex_to_revenue"}
+ALIASES = {"margin": "net_margin", "cfo_quality": "cfo_to_net_income", "cash_conversion": "cfo_to_revenue", "leverage": "debt_to_assets", "liability_intensity": "liabilities_to_assets", "working_capital_proxy": "working_capital_proxy_to_assets", "capex_intensity": "capex_to_revenue"}
 CORE, CASH_FLOW = ("assets", "net_income", "revenue"), ("capex", "cfo")
 
 
@@ -79,7 +79,7 @@ def with_ratios(flat: DataFrame, concepts: tuple[str, ...] = CONCEPTS) -> DataFr
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     ratios = {n: E.safe_divide(F.col(a), F.col(b)) for n, (a, b) in RATIOS.items()}
     ratios["cash_minus_debt_to_assets"] = E.safe_divide(F.col("cash") - F.col("debt"), F.col("assets"))
-    ratios["working_capital_to_assets"] = E.safe_divide(zero("cash") + zero("receivables") + zero("inventory") - zero("liabilities"), F.col("assets"))
+    ratios["working_capital_proxy_to_assets"] = E.safe_divide(zero("cash") + zero("receivables") + zero("inventory") - zero("liabilities"), F.col("assets"))
     made = flat.withColumns({n: F.round(c, 12) for n, c in ratios.items()})
     listed = lambda names, cond: F.array_compact(F.array(*[F.when(cond(n), F.lit(n)) for n in sorted(names)]))
     groups = {"missing_core_concepts": listed(CORE, lambda c: F.col(c).isNull()), "missing_cashflow_concepts": listed(CASH_FLOW, lambda c: F.col(c).isNull()), "red_fact_quality": listed(concepts, lambda c: F.col(f"{c}_fact_flag") == "RED"), "yellow_fact_quality": listed(concepts, lambda c: F.col(f"{c}_fact_flag") == "YELLOW"), "unavailable_ratios": listed(ratios, lambda c: F.col(c).isNull())}
@@ -96,7 +96,7 @@ def fundamental_deltas(df: DataFrame, *, entity: str, period: Column, year: Colu
     Each value gets _prior, _abs, _pct and _log, each ratio _prior and _delta, well-known ratio changes a second name; period_year_gap
     is the distance in years, link_flag and link_notes tell how good the link is.
     """
-    ratios = [*RATIOS, "cash_minus_debt_to_assets", "working_capital_to_assets"]
+    ratios = [*RATIOS, "cash_minus_debt_to_assets", "working_capital_proxy_to_assets"]
     made = df.withColumn("period_year", year)
     out = comparable_deltas(made, entity, period, order, [*values, *ratios, "period_year"]).drop("link_flag")
     linked = F.col("period_year_prior").isNotNull()

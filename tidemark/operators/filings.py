@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tidemark.functions import expr as E
 
@@ -60,6 +64,26 @@ def calendar(bounds: DataFrame, holidays: list[str] = ()) -> DataFrame:
     return step.filter("date <= hi").join(F.broadcast(second), "next_day", "left").select("date", "next_day", "second_day")
 
 
+def trading_calendar(days: DataFrame) -> DataFrame:
+    """(date, next_day, second_day) for every date from the first trading day to the one before the last: the next two trading days after it.
+
+    days: (date), any number of rows for a day, such as those of a price table; days without a price are holidays. One row a day meets in a task.
+    """
+    order = Window.orderBy("date")  # some thousand days
+    open_days = days.filter("date is not null").select("date").distinct()
+    ahead = open_days.select("date", F.lead("date").over(order).alias("next_day"), F.lead("date", 2).over(order).alias("second_day")).filter("next_day is not null")
+    return ahead.select(F.explode(F.sequence("date", F.date_sub("next_day", 1))).alias("date"), "next_day", "second_day")
+
+
+def acceptance_times(text: Column, zone: str = "America/New_York") -> dict[str, Column]:
+    """accepted_local, accepted_utc: an acceptance text (YYYYMMDDHHMMSS) as time in its zone and in UTC, null if it is none.
+
+    The session's zone must be UTC. An hour that the change to winter time repeats is taken as its first; one that the change to summer time skips moves ahead by an hour.
+    """
+    local = F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss"))
+    return {"accepted_local": local, "accepted_utc": F.to_utc_timestamp(local, zone)}
+
+
 def execution_dates(rows: DataFrame, accepted: Column, days: DataFrame, close_hour: int = 16) -> DataFrame:
     """rows with accepted_date and execution_date: the next trading day before the close, the second next at or after it."""
     marked = rows.withColumns({"accepted_date": F.to_date(accepted), "_late": F.hour(accepted) >= close_hour})
@@ -83,8 +107,7 @@ def availability(texts: DataFrame, events: DataFrame, days: DataFrame) -> DataFr
         "report_date_header_event_mismatch": differ(F.col("period_of_report_header"), F.col("_report")),
     }
     noted = both.withColumn("timestamp_quality_notes", E.notes(checks)).withColumn("timestamp_quality_flag", E.flag(F.col("accepted_raw").isNull(), F.col("timestamp_quality_notes") != ""))
-    local = F.expr("try_to_timestamp(accepted_raw, 'yyyyMMddHHmmss')")
-    return execution_dates(noted.withColumn("accepted_local", local), F.col("accepted_local"), days).drop("_form", "_filed", "_report")
+    return execution_dates(noted.withColumns(acceptance_times(F.col("accepted_raw"))), F.col("accepted_local"), days).drop("_form", "_filed", "_report")
 
 
 def documents(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -118,16 +141,57 @@ def choose_document(index: Column, hint: Column, form: Column, forms: tuple[str,
 
 #: Sections, the headings that open them and what may follow, and the least number of words.
 SECTIONS = {"mda": (r"item\s+(?:7|2)\.?\s+management'?s\s+discussion", r"item\s+(?:7a|8|3)\b", 300), "risk_factors": (r"item\s+1a\.?\s+risk\s+factors", r"item\s+(?:1b|2)\b", 150), "liquidity": (r"liquidity\s+and\s+capital\s+resources", r"item\s+(?:7a|8|3)\b|critical\s+accounting", 80)}
+_FOUND = ArrayType(StructType().add("section_name", "string").add("section_start", "integer").add("section_end", "integer").add("candidates", "integer").add("closed", "boolean"))
 
 
-def sections(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """(keys..., section_name, section_text, n_words, section_flag): three rows a text; the longest run between headings; RED if none, YELLOW if short."""
-    def row(name: str, start: str, end: str, least: int) -> Column:
-        runs = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(rf"(?is){start}.*?(?={end}|\z)"), 0)
-        longest = F.element_at(F.sort_array(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), -1)["r"]
-        return F.struct(F.lit(name).alias("section_name"), F.when(F.size(runs) > 0, longest).alias("section_text"), F.lit(least).alias("least"))
+def heading_spans(text: str) -> list[tuple[str, int, int, int, bool]]:
+    """(section, start, end, candidates, closed) in characters, for each section that a text opens.
 
-    each = texts.select(*keys, F.explode(F.array(*[row(n, *spec) for n, spec in SECTIONS.items()])).alias("s")).select(*keys, "s.*")
-    n = F.coalesce(F.size(F.filter(F.split("section_text", r"\s+"), lambda w: w != "")), F.lit(0))
-    counted = each.withColumn("n_words", F.when(F.col("section_text").isNull(), 0).otherwise(n))
-    return counted.select(*keys, "section_name", "section_text", "n_words", E.flag(F.col("section_text").isNull(), F.col("n_words") < F.col("least")).alias("section_flag"))
+    One scan finds all places where a heading may stand; what stands there opens or closes sections. A section that is open stays so until a closing
+    heading or the end of the text, so the lines of a contents list are runs as well: the longest run is the section, the first of equal ones.
+    """
+    opened: dict[str, int] = {}
+    runs: dict[str, list[tuple[int, int, bool]]] = {}
+    for m in _ANCHOR.finditer(text):
+        at = m.start()
+        for name, (start, end) in _HEADINGS.items():
+            if name in opened:
+                # an opening heading isn't its own end
+                if at > opened[name] and end.match(text, at) and not start.match(text, at):
+                    runs.setdefault(name, []).append((opened.pop(name), at, True))
+            elif start.match(text, at):
+                opened[name] = at
+    for name, at in opened.items():
+        runs.setdefault(name, []).append((at, len(text), False))
+    return [(name, *max(found, key=lambda r: (r[1] - r[0], -r[0]))[:2], len(found), max(found, key=lambda r: (r[1] - r[0], -r[0]))[2]) for name in SECTIONS if (found := runs.get(name))]
+
+
+_ANCHOR = re.compile(r"item\s+\d|liquidity\s+and|critical\s+accounting", re.I)
+_HEADINGS = {n: (re.compile(a, re.I), re.compile(b, re.I)) for n, (a, b, _) in SECTIONS.items()}
+
+
+@F.arrow_udf(_FOUND)
+def _spans(texts: pa.Array) -> pa.Array:
+    names = ("section_name", "section_start", "section_end", "candidates", "closed")
+    kind = pa.list_(pa.struct([("section_name", pa.string()), ("section_start", pa.int32()), ("section_end", pa.int32()), ("candidates", pa.int32()), ("closed", pa.bool_())]))
+    return pa.array([[dict(zip(names, x, strict=True)) for x in heading_spans(t.as_py() or "")] for t in texts], kind)
+
+
+def sections(texts: DataFrame, keys: list[str], column: str = "text", *, min_words: dict[str, int] | None = None) -> DataFrame:
+    """(keys..., section_name, section_text, section_start, section_end, n_words, section_flag, section_notes): three rows a text.
+
+    Offsets count characters from 0, the end exclusive. RED if a section isn't found, YELLOW if it has fewer words than min_words says (300, 150 and 80 by default); notes also say
+    if it runs to the end of the text and if there were other candidates. Null texts have no section.
+    """
+    least = {n: (min_words or {}).get(n, spec[2]) for n, spec in SECTIONS.items()}
+    held = texts.select(*keys, F.col(column).alias("_text"), _spans(F.col(column)).alias("_found"))
+    of = lambda n: F.get(F.filter("_found", lambda x: x["section_name"] == n), 0)
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), of(n).alias("span"), F.lit(k).alias("least")) for n, k in least.items()])
+    each = held.select(*keys, "_text", F.explode(rows).alias("_s")).select(*keys, "_text", F.col("_s.name").alias("section_name"), "_s.span", "_s.least")
+    start, end = F.col("span.section_start"), F.col("span.section_end")
+    cutout = each.withColumn("section_text", F.substring("_text", start + 1, end - start))
+    n = F.size(F.filter(F.split("section_text", r"\s+"), lambda w: w != ""))
+    counted = cutout.withColumn("n_words", F.when(F.col("section_text").isNull(), 0).otherwise(n))
+    none, few = F.col("section_text").isNull(), F.col("n_words") < F.col("least")
+    notes = E.notes({"section_not_found": none, "section_end_not_found": ~none & ~F.col("span.closed"), "several_section_candidates": ~none & (F.col("span.candidates") > 1), "low_section_word_count": ~none & few})
+    return counted.select(*keys, "section_name", "section_text", start.alias("section_start"), end.alias("section_end"), "n_words", E.flag(none, few).alias("section_flag"), notes.alias("section_notes"))

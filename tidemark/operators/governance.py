@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.lineage import cut
@@ -18,27 +18,41 @@ def diagnostics(df: DataFrame, *, keys: tuple[str, ...] = (), means: tuple[str,
     return df.agg(F.array(*[F.struct(F.lit(k).alias("diagnostic"), c.cast("double").alias("value")) for k, c in found.items()]).alias("xs")).select(F.explode("xs").alias("x")).select("x.*")
 
 
-def downstream(edges: DataFrame, starts: DataFrame, *, max_rounds: int = 50) -> DataFrame:
-    """(node, reached): all that follows each start node. edges: (source, target); cycles end, since a pair is followed once."""
+def downstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, reached): all that follows each start node. edges: (source, target); cycles end, since a pair is followed once.
+
+    A round is one step further, so there are as many as the longest shortest path has edges.
+    """
     new = cut(starts.select("node").distinct().join(edges, F.col("node") == F.col("source")).select("node", F.col("target").alias("reached")).distinct())
     known = new
-    for _ in range(max_rounds):
+    while True:
         ahead = new.join(edges, F.col("reached") == F.col("source")).select("node", F.col("target").alias("reached")).distinct()
         new = cut(ahead.join(known, ["node", "reached"], "left_anti"))
         if new.isEmpty():
             return known
         known = known.unionByName(new)
-    raise RuntimeError(f"nodes were still found after {max_rounds} rounds")
 
 
 def node_id(kind, value):
     return F.substring(F.sha1(F.concat_ws(":", kind, value)), 1, 16)
 
 
-def step_edges(steps: DataFrame) -> DataFrame:
-    """(source, target, relation) of steps (name, inputs, outputs): consumed by, produces."""
-    used = steps.select(F.explode("inputs").alias("source"), F.col("name").alias("target"), F.lit("consumes").alias("relation"))
-    return used.unionByName(steps.select(F.col("name").alias("source"), F.explode("outputs").alias("target"), F.lit("produces").alias("relation")))
+def step_edges(steps: DataFrame, run: str | None = None) -> DataFrame:
+    """([run,] source, target, relation, step_order) of steps (step_order, name, inputs, outputs): consumes, produces and runs_before.
+
+    A step runs before the one of the next step_order (of its run, if a run column is named), ties by name. Null or empty inputs and outputs have no edge.
+    """
+    by = [run] if run else []
+    used = steps.select(*by, F.explode("inputs").alias("source"), F.col("name").alias("target"), F.lit("consumes").alias("relation"), "step_order")
+    made = steps.select(*by, F.col("name").alias("source"), F.explode("outputs").alias("target"), F.lit("produces").alias("relation"), "step_order")
+    before = F.lag("name").over(Window.partitionBy(*by).orderBy("step_order", "name"))
+    runs = steps.select(*by, before.alias("source"), F.col("name").alias("target"), F.lit("runs_before").alias("relation"), "step_order").filter("source is not null")
+    return used.unionByName(made).unionByName(runs)
+
+
+def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, reached): all that leads to each start node; see ``downstream``."""
+    return downstream(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), starts)
 
 
 def sensitive_scan(df: DataFrame, key: str, text: str, patterns: tuple[str, ...] = SENSITIVE) -> DataFrame:
@@ -48,6 +62,18 @@ def sensitive_scan(df: DataFrame, key: str, text: str, patterns: tuple[str, ...]
     return df.select(key, found.alias("found")).withColumn("status", F.when(F.size("found") > 0, "FAIL").otherwise("PASS"))
 
 
+#: Parts and endings of paths that must not be published.
+FORBIDDEN_PARTS = (".git", "__pycache__", ".pytest_cache", "logs", "raw", ".env")
+FORBIDDEN_ENDS = (".parquet", ".zip", ".gz", ".pem", ".key")
+
+
+def path_scan(df: DataFrame, path: str = "path", parts: tuple[str, ...] = FORBIDDEN_PARTS, ends: tuple[str, ...] = FORBIDDEN_ENDS) -> DataFrame:
+    """df with path_problem (the first forbidden part or ending of its path, else null) and path_status."""
+    low = F.lower(F.replace(F.coalesce(F.col(path), F.lit("")), F.lit("\\"), F.lit("/")))
+    found = F.coalesce(*[F.when(F.array_contains(F.split(low, "/"), p), F.lit(p)) for p in parts], *[F.when(F.endswith(low, F.lit(e)), F.lit(e)) for e in ends])
+    return df.withColumn("path_problem", found).withColumn("path_status", F.when(F.col("path_problem").isNull(), "PASS").otherwise("FAIL"))
+
+
 def release_gate(checks: DataFrame, run: str = "run_id") -> DataFrame:
     """One row for each run of (run, status, critical): PASS, PASS_WITH_WARNINGS, or BLOCKED by a critical failure."""
     out = checks.groupBy(run).agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "WARN").alias("warnings"), F.count_if(F.col("critical") & (F.col("status") == "FAIL")).alias("critical_failures"))

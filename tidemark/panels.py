@@ -265,7 +265,7 @@ def accounting_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fundamental_features(spark: SparkSession, d: str) -> DataFrame:
-    ratios = [*accounting.RATIOS, "cash_minus_debt_to_assets", "working_capital_to_assets"]
+    ratios = [*accounting.RATIOS, "cash_minus_debt_to_assets", "working_capital_proxy_to_assets"]
     return _plain(_fundamentals(spark, d).select("accession_number", *accounting.CONCEPTS, "revenue_available", "revenue_tag", *ratios, "concept_coverage_count", "concept_coverage_ratio", "fundamental_quality_flag", "fundamental_quality_notes"))
 
 
@@ -289,7 +289,7 @@ def quarter_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ratio = lambda a, b: f"round(({a}) / nullif({b}, 0), 12)"
-_RATIO_SQL = {n: _ratio(a, b) for n, (a, b) in accounting.RATIOS.items()} | {"cash_minus_debt_to_assets": _ratio("cash - debt", "assets"), "working_capital_to_assets": _ratio("coalesce(cash, 0) + coalesce(receivables, 0) + coalesce(inventory, 0) - coalesce(liabilities, 0)", "assets")}
+_RATIO_SQL = {n: _ratio(a, b) for n, (a, b) in accounting.RATIOS.items()} | {"cash_minus_debt_to_assets": _ratio("cash - debt", "assets"), "working_capital_proxy_to_assets": _ratio("coalesce(cash, 0) + coalesce(receivables, 0) + coalesce(inventory, 0) - coalesce(liabilities, 0)", "assets")}
 _FACT_SQL = f"f0 as (select l_orderkey as accession_number, 'T' || (l_partkey % 22) as tag, {list(accounting.CONCEPTS)}[1 + (l_partkey % 22) % 11] as concept, (l_partkey % 22) // 11 as tag_rank, l_extendedprice as value, l_returnflag as unit, l_linenumber, l_linenumber % 2 + 1 as qtrs, strftime(date_trunc('month', l_shipdate), '%Y%m%d') as ddate, strftime(date_trunc('month', cast(l_shipdate as date) + cast(l_linenumber * 3 as integer)), '%Y%m%d') as period from lineitem), f1 as (select *, (unit <> 'N')::int as b1, (l_linenumber = 7)::int as b2, (ddate <> period)::int as b3, (qtrs <> 1)::int as b4 from f0), fs as (select accession_number, concept, tag, unit, qtrs, ddate, value, case when b1 = 1 then 'RED' when b2 + b3 + b4 > 0 then 'YELLOW' else 'GREEN' end as fact_flag, array_to_string(list_filter([case when b1 = 1 then 'unexpected_unit' end, case when b2 = 1 then 'co_registrant' end, case when b3 = 1 then 'other_period' end, case when b4 = 1 then 'other_length' end], lambda x: x is not null), ';') as fact_notes from f1 qualify row_number() over (partition by accession_number, concept order by tag_rank, b1, b2, b3, b4, ddate desc, tag, l_linenumber, value desc) = 1)"
 _listed = lambda pairs: f"list_filter([{', '.join(f'case when {c} then {chr(39)}{n}{chr(39)} end' for n, c in pairs)}], lambda x: x is not null)"
 _GROUPS = {"missing_core_concepts": _listed([(c, f"{c} is null") for c in accounting.CORE]), "missing_cashflow_concepts": _listed([(c, f"{c} is null") for c in accounting.CASH_FLOW]), "red_fact_quality": _listed([(c, f"{c}_f = 'RED'") for c in sorted(accounting.CONCEPTS)]), "yellow_fact_quality": _listed([(c, f"{c}_f = 'YELLOW'") for c in sorted(accounting.CONCEPTS)]), "unavailable_ratios": _listed([(n, f"{n} is null") for n in sorted(_RATIO_SQL)])}
