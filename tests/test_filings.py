@@ -209,5 +209,5 @@ def test_step_edges_and_forbidden_paths(spark):
     edges = governance.step_edges(steps, "run")
     assert {(r.source, r.relation, r.target) for r in edges.collect()} == {("i", "consumes", "a"), ("a", "produces", "x"), ("x", "consumes", "b"), ("b", "produces", "y"), ("a", "runs_before", "b")}
     assert {r.reached for r in governance.upstream(edges, spark.createDataFrame([("y",)], "node string")).collect()} == {"b", "x", "a", "i"}
-    paths = spark.createDataFrame([("src/a.py",), ("Logs/x.txt",), ("a\\__pycache__\\b",), ("k.PEM",), (None,)], "path string")
-    assert {r.path: r.path_problem for r in governance.path_scan(paths).collect()} == {"src/a.py": None, "Logs/x.txt": "logs", "a\\__pycache__\\b": "__pycache__", "k.PEM": ".pem", None: None}
+    paths = spark.createDataFrame([("src/a.py",), ("logs/x.txt",), ("data\\raw\\b",), ("k.PYC",), ("src/logs/x",), (None,)], "path string")
+    assert {r.path: r.path_problem for r in governance.path_scan(paths).collect()} == {"src/a.py": None, "logs/x.txt": "logs/", "data\\raw\\b": "data/raw/", "k.PYC": ".pyc", "src/logs/x": None, None: None}

@@ -6,12 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import panels, queries, research, studies
+from tidemark import panels, queries, research, stories, studies
 from tidemark.functions import expr as E
 from tidemark.operators import market, tables
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES | studies.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES | studies.ORACLES
+QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES | studies.QUERIES | stories.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES | studies.ORACLES | stories.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
         assert got.count() > 0
         return
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages labels".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages labels conversations".split():
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     columns = sorted(want.columns)

@@ -14,6 +14,7 @@ from tidemark.operators.tables import comparable_deltas, keep_one
 CONCEPTS = ("revenue", "net_income", "cfo", "assets", "liabilities", "debt", "cash", "receivables", "inventory", "capex", "shares")
 RATIOS = {"net_margin": ("net_income", "revenue"), "cfo_to_net_income": ("cfo", "net_income"), "cfo_to_revenue": ("cfo", "revenue"), "liabilities_to_assets": ("liabilities", "assets"), "debt_to_assets": ("debt", "assets"), "cash_to_assets": ("cash", "assets"), "receivables_to_assets": ("receivables", "assets"), "inventory_to_assets": ("inventory", "assets"), "capex_to_revenue": ("capex", "revenue"), "asset_turnover": ("revenue", "assets")}
 ALIASES = {"margin": "net_margin", "cfo_quality": "cfo_to_net_income", "cash_conversion": "cfo_to_revenue", "leverage": "debt_to_assets", "liability_intensity": "liabilities_to_assets", "working_capital_proxy": "working_capital_proxy_to_assets", "capex_intensity": "capex_to_revenue"}
+FLAGS = ("GREEN", "YELLOW", "RED")
 CORE, CASH_FLOW = ("assets", "net_income", "revenue"), ("capex", "cfo")
 
 
@@ -94,11 +95,13 @@ def fundamental_deltas(df: DataFrame, *, entity: str, period: Column, year: Colu
     """Rows of fundamental_features with changes since the entity's last earlier filing of the same fiscal period.
 
     Each value gets _prior, _abs, _pct and _log, each ratio _prior and _delta, well-known ratio changes a second name; period_year_gap
-    is the distance in years, link_flag and link_notes tell how good the link is.
+    is the distance in years, link_flag and link_notes tell how good the link is, prior_fundamental_quality_flag how good the earlier filing.
     """
     ratios = [*RATIOS, "cash_minus_debt_to_assets", "working_capital_proxy_to_assets"]
-    made = df.withColumn("period_year", year)
-    out = comparable_deltas(made, entity, period, order, [*values, *ratios, "period_year"]).drop("link_flag")
+    level = F.element_at(F.create_map(*[F.lit(x) for k, f in enumerate(FLAGS) for x in (f, k)]), F.col("fundamental_quality_flag"))
+    made = df.withColumns({"period_year": year, "_level": level})
+    out = comparable_deltas(made, entity, period, order, [*values, *ratios, "period_year", "_level"]).drop("link_flag")
+    out = out.withColumn("prior_fundamental_quality_flag", F.get(F.array(*[F.lit(f) for f in FLAGS]), F.col("_level_prior"))).drop("_level", *[f"_level_{k}" for k in ("prior", "abs", "pct", "log")])
     linked = F.col("period_year_prior").isNotNull()
     gap = F.col("period_year") - F.col("period_year_prior")
     out = out.withColumns({f"{r}_delta": F.col(f"{r}_abs") for r in ratios} | {f"{a}_delta": F.col(f"{r}_abs") for a, r in ALIASES.items()} | {"period_year_gap": gap})

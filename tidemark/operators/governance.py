@@ -62,16 +62,38 @@ def sensitive_scan(df: DataFrame, key: str, text: str, patterns: tuple[str, ...]
     return df.select(key, found.alias("found")).withColumn("status", F.when(F.size("found") > 0, "FAIL").otherwise("PASS"))
 
 
-#: Parts and endings of paths that must not be published.
-FORBIDDEN_PARTS = (".git", "__pycache__", ".pytest_cache", "logs", "raw", ".env")
-FORBIDDEN_ENDS = (".parquet", ".zip", ".gz", ".pem", ".key")
+#: Beginnings and endings of paths that must not be published.
+FORBIDDEN_STARTS = (
+    "data/raw/",
+    "data/interim/",
+    "data/external/",
+    "data/processed/text/",
+    "data/processed/source_tables/",
+    "data/processed/features/",
+    "data/processed/model/",
+    "data/processed/portfolio/",
+    "data/processed/targets/",
+    "logs/",
+    "outputs/logs/",
+    ".git/",
+    ".pytest_cache/",
+    "__pycache__/",
+)
+FORBIDDEN_ENDS = (".pyc", ".pyo", ".zip")
+
+
+def path_scan(df: DataFrame, path: str = "path", starts: tuple[str, ...] = FORBIDDEN_STARTS, ends: tuple[str, ...] = FORBIDDEN_ENDS) -> DataFrame:
+    """df with path_problem (the first forbidden beginning, else ending of its relative path, else null) and path_status. Backslashes are slashes."""
+    plain = F.replace(F.coalesce(F.col(path), F.lit("")), F.lit("\\"), F.lit("/"))
+    found = F.coalesce(*[F.when(F.startswith(plain, F.lit(p)), F.lit(p)) for p in starts], *[F.when(F.endswith(F.lower(plain), F.lit(e)), F.lit(e)) for e in ends])
+    return df.withColumn("path_problem", found).withColumn("path_status", F.when(F.col("path_problem").isNull(), "PASS").otherwise("FAIL"))
 
 
-def path_scan(df: DataFrame, path: str = "path", parts: tuple[str, ...] = FORBIDDEN_PARTS, ends: tuple[str, ...] = FORBIDDEN_ENDS) -> DataFrame:
-    """df with path_problem (the first forbidden part or ending of its path, else null) and path_status."""
-    low = F.lower(F.replace(F.coalesce(F.col(path), F.lit("")), F.lit("\\"), F.lit("/")))
-    found = F.coalesce(*[F.when(F.array_contains(F.split(low, "/"), p), F.lit(p)) for p in parts], *[F.when(F.endswith(low, F.lit(e)), F.lit(e)) for e in ends])
-    return df.withColumn("path_problem", found).withColumn("path_status", F.when(F.col("path_problem").isNull(), "PASS").otherwise("FAIL"))
+def scan_rollup(scanned: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., rows, failed, patterns, status) of a scan's rows: the patterns that any of them holds, sorted, and FAIL if there are any."""
+    hits = F.flatten(F.collect_set("found"))  # sets of a few patterns
+    out = scanned.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.array_join(F.sort_array(F.array_distinct(hits)), ",").alias("patterns"))
+    return out.withColumn("status", F.when(F.col("failed") > 0, "FAIL").otherwise("PASS"))
 
 
 def release_gate(checks: DataFrame, run: str = "run_id") -> DataFrame:
