@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import checkpoint, fresh, release_shuffles, scratch, small_side
+from .common import arrow_rows, checkpoint, fresh, release_shuffles, scratch, small_side
 
 ORDER = 4
 
@@ -97,7 +97,7 @@ def perplexities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             out.append(scores)
         return pa.array(out, pa.list_(pa.float64()))
 
-    with B.packed(docs.withColumn(fold, half), [*keys, fold], text_col=text_col) as packed, scratch(docs.sparkSession) as keep_table:
+    with B.packed(docs.withColumn(fold, half), [*keys, fold], text_col=text_col) as packed, scratch(docs.sparkSession) as keep_table, arrow_rows(docs.sparkSession, 1):  # a block at a time
         asked = packed.select("block", F.explode(ask("rows", "sizes", "body")).alias("x")).select("block", "x.*")
         grams = keep_table(asked.groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
         release_shuffles(docs.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import give_back
-from .common import checkpoint, fresh, release_shuffles, scratch, small_side
+from .common import arrow_rows, checkpoint, fresh, release_shuffles, scratch, small_side
 from .components import connected_components
 from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
 
@@ -249,7 +249,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         give_back()
         return pa.array([_jaccard(_unpacked_set(a.as_py()), _unpacked_set(b.as_py())) >= similarity - 1e-9 for a, b in zip(x, y, strict=True)], pa.bool_())
 
-    with scratch(spark) as keep:
+    with scratch(spark) as keep, arrow_rows(spark, 1000):
         return _near_groups(docs, id_col, text_col, make, whole, alike, similarity, bucket_rows, keep)
 
 
