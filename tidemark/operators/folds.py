@@ -271,7 +271,7 @@ def _cells_arrays(frame: pd.DataFrame, features: int) -> tuple[np.ndarray, ...]:
 def boost_folds(cells: DataFrame, features: int, medians: np.ndarray, folds: list[int], *, trees: int, rate: float, depth: int, leaf: int, most_cells: int) -> dict[int, tuple[float, list[Tree]]]:
     """Start value and trees of every fold in ``folds``. medians: the bin of each fold's median, for nulls.
 
-    Up to most_cells cells go to every task, and each task boosts some folds. Beyond that cells stay where they are: each level of a
+    Up to most_cells cells (some 70 bytes each) go to every task, and each task boosts some folds. Beyond that cells stay where they are: each level of a
     tree is one aggregation of gradient sums by (fold, node, feature, bin) for all folds, and only splits come back.
     """
     spark, cells = cells.sparkSession, cut(cells)
@@ -362,7 +362,7 @@ def prepared(rows: DataFrame, keys: list[str], date: str, features: list[str], l
     return cut(asked.join(days, "day", "left").drop("day"))
 
 
-def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, models: tuple[str, ...] = MODELS, alpha: float = 1.0, l1_alpha: float = 0.001, l1_ratio: float = 0.25, trees: int = 100, rate: float = 0.03, depth: int = 2, leaf: int = 5, bins: int = 64, least_train: int = 20, most_cells: int = 200_000) -> tuple[list[dict], list[np.ndarray]]:
+def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, models: tuple[str, ...] = MODELS, alpha: float = 1.0, l1_alpha: float = 0.001, l1_ratio: float = 0.25, trees: int = 100, rate: float = 0.03, depth: int = 2, leaf: int = 5, bins: int = 64, least_train: int = 20, most_cells: int = 1_000_000) -> tuple[list[dict], list[np.ndarray]]:
     """(a dict for each fold: train_rows, medians, and of folds with enough rows the fitted models; bin edges). rows: from ``prepared``.
 
     Comes back to the driver: folds x (2 features + 2)^2 sums, medians, and trees; nothing that grows with rows.
