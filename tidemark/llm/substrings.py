@@ -82,24 +82,6 @@ class _Texts:
         body = (self.sums[ends] - self.sums[at - before]) * self.down[at - before]
         return at, before, _name(body + mix((before * 1024 + ends - at).astype(np.uint64)))
 
-    def marked(self, stems: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The picked suffixes named in stems: where they are, the first position of their text, and the place of their names in stems."""
-        picked = self.picked(length - V + 1)
-        which = pd.Index(stems).get_indexer(self.names(picked, length - V + 1)) if len(stems) else np.full(len(picked), -1)
-        at = picked[which >= 0]
-        return at, self.starts[np.searchsorted(self.starts, at, side="right") - 1], which[which >= 0]
-
-    def reach(self, stems: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the stems the least and the largest distance at which an unsettled string starts before it; -1 if none does."""
-        low, high = np.full(len(stems), V), np.full(len(stems), -1)
-        at, first, which = self.marked(stems, length)
-        left = np.flatnonzero(self.fitting(length) & ~self.settled(whole, length))
-        a, z = np.searchsorted(left, np.maximum(at - V + 1, first)), np.searchsorted(left, at, side="right") - 1
-        some = a <= z
-        np.minimum.at(low, which[some], at[some] - left[z[some]])
-        np.maximum.at(high, which[some], at[some] - left[a[some]])
-        return np.where(high < 0, -1, low), high
-
     def marked(self, stems: np.ndarray, stem: int) -> np.ndarray:
         """The picked suffixes named in stems."""
         at = self.picked(stem)
