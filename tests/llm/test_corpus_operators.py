@@ -72,6 +72,17 @@ def test_shards_are_even_gapless_and_split_hot_groups(spark):
     assert shards.assign(frame(spark, []), 16).count() == 0
 
 
+def test_shards_leave_columns_with_the_names_of_inner_ones_alone(spark):
+    inner = {"hi": F.lit(77), "LO": F.lit("l"), "range": F.lit("x"), "cell": F.col("doc_id"), "place": F.lit(None).cast("int"), "from": F.lit(1.5), "n": F.lit(3), "shard_hi": F.lit("y")}
+    docs = frame(spark, ["one", "two", None, "two", "x" * 900]).withColumns(inner)
+    got = shards.assign(docs, 2)
+    assert got.columns == [c for c in docs.columns if c != "size"] + ["size", "text_crc32", "shard", "slot"]
+    plain = {(r.doc_id, r.slot, r.shard) for r in shards.assign(docs.select("doc_id", "text"), 2).collect()}
+    rows = got.collect()
+    assert {(r.doc_id, r.slot, r.shard) for r in rows} == plain and len(rows) == 6
+    assert all((r.hi, r["LO"], r["range"], r.cell, r.place, r["from"], r.n, r.shard_hi) == (77, "l", "x", r.doc_id, None, 1.5, 3, "y") for r in rows)
+
+
 def test_statistics_against_plain_counts(spark):
     r = random.Random(8)
     texts = [*ODD, "one two three four five one two three four five", *("\n".join(" ".join(r.choices(["a", "b", "C|", "dé"], k=r.randint(0, 9))) for _ in range(r.randint(1, 30))) for _ in range(60))]

@@ -19,7 +19,7 @@ KEY = ("hi", "lo")
 _SPAN = 2.0**64
 
 
-def _search(splitters: list[tuple[int, int]]) -> Column:
+def _search(splitters: list[tuple[int, int]], key: tuple[str, str] = KEY) -> Column:
     """How many splitters are at most the row's key: a binary search in steps of halving width over an array literal."""
     if not splitters:
         return F.lit(0)
@@ -28,7 +28,7 @@ def _search(splitters: list[tuple[int, int]]) -> Column:
 
     def step(at: Column, width: Column) -> Column:
         hi, lo = F.get(his, at + width - 1), F.get(los, at + width - 1)
-        return F.when((hi < F.col("hi")) | ((hi == F.col("hi")) & (lo <= F.col("lo"))), at + width).otherwise(at)  # null beyond the end
+        return F.when((hi < F.col(key[0])) | ((hi == F.col(key[0])) & (lo <= F.col(key[1]))), at + width).otherwise(at)  # null beyond the end
 
     return F.aggregate(widths, F.lit(0), step)
 
@@ -44,8 +44,8 @@ def _quantile_splitters(sample: DataFrame, by: list[str], parts: Column) -> Data
 def plan(keyed: DataFrame, shards: int, *, per_shard: int = 24, tolerance: float = 0.02, sample_rows: int = 30_000, max_rounds: int = 6) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Splitters in order, and (bytes, rows) of the ranges between them.
 
-    keyed: (hi, lo, size). The sample is bounded by sample_rows whatever the data's size, and so is the number of splitters. A range is overfull above ``tolerance`` of a shard;
-    it is cut at quantiles of a sample of its own rows. Ranges of a single key stay.
+    keyed: (hi, lo, size). The sample is bounded by sample_rows whatever the data's size, and so is the number of splitters. A range is overfull above 2.25 times ``tolerance`` of a shard (the sample scatters);
+    it is cut at quantiles of a sample of its own rows, for at most max_rounds rounds. Ranges of a single key stay.
     """
     total = keyed.agg(F.sum("size")).first()[0] or 0
     if not total:
@@ -94,22 +94,28 @@ def assign(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: st
     in one task; repeated rows get different slots. Only columns that are used later are carried along.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "text_crc32", "shard", "slot")])
-    names = {k: fresh(docs, f"shard_{k}") for k in ("hi", "lo", "range", "cell")}
+    own = {k: fresh(docs, f"shard_{k}") for k in ("hi", "lo", "range", "cell", "place", "from")}
+    key = own["hi"], own["lo"]
     text = F.col(text_col)
     hi, lo = F.xxhash64(text), F.xxhash64(F.col(id_col), F.lit("row"))
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
     keyed = checkpoint(docs.select(hi.alias("hi"), lo.alias("lo"), size.alias("size")))
     splitters, filled = plan(keyed, shards, **params)
     of = close([b for b, _ in filled], shards) or [0]
-    rows = docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "hi": hi, "lo": lo})
+    rows = docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), own["hi"]: hi, own["lo"]: lo})
     cells = {k: max(1, math.ceil(n / cell_rows)) for k, (_, n) in enumerate(filled)}
     # the tables below have an entry for each range, and the number of ranges is bounded by the sample
     shard_of, cells_of = F.array(*[F.lit(s) for s in of]), F.array(*[F.lit(cells.get(k, 1)) for k in range(len(of))])
-    cell = lambda frame: frame.withColumn("range", _search(splitters)).withColumns({"shard": F.get(shard_of, F.col("range")), "cell": F.pmod(F.xxhash64("lo", "hi"), F.get(cells_of, F.col("range")))})
-    counts = cell(keyed).groupBy("shard", "range", "cell").agg(F.count("*").alias("n"))
-    ranges = counts.groupBy("shard", "range").agg(F.sum("n").alias("n"))
-    before = ranges.select("range", (F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("range_from"))
-    starts = counts.join(before, "range").select("range", "cell", (F.col("range_from") + F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("from"))
-    numbered = cell(rows).withColumn("place", F.row_number().over(Window.partitionBy("range", "cell").orderBy("hi", "lo")) - 1)
-    placed = numbered.join(starts, ["range", "cell"])
-    return placed.withColumn("slot", (F.col("from") + F.col("place")).cast("bigint")).select(*docs.columns, "size", "text_crc32", "shard", "slot")
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        ranged = frame.withColumn(own["range"], _search(splitters, key))
+        return ranged.withColumns({"shard": F.get(shard_of, F.col(own["range"])), own["cell"]: F.pmod(F.xxhash64(own["lo"], own["hi"]), F.get(cells_of, F.col(own["range"])))})
+
+    counts = dealt(keyed.withColumnsRenamed({"hi": own["hi"], "lo": own["lo"]})).groupBy("shard", own["range"], own["cell"]).agg(F.count("*").alias("n"))
+    ranges = counts.groupBy("shard", own["range"]).agg(F.sum("n").alias("n"))
+    before = ranges.select(own["range"], (F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(own["range"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("range_from"))
+    within = F.sum("n").over(Window.partitionBy(own["range"]).orderBy(own["cell"]).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.join(before, own["range"]).select(own["range"], own["cell"], (F.col("range_from") + F.coalesce(within, F.lit(0))).alias(own["from"]))
+    numbered = dealt(rows).withColumn(own["place"], F.row_number().over(Window.partitionBy(own["range"], own["cell"]).orderBy(*key)) - 1)
+    placed = numbered.join(starts, [own["range"], own["cell"]])
+    return placed.withColumn("slot", (F.col(own["from"]) + F.col(own["place"])).cast("bigint")).select(*docs.columns, "size", "text_crc32", "shard", "slot")
