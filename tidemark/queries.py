@@ -92,6 +92,21 @@ def fold_ic(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(market.fold_metrics(rows, ["month"], "l_tax", "l_discount"), "rmse", "mae", "pearson", "spearman")
 
 
+def fold_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The whole metric set of each month, with R squared and means."""
+    rows = _t(spark, d, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    found = market.fold_metrics(rows, ["month"], "l_tax", "l_discount", full=True).select("month", "n_rows", "mse", "r2", "mean_y_true", "mean_y_pred")
+    return _rounded(found, "mse", "r2", "mean_y_true", "mean_y_pred")
+
+
+_ERRORS_SQL = """
+select strftime(l_shipdate, '%Y-%m') as month, count(*) as n_rows, round(avg((l_tax - l_discount) ** 2), 6) as mse,
+  round(1 - avg((l_tax - l_discount) ** 2) / nullif(case when count(*) > 1 then var_pop(l_tax) end, 0), 6) as r2,
+  round(avg(l_tax), 6) as mean_y_true, round(avg(l_discount), 6) as mean_y_pred
+from lineitem group by 1
+"""
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
     return rows.groupBy("month", "l_suppkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("score"), F.round(F.avg("l_discount") - 0.05, 6).alias("outcome"))
@@ -128,9 +143,10 @@ ORACLES = {
     "concept_pivot_ratios": "with f as (select l_orderkey, l_returnflag || l_linestatus as c, l_extendedprice as v from lineitem where l_returnflag || l_linestatus in ('AF', 'NO', 'RF') qualify row_number() over (partition by l_orderkey, c order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey) = 1), w as (select l_orderkey, max(v) filter (c = 'AF') as AF, max(v) filter (c = 'NO') as NO, max(v) filter (c = 'RF') as RF, count(*) as coverage from f group by 1) select *, round(RF / nullif(AF, 0), 6) as return_ratio from w",
     "lexicon_features": f"with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[A-Z]+') as w from documents) select doc_id, len(w) as n_tokens, {_LEX} from t",
     "semi_join_facts": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')",
+    "fold_errors": _ERRORS_SQL,
     "fold_ic": "with a as (select strftime(l_shipdate, '%Y-%m') as month, l_tax as y, l_discount as p, rank() over (partition by strftime(l_shipdate, '%Y-%m') order by l_tax) + (count(*) over (partition by strftime(l_shipdate, '%Y-%m'), l_tax) - 1) / 2 as ry, rank() over (partition by strftime(l_shipdate, '%Y-%m') order by l_discount) + (count(*) over (partition by strftime(l_shipdate, '%Y-%m'), l_discount) - 1) / 2 as rp from lineitem) select month, count(*) as n_rows, round(sqrt(avg((y - p) ** 2)), 6) as rmse, round(avg(abs(y - p)), 6) as mae, round(covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0), 6) as pearson, round(covar_pop(ry, rp) / nullif(stddev_pop(ry) * stddev_pop(rp), 0), 6) as spearman from a group by month",
     "decile_holdings": f"with {_SCORES} select month, l_suppkey, score, round(weight, 6) as weight from h",
     "performance_summary": f"with {_RETURNS}, ix as (select *, exp(sum(ln(1 + net_return)) over (order by month)) as i from ret), dd as (select *, i / max(i) over (order by month) - 1 as dd from ix), z as (select 'discount' as strategy, count(*) as periods, exp(sum(ln(1 + net_return))) - 1 as cumulative, avg(net_return) as mean_return, stddev_samp(net_return) as volatility, min(dd) as max_drawdown, avg((net_return > 0)::double) as hit_rate, sum(net_return) filter (net_return > 0) / nullif(-sum(net_return) filter (net_return < 0), 0) as profit_factor from dd) select strategy, periods, round(cumulative, 6) as cumulative, round(mean_return, 6) as mean_return, round(volatility, 6) as volatility, round(max_drawdown, 6) as max_drawdown, round(hit_rate, 6) as hit_rate, round(profit_factor, 6) as profit_factor, round((1 + cumulative) ** (12.0 / periods) - 1, 6) as annualized, round(mean_return / nullif(volatility, 0) * sqrt(12), 6) as sharpe from z",
     "contract_validation": "with c(artifact, check_name, failures) as (select 'orders', 'min_rows', greatest(1 - count(*), 0) from orders union all select 'orders', 'not_null:o_orderkey', count(*) filter (o_orderkey is null) from orders union all select 'orders', 'not_null:o_custkey', count(*) filter (o_custkey is null) from orders union all select 'orders', 'unique:o_orderkey', count(*) - count(distinct o_orderkey) from orders union all select 'orders', 'allowed:o_orderstatus', count(*) filter (o_orderstatus not in ('F', 'O', 'P')) from orders union all select 'lineitem', 'min_rows', greatest(1 - count(*), 0) from lineitem union all select 'lineitem', 'not_null:l_orderkey', count(*) filter (l_orderkey is null) from lineitem union all select 'lineitem', 'unique:l_orderkey+l_linenumber', count(*) - count(distinct (l_orderkey, l_linenumber)) from lineitem union all select 'lineitem', 'allowed:l_returnflag', count(*) filter (l_returnflag not in ('A', 'N')) from lineitem) select *, case when failures = 0 then 'PASS' else 'FAIL' end as status from c",
 }
-QUERIES = {f.__name__: f for f in (forward_returns_asof, daily_returns, latest_per_key, first_seen_duplicates, comparable_deltas, composite_scores, concept_pivot_ratios, lexicon_features, html_clean, semi_join_facts, walk_forward_folds, fold_ic, decile_holdings, performance_summary, contract_validation)}
+QUERIES = {f.__name__: f for f in (forward_returns_asof, daily_returns, latest_per_key, first_seen_duplicates, comparable_deltas, composite_scores, concept_pivot_ratios, lexicon_features, html_clean, semi_join_facts, walk_forward_folds, fold_ic, fold_errors, decile_holdings, performance_summary, contract_validation)}
