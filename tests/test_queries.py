@@ -6,12 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import panels, queries, research, stories, studies
+from tidemark import panels, queries, research, spine, stories, studies
 from tidemark.functions import expr as E
 from tidemark.operators import market, tables
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES | studies.QUERIES | stories.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES | studies.ORACLES | stories.ORACLES
+QUERIES, ORACLES = queries.QUERIES | research.QUERIES | panels.QUERIES | spine.QUERIES | studies.QUERIES | stories.QUERIES, queries.ORACLES | research.ORACLES | panels.ORACLES | spine.ORACLES | studies.ORACLES | stories.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

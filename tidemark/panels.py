@@ -118,7 +118,7 @@ def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A selection report: three models of each strategy, from orders by priority and status."""
     o = _t(spark, d, "orders").withColumns({"fold_id": F.date_format("o_orderdate", "yyyy"), "model_name": F.substring("o_orderpriority", 1, 1), "role": F.when(F.col("o_orderstatus") == "F", "validation").otherwise("test")})
     metrics = o.groupBy("model_name", "role", "fold_id").agg(F.round(F.avg("o_totalprice") / 1e6, 6).alias("spearman"), F.round(F.stddev_samp("o_totalprice") / 1e5, 6).alias("mae"), F.round(F.max("o_totalprice") / 1e5, 6).alias("rmse"))
-    return metrics, o.filter("o_orderkey % 3 = 0").select("model_name", "role", "fold_id")
+    return metrics, o.select("model_name", "role", "fold_id")
 
 
 def role_report(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ def primary_model(spark: SparkSession, d: str) -> DataFrame:
 def verdict_evidence(spark: SparkSession, d: str) -> DataFrame:
     metrics = performance.performance_metrics(_returns(spark, d), period="month", group=["strategy"], model="strategy")
     whole = F.lit("price").alias("strategy")
-    selection = _selection(spark, d).filter("strategy = 'n1'").withColumn("strategy", whole)
+    selection = _selection(spark, d).withColumns({"model_name": F.concat_ws(":", "strategy", "model_name"), "strategy": whole})
     found = performance.evidence(metrics, selection, _ablation_summary(spark, d).withColumn("strategy", whole), "price_score", ["strategy"])
     number = F.col("value").try_cast("double")
     return found.select("strategy", "source", "metric", F.round(number, 5).alias("value_num"), F.when(number.isNull(), F.col("value")).alias("value_str"))
@@ -162,81 +162,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.lpad(F.regexp_extract("source", r"(\d+)", 1), 10, "0").alias("cik10"), accession.alias("accession_number"), F.concat(F.lit("d"), F.col("doc_id") % 4).alias("primary_document"), "doc_id", "n_chars", "lang", "text").withColumn("accession_lineage_key", panel.lineage_key(F.col("cik10"), F.col("accession_number"), F.col("primary_document")))
 
 
-def _flag(c, red: int, yellow: int):
-    return F.when(c % red == 0, "RED").when(c % yellow == 0, "YELLOW").otherwise("GREEN")
-
-
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    docs = _documents(spark, d)
-    i, day = F.col("doc_id"), F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("doc_id") % 700).cast("int")).cast("string")
-    keys = ["accession_lineage_key", "cik10", "accession_number"]
-    mismatch = docs.filter("doc_id % 5 <> 0").select(*keys, "doc_id", F.when(i % 11 != 0, day).otherwise("").alias("feature_asof_date"), _flag(i, 13, 3).alias("mismatch_quality_flag"), F.when(i % 17 != 0, F.col("n_chars") / 1000).alias("dfm_score_simple"))
-    fund = docs.filter("doc_id % 4 < 3 and doc_id % 9 < 8").select(*keys, day.alias("feature_asof_date"), _flag(i, 19, 2).alias("fundamental_quality_flag"), F.col("n_chars").alias("revenue"))
-    text = docs.filter("doc_id % 10 <> 7").select(*keys, day.alias("feature_asof_date"), _flag(i, 23, 5).alias("full_parse_quality_flag"), F.col("lang").alias("lang"))
-    av = docs.filter("doc_id % 3 = 0").select("cik10", "accession_number", day.alias("first_allowed_execution_date"), F.concat(day, F.lit("T10:00:00Z")).alias("accepted_at_edgar"), _flag(i, 29, 4).alias("timestamp_quality_flag"))
-    return mismatch, fund, text, av
-
-
-def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return panel.research_panel(*_parts(spark, d))
-
-
-_PANEL_OUT = ("panel_row_id", "feature_asof_date", "accepted_at_edgar", "timestamp_quality_flag", "fund_fundamental_quality_flag", "fund_revenue", "text_full_parse_quality_flag", "text_lang", "panel_quality_notes", "panel_quality_flag", "panel_eligible")
-
-
-def research_panel(spark: SparkSession, d: str) -> DataFrame:
-    return _panel(spark, d).select(*_PANEL_OUT)
-
-
-def _targets(spark: SparkSession, d: str) -> DataFrame:
-    docs, i = _documents(spark, d), F.col("doc_id")
-    entry = F.date_add(F.to_date(F.lit("2020-01-01")), (i % 700 + i % 6 - 1).cast("int"))
-    return docs.filter("doc_id % 8 <> 5").select(F.col("accession_lineage_key").alias("panel_row_id"), F.upper("lang").alias("ticker"), (i % 12 != 1).alias("target_available"), _flag(i, 31, 6).alias("target_quality_flag"), entry.cast("string").alias("target_entry_date"), F.date_add(entry, (i % 90).cast("int")).cast("string").alias("target_exit_date"), F.when(i % 14 != 0, F.col("n_chars") / 1e6).alias("forward_63d_sector_adjusted_return"))
-
-
-def model_dataset(spark: SparkSession, d: str) -> DataFrame:
-    out = panel.model_dataset(_panel(spark, d), _targets(spark, d))
-    return out.select("model_row_id", "ticker", "target_entry_date", "model_dataset_quality_notes", "model_dataset_quality_flag", "model_dataset_eligible", "sample_weight")
-
-
-def feature_list(spark: SparkSession, d: str) -> DataFrame:
-    return panel.feature_list(panel.model_dataset(_panel(spark, d), _targets(spark, d)))
-
-
-def availability_fallback(spark: SparkSession, d: str) -> DataFrame:
-    mismatch, _, _, av = _parts(spark, d)
-    asked = mismatch.select("accession_lineage_key", F.when(F.col("doc_id") % 2 == 0, F.col("cik10")).alias("cik10"), "accession_number", "doc_id")
-    return panel.with_availability(asked, av, ["first_allowed_execution_date", "timestamp_quality_flag"], [F.desc("first_allowed_execution_date"), F.col("timestamp_quality_flag")]).select("doc_id", "first_allowed_execution_date", "timestamp_quality_flag")
-
-
-def text_accounting(spark: SparkSession, d: str) -> DataFrame:
-    _, fund, text, _ = _parts(spark, d)
-    one = panel.best_rows(fund.withColumn("accession", panel.accession_key(F.col("accession_lineage_key"))), ["accession"], "fundamental_quality_flag", "feature_asof_date")
-    out = panel.text_accounting(text, one)
-    return out.select("accession_key", "accession_lineage_key_text", "lang_text", "revenue_accounting", "fundamental_quality_flag_accounting")
-
-
-def lineage_versions(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" ").alias("version"))
-    return panel.lineage_version(docs, "version")
-
-
-def _flag_sql(c: str, red: int, yellow: int) -> str:
-    return f"case when {c} % {red} = 0 then 'RED' when {c} % {yellow} = 0 then 'YELLOW' else 'GREEN' end"
-
-
-_QR = lambda c: f"case {c} when 'GREEN' then 0 when 'YELLOW' then 1 when 'RED' then 2 else 3 end"
 _DOCS_SQL = "d0 as (select *, lpad(regexp_extract(source, '([0-9]+)', 1), 10, '0') as cik10, lpad(cast(doc_id // 4 as varchar), 18, '0') as accession_number, strftime(date '2020-01-01' + cast(doc_id % 700 as integer), '%Y-%m-%d') as day from documents), dd as (select *, cik10 || ':' || accession_number || ':d' || (doc_id % 4) as accession_lineage_key, cik10 || ':' || accession_number as acc from d0)"
-_PARTS_SQL = _DOCS_SQL + f""",
-mm as (select *, case when doc_id % 11 <> 0 then day else '' end as asof0, {_flag_sql('doc_id', 13, 3)} as mq, case when doc_id % 17 <> 0 then n_chars / 1000 end as dfm from dd where doc_id % 5 <> 0 qualify row_number() over (partition by accession_lineage_key order by {_QR('mq')}, asof0 nulls last, accession_number, cik10, doc_id) = 1),
-fu as (select acc, {_flag_sql('doc_id', 19, 2)} as fq, n_chars as revenue, day from dd where doc_id % 4 < 3 and doc_id % 9 < 8 qualify row_number() over (partition by acc order by {_QR('fq')}, day nulls last, revenue) = 1),
-te as (select accession_lineage_key, {_flag_sql('doc_id', 23, 5)} as tq, lang from dd where doc_id % 10 <> 7 qualify row_number() over (partition by accession_lineage_key order by {_QR('tq')}, day nulls last, lang) = 1),
-av as (select acc, day as av_date, day || 'T10:00:00Z' as av_time, {_flag_sql('doc_id', 29, 4)} as av_flag from dd where doc_id % 3 = 0 qualify row_number() over (partition by acc order by av_date desc nulls last, av_time desc nulls last, av_flag desc nulls last) = 1),
-pj as (select mm.accession_lineage_key as panel_row_id, mm.doc_id, case when asof0 = '' then av_date else asof0 end as feature_asof_date, av_time as accepted_at_edgar, av_flag as timestamp_quality_flag, fq, revenue, tq, te.lang as text_lang, mq, dfm from mm left join fu on mm.acc = fu.acc left join te on mm.accession_lineage_key = te.accession_lineage_key left join av on mm.acc = av.acc),
-pn as (select *, list_filter([case when coalesce(feature_asof_date, '') = '' then 'missing_feature_asof_date' end, case when coalesce(mq, '') not in ('GREEN', 'YELLOW') then 'bad_mismatch_quality=' || coalesce(mq, 'MISSING') end, case when coalesce(timestamp_quality_flag, '') not in ('GREEN', 'YELLOW') then 'bad_timestamp_quality=' || coalesce(timestamp_quality_flag, 'MISSING') end, case when fq = 'RED' then 'fundamental_quality_red' end, case when fq is null then 'fundamental_quality_missing' end, case when tq = 'RED' then 'text_parse_quality_red' end, case when tq is null then 'text_parse_quality_missing' end, case when dfm is null then 'missing_dfm_score_simple' end], lambda x: x is not null) as ns, coalesce(feature_asof_date, '') = '' or coalesce(mq, '') not in ('GREEN', 'YELLOW') or coalesce(timestamp_quality_flag, '') not in ('GREEN', 'YELLOW') or coalesce(fq, '') = 'RED' or coalesce(tq, '') = 'RED' or dfm is null as red from pj),
-pf as (select *, array_to_string(ns, ';') as panel_quality_notes, case when red then 'RED' when len(ns) > 0 then 'YELLOW' else 'GREEN' end as panel_quality_flag, not red as panel_eligible from pn)"""
-_TARGET_SQL = f"tg as (select accession_lineage_key as panel_row_id, upper(lang) as ticker, doc_id % 12 <> 1 as target_available, {_flag_sql('doc_id', 31, 6)} as tflag, date '2020-01-01' + cast(doc_id % 700 + doc_id % 6 - 1 as integer) as entry, date '2020-01-01' + cast(doc_id % 700 + doc_id % 6 - 1 + doc_id % 90 as integer) as exit_day, case when doc_id % 14 <> 0 then n_chars / 1e6 end as y from dd where doc_id % 8 <> 5)"
-_DATASET_SQL = f"{_PARTS_SQL}, {_TARGET_SQL}, ds as (select pf.panel_row_id as model_row_id, ticker, strftime(entry, '%Y-%m-%d') as target_entry_date, list_filter([case when not panel_eligible then 'panel_not_eligible' end, case when panel_quality_flag = 'RED' then 'bad_panel_quality=RED' end, case when not coalesce(target_available, false) then 'target_not_available' end, case when coalesce(tflag, '') not in ('GREEN', 'YELLOW') then 'bad_target_quality=' || coalesce(tflag, 'MISSING') end, case when y is null then 'missing_primary_label_forward_63d_sector_adjusted_return' end, case when feature_asof_date is null then 'missing_or_invalid_feature_asof_date' end, case when entry is null then 'missing_or_invalid_target_entry_date' end, case when exit_day is null then 'missing_or_invalid_target_exit_date' end, case when entry < cast(feature_asof_date as date) then 'target_entry_before_feature_asof' end], lambda x: x is not null) as reds, coalesce(exit_day <= entry, false) as late from pf left join tg on pf.panel_row_id = tg.panel_row_id)"
 
 
 # Accounting
@@ -301,13 +227,13 @@ _DELTA_SQL = _FUND_SQL + ", fo as (select fq.*, o_custkey, strftime(o_orderdate,
 
 
 def _sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Full texts, and three sections of most documents: every third line from the first, second and third on."""
+    """Full texts, and three sections of every document that has such lines: every third line from the first, second and third on."""
     docs = _documents(spark, d)
-    full = docs.select("accession_lineage_key", F.col("text").alias("clean_text"), _flag(F.col("doc_id"), 9, 4).alias("parse_quality_flag"))
+    full = docs.select("accession_lineage_key", F.col("text").alias("clean_text"), F.when(F.col("n_chars") < 200, "RED").when(F.col("n_chars") < 1000, "YELLOW").otherwise("GREEN").alias("parse_quality_flag"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     third = lambda k: lambda x, i: i % 3 == k
     part = lambda k: F.array_join(F.filter(lines, third(k)), "\n")
-    made = docs.filter("doc_id % 6 <> 0").select("accession_lineage_key", F.explode(F.array(*[F.struct(F.lit(n).alias("section_name"), part(k).alias("section_text")) for k, n in enumerate(texts.SECTIONS)])).alias("x")).select("accession_lineage_key", "x.*")
+    made = docs.select("accession_lineage_key", F.explode(F.array(*[F.struct(F.lit(n).alias("section_name"), part(k).alias("section_text")) for k, n in enumerate(texts.SECTIONS)])).alias("x")).select("accession_lineage_key", "x.*")
     made = made.withColumn("section_word_count", texts.word_count(F.col("section_text")))
     return full, made.filter("section_word_count > 0").withColumn("section_quality_flag", F.when(F.col("section_word_count") < 80, "YELLOW").otherwise("GREEN"))
 
@@ -338,11 +264,11 @@ def _tone_sql(text: str, prefix: str) -> tuple[str, str]:
 
 
 def _text_sql() -> str:
-    parts = [f"full0 as (select accession_lineage_key, {_flag_sql('doc_id', 9, 4)} as parse_quality_flag, {_tone_sql('text', 'full_')[0]} from dd), t_full as (select accession_lineage_key, parse_quality_flag, {_tone_sql('text', 'full_')[1]} from full0)"]
+    parts = [f"full0 as (select accession_lineage_key, case when n_chars < 200 then 'RED' when n_chars < 1000 then 'YELLOW' else 'GREEN' end as parse_quality_flag, {_tone_sql('text', 'full_')[0]} from dd), t_full as (select accession_lineage_key, parse_quality_flag, {_tone_sql('text', 'full_')[1]} from full0)"]
     out, joins = [], ""
     for k, (name, p) in enumerate(texts.SECTIONS.items()):
         w, cols = _tone_sql("sx", p)
-        parts.append(f"s_{name} as (select * from (select accession_lineage_key, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x, i: (i - 1) % 3 = {k}), chr(10)) as sx from dd where doc_id % 6 <> 0) where len(regexp_extract_all(sx, '[^ \\t\\n\\r\\f\\v]+')) > 0), w_{name} as (select accession_lineage_key, len(regexp_extract_all(sx, '[^ \\t\\n\\r\\f\\v]+')) as swc, {w} from s_{name}), t_{name} as (select accession_lineage_key, swc, {cols} from w_{name})")
+        parts.append(f"s_{name} as (select * from (select accession_lineage_key, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x, i: (i - 1) % 3 = {k}), chr(10)) as sx from dd) where len(regexp_extract_all(sx, '[^ \\t\\n\\r\\f\\v]+')) > 0), w_{name} as (select accession_lineage_key, len(regexp_extract_all(sx, '[^ \\t\\n\\r\\f\\v]+')) as swc, {w} from s_{name}), t_{name} as (select accession_lineage_key, swc, {cols} from w_{name})")
         joins += f" left join t_{name} on t_full.accession_lineage_key = t_{name}.accession_lineage_key"
         out += [f"coalesce(t_{name}.{p}{c}, 0) as {p}{c}" for c in _TONE] + [f"t_{name}.swc is not null as {p}section_available", f"case when t_{name}.swc is null then 'RED' when t_{name}.swc < 80 then 'YELLOW' else 'GREEN' end as {p}section_quality_flag", f"coalesce(t_{name}.swc, 0) as {p}section_word_count_source"]
     return f"with {_DOCS_SQL}, {', '.join(parts)} select t_full.*, {', '.join(out)} from t_full{joins}"
@@ -391,8 +317,8 @@ def period_keys(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", performance.rebalance_period(F.col("o_orderdate")).alias("month"), performance.rebalance_period(F.col("o_orderdate"), quarterly=True).alias("quarter"), accounting.compact_date(text).alias("day"), accounting.compact_year(text).alias("year"), accounting.fiscal_period(F.when(F.col("o_orderkey") % 3 == 0, "fy").when(F.col("o_orderkey") % 3 == 1, ""), F.when(F.col("o_orderstatus") == "F", "10-k").otherwise("10-Q")).alias("fiscal"))
 
 
-_EVIDENCE_NUM = [("model_selection_report", "model_selection_rank", "(select max(model_selection_rank) from pm where strategy = 'n1')"), ("model_selection_report", "validation_mean_mae", "(select max(validation_mean_mae) from pm where strategy = 'n1')"), *[("ablation_summary", c, f"(select max({c}) from sx where ablation_name = 'price_score')") for c in performance.EVIDENCE["ablation_summary"]]]
-_EVIDENCE_SQL = _metrics_sql(9) + f", {_SEL_SQL}, ab_all as (with {_ABS_SQL} select *, row_number() over (order by rank_ic * 10 + rank_mae * 2 + rank_portfolio_net, ablation_name) as ablation_score_rank from sm), sx as (select * from ab_all), ev as (select 'portfolio_performance_summary' as source, metric, value_num, value_str from mt where metric in {performance.EVIDENCE['portfolio_performance_summary']} union all " + " union all ".join(f"select '{a}', '{b}', round({c}, 9), null" for a, b, c in _EVIDENCE_NUM) + " union all select 'model_selection_report', 'model_name', null, (select max(model_name) from pm where strategy = 'n1') union all select 'ablation_summary', 'best_ablation_by_ic', null, (select ablation_name from sx order by mean_spearman_ic desc nulls last, ablation_name limit 1)) select 'price' as strategy, source, metric, cast(round(value_num, 5) as double) as value_num, value_str from ev"
+_EVIDENCE_NUM = [("model_selection_report", "model_selection_rank", "(select model_selection_rank from pm1)"), ("model_selection_report", "validation_mean_mae", "(select validation_mean_mae from pm1)"), *[("ablation_summary", c, f"(select max({c}) from sx where ablation_name = 'price_score')") for c in performance.EVIDENCE["ablation_summary"]]]
+_EVIDENCE_SQL = _metrics_sql(9) + f", {_SEL_SQL}, pm1 as (select *, strategy || ':' || model_name as name from sel order by is_primary_model desc, model_selection_rank, name limit 1), ab_all as (with {_ABS_SQL} select *, row_number() over (order by rank_ic * 10 + rank_mae * 2 + rank_portfolio_net, ablation_name) as ablation_score_rank from sm), sx as (select * from ab_all), ev as (select 'portfolio_performance_summary' as source, metric, value_num, value_str from mt where metric in {performance.EVIDENCE['portfolio_performance_summary']} union all " + " union all ".join(f"select '{a}', '{b}', round({c}, 9), null" for a, b, c in _EVIDENCE_NUM) + " union all select 'model_selection_report', 'model_name', null, (select name from pm1) union all select 'ablation_summary', 'best_ablation_by_ic', null, (select ablation_name from sx order by mean_spearman_ic desc nulls last, ablation_name limit 1)) select 'price' as strategy, source, metric, cast(round(value_num, 5) as double) as value_num, value_str from ev"
 
 _HTML_SQL = rf"trim(regexp_replace({_HTML}, '[ \t\r\n]+', ' ', 'g'))"
 
@@ -405,15 +331,9 @@ ORACLES = {
     "ablation_portfolios": f"with {_AB_SQL} select ablation_name, month, {_d('gross_return')}, {_d('turnover')}, {_d('net_return')}, long_count, short_count from ret",
     "ablation_summary": f"with {_ABS_SQL} select ablation_name, folds_success, coalesce(portfolio_periods, 0) as portfolio_periods, {', '.join(_d(c) for c in _SUMMARY)}, rank_ic, rank_mae, rank_portfolio_net, row_number() over (order by rank_ic * 10 + rank_mae * 2 + rank_portfolio_net, ablation_name) as ablation_score_rank from sm",
     "best_ablation": f"with {_ABS_SQL} select (select ablation_name from sm order by mean_spearman_ic desc nulls last, ablation_name limit 1) as best_ablation_by_ic, coalesce((select mean_spearman_ic from sm where ablation_name = 'price_score') >= (select max(mean_spearman_ic) from sm) - 1e-12, false) as is_best_or_tied",
-    "role_report": "with o as (select *, strftime(o_orderdate, '%Y') as fold_id, substring(o_orderpriority, 1, 1) as model_name, case when o_orderstatus = 'F' then 'validation' else 'test' end as role from orders), m as (select model_name, role, fold_id, round(avg(o_totalprice) / 1e6, 6) as spearman, round(stddev_samp(o_totalprice) / 1e5, 6) as mae, round(max(o_totalprice) / 1e5, 6) as rmse from o group by 1, 2, 3), r as (select model_name, role, " + ", ".join(f"round({f}({c}), 6) as {n}_{c}" for c in ("spearman", "mae", "rmse") for n, f in (("mean", "avg"), ("median", "median"))) + ", count(distinct fold_id) as folds_success from m group by 1, 2), p as (select model_name, role, count(*) as prediction_rows, count(distinct fold_id) as prediction_folds from o where o_orderkey % 3 = 0 group by 1, 2) select r.*, coalesce(prediction_rows, 0) as prediction_rows, coalesce(prediction_folds, 0) as prediction_folds from r left join p on r.model_name = p.model_name and r.role = p.role",
+    "role_report": "with o as (select *, strftime(o_orderdate, '%Y') as fold_id, substring(o_orderpriority, 1, 1) as model_name, case when o_orderstatus = 'F' then 'validation' else 'test' end as role from orders), m as (select model_name, role, fold_id, round(avg(o_totalprice) / 1e6, 6) as spearman, round(stddev_samp(o_totalprice) / 1e5, 6) as mae, round(max(o_totalprice) / 1e5, 6) as rmse from o group by 1, 2, 3), r as (select model_name, role, " + ", ".join(f"round({f}({c}), 6) as {n}_{c}" for c in ("spearman", "mae", "rmse") for n, f in (("mean", "avg"), ("median", "median"))) + ", count(distinct fold_id) as folds_success from m group by 1, 2), p as (select model_name, role, count(*) as prediction_rows, count(distinct fold_id) as prediction_folds from o group by 1, 2) select r.*, coalesce(prediction_rows, 0) as prediction_rows, coalesce(prediction_folds, 0) as prediction_folds from r left join p on r.model_name = p.model_name and r.role = p.role",
     "primary_model": f"with {_SEL_SQL} select strategy, model_name, model_selection_rank, is_primary_model from pm",
     "critical_verdicts": "with s as (select s_nationkey, count(*) >= 2 as a, sum(s_acctbal) > 0 as b, min(s_acctbal) >= -500 as c from supplier group by 1) select s_nationkey, a::int + b::int + c::int as passed_criteria, 3 as total_criteria, 2 - a::int - b::int as critical_failures, case when a and b then 'PASS' else 'FAIL' end as final_verdict from s",
-    "research_panel": f"with {_PARTS_SQL} select panel_row_id, feature_asof_date, accepted_at_edgar, timestamp_quality_flag, fq as fund_fundamental_quality_flag, revenue as fund_revenue, tq as text_full_parse_quality_flag, text_lang, panel_quality_notes, panel_quality_flag, panel_eligible from pf",
-    "model_dataset": f"with {_DATASET_SQL} select model_row_id, ticker, target_entry_date, array_to_string(list_concat(reds, case when late then ['target_exit_not_after_entry'] else [] end), ';') as model_dataset_quality_notes, case when len(reds) > 0 then 'RED' when late then 'YELLOW' else 'GREEN' end as model_dataset_quality_flag, len(reds) = 0 as model_dataset_eligible, case when len(reds) = 0 then 1.0::double else 0.0::double end as sample_weight from ds",
-    "feature_list": f"with {_PARTS_SQL} select * from (select 'dfm_score_simple' as feature, count(dfm) as numeric_rows from pf union all select 'doc_id', count(doc_id) from pf union all select 'fund_revenue', count(revenue) from pf) where numeric_rows > 0",
-    "availability_fallback": f"with {_PARTS_SQL} select mm.doc_id, av_date as first_allowed_execution_date, av_flag as timestamp_quality_flag from (select * from dd where doc_id % 5 <> 0) mm left join (select acc, day as av_date, {_flag_sql('doc_id', 29, 4)} as av_flag from dd where doc_id % 3 = 0 qualify row_number() over (partition by acc order by day desc, {_flag_sql('doc_id', 29, 4)}) = 1) av on mm.acc = av.acc",
-    "text_accounting": f"with {_PARTS_SQL} select dd.acc as accession_key, dd.accession_lineage_key as accession_lineage_key_text, dd.lang as lang_text, revenue as revenue_accounting, fq as fundamental_quality_flag_accounting from dd join fu on dd.acc = fu.acc where doc_id % 10 <> 7",
-    "lineage_versions": "select min(source) as lineage_version from documents where doc_id % 2 = 0 and trim(source) <> ''",
     "accounting_facts": f"with {_FACT_SQL} select accession_number, concept, tag, unit, qtrs, ddate, round(value, 6) as value, fact_flag, fact_notes from fs",
     "fundamental_features": f"with {_FUND_SQL} select accession_number, {', '.join(f'round({c}, 6) as {c}' for c in (*accounting.CONCEPTS, *_RATIO_SQL))}, revenue is not null as revenue_available, revenue_tag, cov as concept_coverage_count, round(cov / 11, 6) as concept_coverage_ratio, fundamental_quality_flag, fundamental_quality_notes from fq",
     "fundamental_deltas": f"with {_DELTA_SQL} select accession_number, period_key, cast(o_orderdate as date) as period_date, round(rp, 6) as revenue_prior, round(revenue - rp, 6) as revenue_abs, round((revenue - rp) / nullif(abs(rp), 0), 6) as revenue_pct, round(sign(revenue) * ln(1 + abs(revenue)) - sign(rp) * ln(1 + abs(rp)), 6) as revenue_log, round(mp, 6) as net_margin_prior, round(net_margin - mp, 6) as margin_delta, round(asset_turnover - tp, 6) as asset_turnover_delta, py - pp as period_year_gap, case when pp is null or fundamental_quality_flag = 'RED' then 'RED' when py - pp <> 1 or fundamental_quality_flag = 'YELLOW' then 'YELLOW' else 'GREEN' end as link_flag, array_to_string(list_filter([case when pp is null then 'missing_prior_comparable_filing' end, case when fundamental_quality_flag = 'RED' then 'current_fundamental_quality_red' end, case when py - pp <> 1 then 'period_year_gap_not_one' end, case when fundamental_quality_flag = 'YELLOW' then 'current_fundamental_quality_yellow' end], lambda x: x is not null), ';') as link_notes from fl",
@@ -425,4 +345,4 @@ ORACLES = {
     "inventory_summary": "select regexp_extract(url, '([^/.]+)$', 1) as suffix, count(*) as n_files, sum(strlen(html)) as total_size from pages group by 1 union all select '(missing)', (select count(*) from documents), 0",
     "period_keys": "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month, year(o_orderdate) || 'Q' || quarter(o_orderdate) as quarter, case when o_orderkey % 10 <> 0 then cast(o_orderdate as date) end as day, case when o_orderkey % 10 = 0 then 2024 else year(o_orderdate) end as year, case when o_orderkey % 3 = 0 then 'FY' when o_orderstatus = 'F' then 'FY' end as fiscal from orders",
 }
-QUERIES = {f.__name__: f for f in (portfolio_returns, monthly_diagnostics, performance_metrics, ablation_portfolios, ablation_summary, best_ablation, role_report, primary_model, critical_verdicts, verdict_evidence, research_panel, model_dataset, feature_list, availability_fallback, text_accounting, lineage_versions, accounting_facts, fundamental_features, fundamental_deltas, quarter_tables, text_features, text_counts, price_table, price_checks, contract_registry, inventory_summary, period_keys)}
+QUERIES = {f.__name__: f for f in (portfolio_returns, monthly_diagnostics, performance_metrics, ablation_portfolios, ablation_summary, best_ablation, role_report, primary_model, critical_verdicts, verdict_evidence, accounting_facts, fundamental_features, fundamental_deltas, quarter_tables, text_features, text_counts, price_table, price_checks, contract_registry, inventory_summary, period_keys)}
