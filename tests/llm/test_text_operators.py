@@ -285,3 +285,21 @@ def test_empty_benchmark_and_empty_documents(spark):
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert bpe.encode(frame(spark, []), P.path("word_bpe_49k.json")).select(F.sum("tokens.n_tokens")).first()[0] is None
+
+
+def test_shingle_sets_are_those_of_joined_words():
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [None, "", " \n", "A b", "a B", "b a", "a b c d e", *[rng.choice((" ", "\n", "  ")).join(rng.choices(["a", "B", "ab", "é", "1"], k=rng.randrange(40))) for _ in range(300)]]
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    plain = []
+    for text in texts:
+        words = (text or "").translate(lower).split()
+        plain.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set())
+    found = [set(h.tolist()) for h in simhash.each_shingle_set(pa.chunked_array([texts]).combine_chunks(), 5)]
+    assert [len(s) for s in found] == [len(s) for s in plain]
+    assert all((p & q == set()) == (f & g == set()) and len(p & q) == len(f & g) for (p, f), (q, g) in itertools.combinations(zip(plain, found, strict=True), 2))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .blocks import give_back
 from .common import arrow_rows, checkpoint, fresh, release_shuffles, scratch, small_side
 from .components import connected_components
-from .words import LOWER, NOT_SPACE, parts, text_bytes, word_spans
+from .words import BASE, LOWER, NOT_SPACE, mix, parts, span_hashes, text_bytes, word_spans
 
 BITS = 64
 
@@ -153,6 +153,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 # Near copies: exact similarity of shingle sets, found by a prefix-filter join.
 
 
+def each_shingle_set(column: pa.Array, size: int):
+    """For each text the distinct hashes of its shingles, sorted; words in lower case (A-Z), fewer than size words are one shingle.
+
+    A shingle's hash is a polynomial of its words' hashes, made for all words of many texts at once.
+    """
+    for part in parts(column):
+        body, offsets = text_bytes(part)
+        body = LOWER[body]
+        starts, ends, first = word_spans(body, offsets, NOT_SPACE)
+        words = span_hashes(body, starts, ends)
+        rolled = np.zeros(max(len(words) - size + 1, 0), np.uint64)
+        for k in range(size):
+            rolled = rolled * np.uint64(BASE) + words[k : k + len(rolled)]
+        rolled = mix(rolled)
+        for low, high in itertools.pairwise(first.tolist()):
+            if high - low >= size:
+                yield np.unique(rolled[low : high - size + 1])
+            elif high > low:
+                own = np.array([high - low], np.uint64)
+                for k in range(low, high):
+                    own = own * np.uint64(BASE) + words[k : k + 1]
+                yield mix(own)
+            else:
+                yield np.zeros(0, np.uint64)
+
+
 def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order of all sets (common ones last), so many that two sets of this similarity share one."""
     if not len(hashes):
@@ -171,7 +197,7 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str, size: int, sam
     @F.arrow_udf("array<bigint>")
     def shingles(column: pa.Array) -> pa.Array:
         give_back()
-        return pa.array([np.unique(h).view(np.int64) for h in each_shingles(column, size, 42)], pa.list_(pa.int64()))
+        return pa.array([h.view(np.int64) for h in each_shingle_set(column, size)], pa.list_(pa.int64()))
 
     share = min(1.0, sample / max(docs.count(), 1))
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)) < int((1 << 40) * share)).select(text_col)
@@ -227,8 +253,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def make(column: pa.Array) -> pa.Array:
         give_back()
         ns, sizes, prefixes = [], [], []
-        for hashes in each_shingles(column, size, 42):
-            hashes = np.unique(hashes)
+        for hashes in each_shingle_set(column, size):
             ns.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
             sizes.append(len(hashes))
             prefixes.append(_prefix(hashes, similarity, common, ranks).view(np.int64))
@@ -238,8 +263,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def whole(column: pa.Array) -> pa.Array:
         give_back()
         ns, packed = [], []
-        for hashes in each_shingles(column, size, 42):
-            hashes = np.unique(hashes)
+        for hashes in each_shingle_set(column, size):
             ns.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
             packed.append(_packed_set(hashes))
         return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], ["n", "packed"])
