@@ -71,8 +71,14 @@ def assign_folds(df: DataFrame, date: str, windows: DataFrame) -> DataFrame:
     return df.join(seats, F.col(date) == F.col("_day")).select(*[df[c] for c in df.columns], *windows.columns, "role")
 
 
+def varied(x: str) -> Column:
+    """An aggregate: whether a column has two values. Deviations don't tell, as partial means of equal values may differ in their last bit."""
+    return F.min(x) < F.max(x)
+
+
 def correlation(x: str, y: str) -> Column:
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Null where a side is constant."""
+    return F.when(varied(x) & varied(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def average_ranks(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
@@ -104,7 +110,7 @@ def fold_metrics(df: DataFrame, group: list[str], truth: str, predicted: str, *,
     ranked = rows.join(of(0, "_t"), ["_g", "_t"]).join(of(1, "_p"), ["_g", "_p"])
     t, p = F.col("_t"), F.col("_p")
     mse = F.avg(F.pow(t - p, 2))
-    more = [mse.alias("mse"), (1 - F.try_divide(mse, F.when(F.count("*") > 1, F.var_pop(t)))).alias("r2"), F.avg(t).alias("mean_y_true"), F.avg(p).alias("mean_y_pred")] if full else []
+    more = [mse.alias("mse"), (1 - F.try_divide(mse, F.when(varied("_t"), F.var_pop(t)))).alias("r2"), F.avg(t).alias("mean_y_true"), F.avg(p).alias("mean_y_pred")] if full else []
     found = ranked.groupBy("_g").agg(F.count("*").alias("n_rows"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), correlation("_t", "_p").alias("pearson"), correlation("_r_t", "_r_p").alias("spearman"), *more)
     return found.select("_g.*", *found.columns[1:])
 
