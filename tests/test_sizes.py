@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import stories
 from tidemark.operators import market
 
 
@@ -14,3 +15,9 @@ def test_a_constant_side_has_no_correlation_however_rows_are_dealt(spark):
     for truth, predicted, r2 in (("y", "p", True), ("p", "y", False)):
         row = market.fold_metrics(df.withColumn("g", F.lit("a")), ["g"], truth, predicted, full=True).first()
         assert row.pearson is None and row.spearman is None and (row.r2 is not None) == r2
+
+
+def test_a_mean_on_a_limit_does_not_depend_on_the_order_of_lines(spark):
+    df = spark.createDataFrame([(0.1,), (0.1,), (0.1,), (0.08,)], "l_discount double").coalesce(1)
+    found = {df.sort(order).agg(F.expr(stories._MEASURES["b"])).first()[0] for order in (F.asc("l_discount"), F.desc("l_discount"))}
+    assert found == {1.9}
