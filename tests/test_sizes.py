@@ -1,9 +1,12 @@
 """What holds whatever the order and number of rows."""
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import stories
-from tidemark.operators import market
+from tidemark.operators import folds, market
 
 
 def test_a_constant_side_has_no_correlation_however_rows_are_dealt(spark):
@@ -21,3 +24,25 @@ def test_a_mean_on_a_limit_does_not_depend_on_the_order_of_lines(spark):
     df = spark.createDataFrame([(0.1,), (0.1,), (0.1,), (0.08,)], "l_discount double").coalesce(1)
     found = {df.sort(order).agg(F.expr(stories._MEASURES["b"])).first()[0] for order in (F.asc("l_discount"), F.desc("l_discount"))}
     assert found == {1.9}
+
+
+def test_rows_counted_together_measure_like_rows(spark):
+    rows = [(g, float(k % 5), float(k * k % 7) + 1e6, 1 + k % 3) for g in ("a", "b") for k in range(24)] + [("c", 1.0, 2.0, 9)]
+    held = spark.createDataFrame(rows, "g string, y double, p double, n int")
+    single = held.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("_", "n")
+    by = lambda df: {r.g: r.asDict() for r in df.collect()}
+    want, got = by(market.fold_metrics(single, ["g"], "y", "p", full=True)), by(market.fold_metrics(held, ["g"], "y", "p", full=True, weight="n"))
+    assert got.keys() == want.keys() and got["c"]["pearson"] is None and got["c"]["r2"] is None
+    assert all(got[g][c] == (v if v is None or isinstance(v, str) else pytest.approx(v, rel=1e-9)) for g in want for c, v in want[g].items())
+
+
+def test_folds_write_a_row_for_rows_that_agree_and_no_seats(spark):
+    rows = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(days=k % 1800), float(k % 2), 1.0) for k in range(3600)], "day date, a double, y double")
+    windows = market.fold_windows(F.col("lo"), F.col("hi"), rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi")))
+    ready, seats = folds.alike(rows, "day", ["a"], "y", windows)
+    assert set(ready.columns) == {"first_fold", "span", "y", "a", "n_alike"}
+    counts = ready.agg(F.count("*"), F.sum("n_alike")).first()
+    assert counts[0] < 200 and counts[1] > 3000
+    every = rows.join(folds.fold_days(windows), "day").filter("seats is not null").select(F.explode("seats").alias("s")).groupBy("s.fold", "s.role").count()
+    ours = ready.join(seats, "span").select("n_alike", F.explode("seats").alias("s")).groupBy("s.fold", "s.role").agg(F.sum("n_alike"))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, ours.collect()))

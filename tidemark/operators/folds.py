@@ -44,6 +44,11 @@ def fold_counts(df: DataFrame, date: str, windows: DataFrame) -> DataFrame:
     return each.join(days, "day").groupBy("fold_id", "role").agg(F.sum("n").alias("n_rows"), F.min("day").alias("first_date"), F.max("day").alias("last_date"))
 
 
+def _weight(weight: str | None):
+    """How many rows a row stands for, as w."""
+    return (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w")
+
+
 # Medians of expanding windows
 
 
@@ -70,16 +75,16 @@ def _narrowed(width: int):
     return narrow
 
 
-def expanding_medians(rows: DataFrame, features: list[str], folds: int, *, width: int = 1024) -> np.ndarray:
+def expanding_medians(rows: DataFrame, features: list[str], folds: int, *, width: int = 1024, weight: str | None = None) -> np.ndarray:
     """The exact median of each feature over each fold's train rows (folds x features), nan without values.
 
-    rows: (first_fold, features...), finite numbers or nulls. Values are counted in ``width`` bins of their range; the bins that hold a fold's middle rows are cut again
+    rows: (first_fold, features...), finite numbers or nulls, each standing for as many as ``weight`` says. Values are counted in ``width`` bins of their range; the bins that hold a fold's middle rows are cut again
     over the values that they really hold, until such a bin has a single value. A round reads only rows of the bins that are still open, and
     what meets in one task is width x folds counts. Two rounds settle data of up to about a million distinct values.
     """
     spark = rows.sparkSession
-    values = rows.filter("first_fold is not null").select("first_fold", F.posexplode(F.array(*[F.col(c).cast("double") for c in features])).alias("feature", "v")).filter("v is not null and not isnan(v)")
-    sizes = values.groupBy("feature", "first_fold").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # features x folds
+    values = rows.filter("first_fold is not null").select("first_fold", _weight(weight), F.posexplode(F.array(*[F.col(c).cast("double") for c in features])).alias("feature", "v")).filter("v is not null and not isnan(v)")
+    sizes = values.groupBy("feature", "first_fold").agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # features x folds
     n, lo, hi = np.zeros((folds, len(features)), np.int64), {}, {}
     for r in sizes:
         n[r.first_fold, r.feature] += r.n
@@ -95,13 +100,13 @@ def expanding_medians(rows: DataFrame, features: list[str], folds: int, *, width
         ranges = spark.createDataFrame(sorted({(p, a, b) for *_, p, a, b in asked}), "path string, from double, to double")
         # halves before the difference, which could overflow
         share = (F.col("v") / 2 - F.col("from") / 2) / (F.col("to") / 2 - F.col("from") / 2)
-        inside = open_rows.join(ranges, "path").withColumn("bin", F.least(F.lit(width - 1), F.floor(share * width).cast("int")))
-        counts = inside.groupBy("path", "bin", "first_fold").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        inside = open_rows.join(F.broadcast(ranges), "path").withColumn("bin", F.least(F.lit(width - 1), F.floor(share * width).cast("int")))
+        counts = inside.groupBy("path", "bin", "first_fold").agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         wanted = spark.createDataFrame(asked, schema)
         asked = [tuple(r) for r in counts.groupBy("path").cogroup(wanted.groupBy("path")).applyInPandas(narrow, schema).collect()]
         settle(asked)
         asked = [r for r in asked if r[5] < r[6]]
-        open_rows = inside.select("first_fold", "feature", "v", F.concat_ws(".", "path", "bin").alias("path"))
+        open_rows = inside.select("first_fold", "w", "feature", "v", F.concat_ws(".", "path", "bin").alias("path"))
     return found[:, :, 0] / 2 + found[:, :, 1] / 2  # their sum could overflow
 
 
@@ -112,13 +117,13 @@ def _matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns]) if columns else np.zeros((batch.num_rows, 0))
 
 
-def train_sums(rows: DataFrame, features: list[str], label: str) -> DataFrame:
+def train_sums(rows: DataFrame, features: list[str], label: str, *, weight: str | None = None) -> DataFrame:
     """(first_fold, i, j, value): sums over rows of z_i z_j, where z is 1, the label, the features (null: 0), and for each feature 1 where it is null.
 
     With a fold's medians m, its imputed features are x + m null, so their products are linear in these sums. Rows without a label or first fold are
     left out. Each task adds its rows up before anything is sent.
     """
-    asked = rows.filter(F.col("first_fold").isNotNull() & F.col(label).isNotNull()).select(F.col("first_fold").cast("int").alias("first_fold"), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)])
+    asked = rows.filter(F.col("first_fold").isNotNull() & F.col(label).isNotNull()).select(F.col("first_fold").cast("int").alias("first_fold"), _weight(weight), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)])
     xs = [f"_x{k}" for k in range(len(features))]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +132,10 @@ def train_sums(rows: DataFrame, features: list[str], label: str) -> DataFrame:
             x, first = _matrix(b, xs), b.column("first_fold").to_numpy()
             null = np.isnan(x)
             z = np.column_stack([np.ones(len(x)), _matrix(b, ["_y"]), np.where(null, 0.0, x), null])
+            times = z * _matrix(b, ["w"])
             for f in np.unique(first):
-                own = z[first == f]
-                sums[int(f)] = sums.get(int(f), 0) + own.T @ own
+                at = first == f
+                sums[int(f)] = sums.get(int(f), 0) + times[at].T @ z[at]
         for f, s in sums.items():
             i, j = np.indices(s.shape)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, f), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(s.ravel())], ["first_fold", "i", "j", "value"])
@@ -164,27 +170,30 @@ def _linear(s: np.ndarray, m: np.ndarray, alpha: float, l1_alpha: float, l1_rati
 # Boosting on binned rows
 
 
-def bin_edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
+def bin_edges(rows: DataFrame, features: list[str], bins: int, *, weight: str | None = None) -> list[np.ndarray]:
     """Quantiles of each feature over rows that every fold trains on, so that no fold's bins look ahead. A value is in the bin after all edges below it."""
     share = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    found = rows.filter("first_fold = 0").agg(*[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), share, 10_000).alias(f"q{k}") for k, c in enumerate(features)]).first()
+    first = rows.filter("first_fold = 0")
+    if weight:
+        first = first.withColumn("_", F.explode(F.sequence(F.lit(1), F.col(weight))))  # the quantile takes no weights; nothing is sent
+    found = first.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), share, 10_000).alias(f"q{k}") for k, c in enumerate(features)]).first()
     return [np.unique(np.array(q or [], float)) for q in found]
 
 
-def binned_cells(rows: DataFrame, features: list[str], label: str, edges: list[np.ndarray]) -> DataFrame:
+def binned_cells(rows: DataFrame, features: list[str], label: str, edges: list[np.ndarray], *, weight: str | None = None) -> DataFrame:
     """(first_fold, code, n, total): rows that agree in all bins, counted, with the sum of their labels. code has a byte for each feature."""
-    asked = rows.filter(F.col("first_fold").isNotNull() & F.col(label).isNotNull()).select(F.col("first_fold").cast("int").alias("first_fold"), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)])
+    asked = rows.filter(F.col("first_fold").isNotNull() & F.col(label).isNotNull()).select(F.col("first_fold").cast("int").alias("first_fold"), _weight(weight), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            first, y = b.column("first_fold").to_numpy(), _matrix(b, ["_y"])[:, 0]
+            first, y, w = b.column("first_fold").to_numpy(), _matrix(b, ["_y"])[:, 0], b.column("w").to_numpy()
             code = coded(_matrix(b, [f"_x{k}" for k in range(len(edges))]), edges)
             key = np.column_stack([np.ascontiguousarray(first.astype(">i4")).view(np.uint8).reshape(-1, 4), code])
             kept, at = np.unique(key, axis=0, return_inverse=True)
             at = at.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(kept[:, :4].copy().view(">i4")[:, 0].astype(np.int32)), pa.array([k.tobytes() for k in kept[:, 4:]], pa.binary()), pa.array(np.bincount(at)), pa.array(np.bincount(at, weights=y))], ["first_fold", "code", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, :4].copy().view(">i4")[:, 0].astype(np.int32)), pa.array([k.tobytes() for k in kept[:, 4:]], pa.binary()), pa.array(np.bincount(at, weights=w).astype(np.int64)), pa.array(np.bincount(at, weights=w * y))], ["first_fold", "code", "n", "total"])
 
     return asked.mapInArrow(cells, "first_fold int, code binary, n bigint, total double").groupBy("first_fold", "code").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
@@ -359,11 +368,22 @@ def prepared(rows: DataFrame, keys: list[str], date: str, features: list[str], l
     """(keys..., label, features..., first_fold, seats), written once; days outside of all windows keep their rows, with nulls."""
     days = fold_days(windows)
     asked = rows.select(*keys, F.col(date).alias("day"), label, *[c for c in features if c not in (*keys, label)])
-    return cut(asked.join(days, "day", "left").drop("day"))
+    return cut(asked.join(F.broadcast(days), "day", "left").drop("day"))
+
+
+def alike(rows: DataFrame, date: str, features: list[str], label: str, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that agree in label, features and the windows that hold them, counted: (first_fold, span, label, features..., n_alike), written once; and (span, seats).
+
+    A span is a set of days that lie in the same windows. Its seats, some dozen, are looked up, not written with each row; what the windows don't hold is left out.
+    """
+    calendar = cut(fold_days(windows).withColumn("span", F.min("day").over(Window.partitionBy("first_fold", "seats"))))  # a row for each day
+    asked = rows.select(F.col(date).alias("day"), label, *[c for c in features if c != label])
+    held = asked.join(F.broadcast(calendar.drop("seats")), "day").drop("day")
+    return cut(held.groupBy(*held.columns).agg(F.count("*").alias("n_alike"))), calendar.filter("seats is not null").select("span", "seats").distinct()
 
 
-def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, models: tuple[str, ...] = MODELS, alpha: float = 1.0, l1_alpha: float = 0.001, l1_ratio: float = 0.25, trees: int = 100, rate: float = 0.03, depth: int = 2, leaf: int = 5, bins: int = 64, least_train: int = 20, most_cells: int = 1_000_000) -> tuple[list[dict], list[np.ndarray]]:
-    """(a dict for each fold: train_rows, medians, and of folds with enough rows the fitted models; bin edges). rows: from ``prepared``.
+def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, models: tuple[str, ...] = MODELS, alpha: float = 1.0, l1_alpha: float = 0.001, l1_ratio: float = 0.25, trees: int = 100, rate: float = 0.03, depth: int = 2, leaf: int = 5, bins: int = 64, least_train: int = 20, most_cells: int = 1_000_000, weight: str | None = None) -> tuple[list[dict], list[np.ndarray]]:
+    """(a dict for each fold: train_rows, medians, and of folds with enough rows the fitted models; bin edges). rows: from ``prepared``, or from ``alike`` with its weight.
 
     Comes back to the driver: folds x (2 features + 2)^2 sums, medians, and trees; nothing that grows with rows.
     """
@@ -371,11 +391,11 @@ def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, m
         return [], []
     width = 2 * len(features) + 2
     sums = np.zeros((folds, width, width))
-    for r in train_sums(rows, features, label).toLocalIterator():
+    for r in train_sums(rows, features, label, weight=weight).toLocalIterator():
         sums[r.first_fold, r.i, r.j] = r.value
     sums = sums.cumsum(axis=0)
     labelled = rows.filter(F.col(label).isNotNull())
-    medians = expanding_medians(labelled, features, folds)
+    medians = expanding_medians(labelled, features, folds, weight=weight)
     medians = np.where(np.isnan(medians), 0.0, medians)  # a feature without any value
     out = [{"train_rows": int(s[0, 0]), "medians": m, "models": {}} for s, m in zip(sums, medians, strict=True)]
     able = [f for f in range(folds) if out[f]["train_rows"] >= least_train]
@@ -383,8 +403,8 @@ def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, m
         out[f]["models"] |= {k: v for k, v in _linear(sums[f], medians[f], alpha, l1_alpha, l1_ratio).items() if k in models}
     edges: list[np.ndarray] = []
     if "gradient_boosting" in models and able:
-        edges = bin_edges(labelled, features, bins)
-        cells = binned_cells(rows, features, label, edges)
+        edges = bin_edges(labelled, features, bins, weight=weight)
+        cells = binned_cells(rows, features, label, edges, weight=weight)
         middle = coded(medians, edges)
         for f, found in boost_folds(cells, len(features), middle, able, trees=trees, rate=rate, depth=depth, leaf=leaf, most_cells=most_cells).items():
             out[f]["models"]["gradient_boosting"] = found
@@ -428,11 +448,12 @@ def fold_report(rows: DataFrame, keys: list[str], date: str, features: list[str]
     """
     windows = cut(windows)
     named = [r.fold_id for r in windows.orderBy("test_start").select("fold_id").collect()]
-    ready = prepared(rows, keys, date, features, label, windows)
-    fitted, edges = fit_folds(ready, features, label, len(named), models=models, least_train=least_train, **params)
-    seen = predict_folds(ready, keys, features, label, fitted, edges)
-    metrics = market.fold_metrics(seen, ["fold", "model_name", "role"], "y_true", "y_pred")
-    counts = ready.filter(F.col(label).isNotNull()).select(F.explode("seats").alias("s")).groupBy("s.fold", "s.role").agg(F.count("*").alias("labelled"))
+    ready, seats = alike(rows, date, features, label, windows)
+    fitted, edges = fit_folds(ready, features, label, len(named), models=models, least_train=least_train, weight="n_alike", **params)
+    seated = ready.join(F.broadcast(seats), "span")
+    seen = predict_folds(seated, ["n_alike"], features, label, fitted, edges)
+    metrics = market.fold_metrics(seen, ["fold", "model_name", "role"], "y_true", "y_pred", weight="n_alike")
+    counts = ready.filter(F.col(label).isNotNull()).groupBy("span").agg(F.sum("n_alike").alias("n")).join(F.broadcast(seats), "span").select("n", F.explode("seats").alias("s")).groupBy("s.fold", "s.role").agg(F.sum("n").alias("labelled"))
     spark = rows.sparkSession
     every = spark.createDataFrame([(f, named[f], m, role, fitted[f]["train_rows"]) for f in range(len(named)) for m in models for role in roles], "fold int, fold_id string, model_name string, role string, train_rows bigint")
     joined = every.join(counts, ["fold", "role"], "left").join(metrics, ["fold", "model_name", "role"], "left")

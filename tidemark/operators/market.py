@@ -81,14 +81,15 @@ def correlation(x: str, y: str) -> Column:
     return F.when(varied(x) & varied(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
-def average_ranks(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+def average_ranks(df: DataFrame, group: str, columns: list[str], weight: str | None = None) -> DataFrame:
     """(group, _which, _value, _rank): the average rank of every distinct value of each column within its group, counted from 1.
 
-    Values are counted first, so ties are one row. The counts are cut into ranges of (group, column, value) of near equal size and ranks are the rows of lower
+    A row stands for as many as weight says. Values are counted first, so ties are one row. The counts are cut into ranges of (group, column, value) of near equal size and ranks are the rows of lower
     ranges plus those before in the own range: no task holds a group that is larger than a range.
     """
     each = F.array(*[F.struct(F.lit(k).alias("_which"), F.col(c).alias("_value")) for k, c in enumerate(columns)])
-    counts = df.select(group, F.explode(each).alias("_x")).select(group, "_x.*").groupBy(group, "_which", "_value").agg(F.count("*").alias("_n"))
+    w = F.col(weight) if weight else F.lit(1)
+    counts = df.select(group, w.alias("_w"), F.explode(each).alias("_x")).select(group, "_w", "_x.*").groupBy(group, "_which", "_value").agg(F.sum("_w").alias("_n"))
     by = [group, "_which"]
     ranged = cut(counts.repartitionByRange(*by, "_value").withColumn("_range", F.spark_partition_id()))  # written, as ranges are drawn anew by every run
     total = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
@@ -99,22 +100,40 @@ def average_ranks(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return placed.select(*by, "_value", (F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
-def fold_metrics(df: DataFrame, group: list[str], truth: str, predicted: str, *, full: bool = False) -> DataFrame:
+def fold_metrics(df: DataFrame, group: list[str], truth: str, predicted: str, *, full: bool = False, weight: str | None = None) -> DataFrame:
     """Count, errors, Pearson and Spearman correlations (average ranks) for each group; rows with a null are left out.
 
-    full: also mse, r2 (null under two rows or for a constant truth) and the means.
+    full: also mse, r2 (null under two rows or for a constant truth) and the means. weight: how many rows a row stands for; groups must then be
+    few, as their means go to all tasks.
     """
-    rows = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).select(F.struct(*group).alias("_g"), F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p"))
-    ranks = average_ranks(rows, "_g", ["_t", "_p"])
+    rows = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).select(F.struct(*group).alias("_g"), (F.col(weight) if weight else F.lit(1)).alias("_w"), F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p"))
+    ranks = average_ranks(rows, "_g", ["_t", "_p"], "_w")
     of = lambda k, c: ranks.filter(F.col("_which") == k).select("_g", F.col("_value").alias(c), F.col("_rank").alias(f"_r{c}"))
     ranked = rows.join(of(0, "_t"), ["_g", "_t"]).join(of(1, "_p"), ["_g", "_p"])
     t, p = F.col("_t"), F.col("_p")
+    if weight:
+        return _weighted_metrics(ranked, group, full)
     mse = F.avg(F.pow(t - p, 2))
     more = [mse.alias("mse"), (1 - F.try_divide(mse, F.when(varied("_t"), F.var_pop(t)))).alias("r2"), F.avg(t).alias("mean_y_true"), F.avg(p).alias("mean_y_pred")] if full else []
     found = ranked.groupBy("_g").agg(F.count("*").alias("n_rows"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), correlation("_t", "_p").alias("pearson"), correlation("_r_t", "_r_p").alias("spearman"), *more)
     return found.select("_g.*", *found.columns[1:])
 
 
+def _weighted_metrics(ranked: DataFrame, group: list[str], full: bool) -> DataFrame:
+    """``fold_metrics`` of rows that stand for _w rows each. Deviations are taken from the means; the mean of n average ranks is (n + 1) / 2."""
+    w, t, p = F.col("_w"), F.col("_t"), F.col("_p")
+    means = ranked.groupBy("_g").agg(F.sum(w).alias("_n"), (F.sum(w * t) / F.sum(w)).alias("_mt"), (F.sum(w * p) / F.sum(w)).alias("_mp"))
+    middle = (F.col("_n") + 1) / 2
+    off = ranked.join(F.broadcast(means), "_g").withColumns({"_dt": t - F.col("_mt"), "_dp": p - F.col("_mp"), "_drt": F.col("_r_t") - middle, "_drp": F.col("_r_p") - middle})
+    both = lambda x, y: F.sum(w * F.col(x) * F.col(y))
+    r = lambda x, y: F.when(varied("_t") & varied("_p"), F.try_divide(both(x, y), F.sqrt(both(x, x)) * F.sqrt(both(y, y))))
+    n = F.sum(w)
+    mse = F.sum(w * F.pow(t - p, 2)) / n
+    more = [mse.alias("mse"), (1 - F.try_divide(mse, F.when(varied("_t"), both("_dt", "_dt") / n))).alias("r2"), F.max("_mt").alias("mean_y_true"), F.max("_mp").alias("mean_y_pred")] if full else []
+    found = off.groupBy("_g").agg(n.alias("n_rows"), F.sqrt(mse).alias("rmse"), (F.sum(w * F.abs(t - p)) / n).alias("mae"), r("_dt", "_dp").alias("pearson"), r("_drt", "_drp").alias("spearman"), *more)
+    return found.select("_g.*", *found.columns[1:])
+
+
 def holdings(df: DataFrame, *, period: str, name: str, score: str, group: list[str] = (), outcome: str | None = None, long_q: float = 0.9, short_q: float = 0.1, min_names: int = 10) -> DataFrame:
     """Top and bottom share of names of each period with weights +1/k and -1/k; periods under min_names have none; long wins overlaps.
 
