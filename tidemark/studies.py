@@ -37,7 +37,7 @@ def fold_medians(spark: SparkSession, d: str) -> DataFrame:
     rows, windows = _lines(spark, d)
     names = [r.fold_id for r in windows.orderBy("test_start").select("fold_id").collect()]
     columns = [*FEATURES, "l_extendedprice"]
-    found = folds.expanding_medians(rows.join(folds.fold_days(windows), "day"), columns, len(names))
+    found = folds.expanding_medians(rows.join(F.broadcast(folds.fold_days(windows)), "day"), columns, len(names))
     held = [(name, c, None if m != m else float(m)) for name, row in zip(names, found, strict=True) for c, m in zip(columns, row, strict=True)]
     return spark.createDataFrame(held, "fold_id string, feature string, median double").withColumn("median", F.round("median", 6))
 
