@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a similarity of 0.8 or more."""
+    """One document of each group whose five-word shingles have a similarity of 0.8 or more: SimHash links, checked, then an exact join for the pairs beyond them."""
     return simhash.deduplicate(docs, size=5, similarity=0.8)
 
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,3 +305,38 @@ def test_shingle_sets_are_those_of_joined_words():
     found = [set(h.tolist()) for h in simhash.each_shingle_set(pa.chunked_array([texts]).combine_chunks(), 5)]
     assert [len(s) for s in found] == [len(s) for s in plain]
     assert all((p & q == set()) == (f & g == set()) and len(p & q) == len(f & g) for (p, f), (q, g) in itertools.combinations(zip(plain, found, strict=True), 2))
+
+
+def _sets(rng, n, size, shared):
+    """n sets of one size that share that many hashes with each other."""
+    base = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+    return [np.unique(np.concatenate((base, rng.integers(0, 1 << 63, size - shared, dtype=np.uint64)))) for _ in range(n)]
+
+
+def test_open_pairs_of_unlike_sets_stay_in_their_block():
+    rng = np.random.default_rng(5)
+    sets = _sets(rng, 300, 200, 120) + _sets(rng, 6, 200, 190) + _sets(rng, 3, 190, 182)
+    n = np.arange(len(sets))
+    rows = pa.StructArray.from_arrays(
+        [pa.array(n), pa.array([len(x) for x in sets], pa.int32()), pa.array(np.zeros(len(n)), pa.int32()), pa.array(n), pa.array(np.zeros(len(n)), pa.int32()), pa.array([simhash._sketch(x) for x in sets], pa.binary())],
+        ["n", "size", "pos", "root", "part", "sketch"],
+    )
+    low, high = simhash._open_pairs(rows, False, 0.8)
+    got = set(zip(low.tolist(), high.tolist(), strict=True))
+    want = {(i, j) for i in n.tolist() for j in range(i + 1, len(n)) if simhash._jaccard(sets[i], sets[j]) >= 0.8}
+    assert want and want <= got and len(got) <= 2 * len(want)  # 300 sets of a similarity of 0.43 make 44,850 pairs
+
+
+def test_sketches_never_rule_out_what_is_similar():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 7, 33, 520, 40_000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (1.0, 0.9, 0.81):
+            b = a[: int(np.ceil(share * len(a)))]
+            ok = simhash._close(np.array([0]), np.array([1]), np.array([len(a), len(b)]), [simhash._sketch(a), simhash._sketch(b)], 0.8)
+            assert ok.all()
+
+
+def test_fingerprints_of_near_groups_link_and_are_checked(spark):
+    made = spark.createDataFrame([(1, 0b0), (2, 0b0), (3, 0b11), (4, 0b11111100000), (5, -1)], "n bigint, print bigint")
+    assert sorted(map(tuple, simhash._print_pairs(made).collect())) == [(1, 2), (1, 3)]

@@ -217,6 +217,43 @@ def _unpacked_set(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64), dtype=np.uint64)
 
 
+def _sketch(hashes: np.ndarray, most_bits: int = 1 << 15) -> bytes:
+    """Bit i is the parity of the hashes that end in i; two to four bits a hash, in whole powers of two.
+
+    The bits in which two sketches differ are at most as many as the hashes that only one of the sets has.
+    """
+    bits = min(max(1 << int(2 * len(hashes) - 1).bit_length() if len(hashes) else 64, 64), most_bits)
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: bytes, n_bytes: int) -> np.ndarray:
+    """The sketch at a smaller number of bytes (a power of two), as words."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) * 8 > n_bytes:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
+def _close(i: np.ndarray, j: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float) -> np.ndarray:
+    """Whether the sketches of rows i and j leave room for the similarity; false only where it can't be reached."""
+    width = np.array([len(s) for s in sketches], np.int64)
+    both = np.minimum(width[i], width[j])
+    out = np.ones(len(i), bool)
+    for w in np.unique(both).tolist():
+        pairs = np.flatnonzero(both == w)
+        rows = np.unique(np.concatenate((i[pairs], j[pairs])))
+        at = np.zeros(len(sketches), np.int64)
+        at[rows] = np.arange(len(rows))
+        words = np.stack([_folded(sketches[r], w) for r in rows.tolist()])
+        for k in range(0, len(pairs), max(1, (1 << 19) // words.shape[1])):  # 4 MB of words at a time
+            some = pairs[k : k + max(1, (1 << 19) // words.shape[1])]
+            apart = np.bitwise_count(words[at[i[some]]] ^ words[at[j[some]]]).sum(axis=1, dtype=np.int64)
+            out[some] = apart <= (1 - similarity) / (1 + similarity) * (size[i[some]].astype(np.int64) + size[j[some]]) + 1e-9
+    return out
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
@@ -236,8 +273,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     agree by chance about once in ten million pairs of usual texts), and a group holds everything
     that a chain of such pairs reaches; no pair is lost or added. Two sets of this similarity share one of the first shingles of
     each in any fixed order, so these are the keys under which sets meet. A sample of texts tells which shingles are common and go
-    last, which changes the cost only. First every set is checked against a few neighbours under its keys, which joins large groups;
-    then all pairs under a key that aren't joined yet are checked, keys of over bucket_rows sets as blocks of rows against blocks.
+    last, which changes the cost only. First sets whose SimHash fingerprints (of the same shingles) differ in at most two bits are checked,
+    and every set against a few neighbours under its keys, which joins large groups; then all pairs under a key that aren't joined yet
+    are checked, keys of over bucket_rows sets as blocks of rows against blocks. A pair leaves its block only if the sets' parity sketches,
+    which bound from below what one set has and the other lacks, don't rule the similarity out.
     Sets that meet under common keys without being similar are still compared by pairs. Texts without words are copies of each
     other. Repeated rows share a group; null ids never name a group of others.
     """
@@ -249,15 +288,17 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     spark = docs.sparkSession
     common, ranks = _common_shingles(docs, id_col, text_col, size, sample)
 
-    @F.arrow_udf("struct<n:bigint,size:int,prefix:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,size:int,print:bigint,prefix:array<bigint>,sketch:binary>")
     def make(column: pa.Array) -> pa.Array:
         give_back()
-        ns, sizes, prefixes = [], [], []
+        ns, sizes, prints, prefixes, sketches = [], [], [], [], []
         for hashes in each_shingle_set(column, size):
             ns.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
             sizes.append(len(hashes))
+            prints.append(simhash_of(hashes))
             prefixes.append(_prefix(hashes, similarity, common, ranks).view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["n", "size", "prefix"])
+            sketches.append(_sketch(hashes))
+        return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["n", "size", "print", "prefix", "sketch"])
 
     @F.arrow_udf("struct<n:bigint,packed:binary>")
     def whole(column: pa.Array) -> pa.Array:
@@ -305,7 +346,7 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     able = met.filter("n_2 is not null").filter(_able(F.col("size"), F.col("size_2"), F.col("pos"), F.col("pos_2"), similarity))
     pairs = able.select(F.least("n", "n_2").alias("a"), F.greatest("n", "n_2").alias("b")).distinct()
     few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-    tried = keep(pairs.withColumn("k", few).filter("k <= 4").select("a", "b"))
+    tried = keep(pairs.withColumn("k", few).filter("k <= 4").select("a", "b").union(_print_pairs(made)).distinct())
     first = similar(tried)
 
     roots = connected_components(first)
@@ -314,8 +355,9 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     of_key = Window.partitionBy("h")
     split = rooted.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high")).filter("low <> high")
     parts_of = F.ceil(F.col("rows") / bucket_rows)
-    dealt = split.withColumn("part", F.pmod(F.xxhash64("n"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts_of - 1).cast("int"))))
-    blocks = dealt.groupBy("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("n", "size", "pos", "root", "part")).alias("xs"))
+    sketched = split.join(made.groupBy("n").agg(F.first("sketch").alias("sketch")), "n")
+    dealt = sketched.withColumn("part", F.pmod(F.xxhash64("n"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts_of - 1).cast("int"))))
+    blocks = dealt.groupBy("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("n", "size", "pos", "root", "part", "sketch")).alias("xs"))
 
     def open_pairs(batches):
         for batch in batches:
@@ -333,9 +375,19 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     return checkpoint(made.select("id", "th", "n").join(of, "n").select("id", "th", "root", "component"))
 
 
+def _print_pairs(made: DataFrame) -> DataFrame:
+    """(a, b): sets whose SimHash fingerprints differ in at most two bits, enough pairs to connect them; of made's columns n and print."""
+    own = checkpoint(made.select("n", "print").distinct())
+    first = own.groupBy("print").agg(F.min("n").alias("low"))
+    same = own.join(first, "print").filter("n <> low").select("low", "n")
+    near = links(first.select("print"), column="print").join(first.select(F.col("print").alias("a"), F.col("low").alias("n_a")), "a").join(first.select(F.col("print").alias("b"), F.col("low").alias("n_b")), "b").select("n_a", "n_b")
+    return same.union(near).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows under one key that have different roots and can be similar enough; only those of different parts if across."""
+    """Pairs of rows under one key that have different roots and can be similar enough, by size, place and sketch; only those of different parts if across."""
     n, size, pos, root, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("n", "size", "pos", "root", "part"))
+    sketches = rows.field("sketch").to_pylist()
     low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(n), 512):  # 512 rows at a time against all, so memory stays bounded
         to = slice(at, at + 512)
@@ -343,8 +395,10 @@ def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.nda
         if across:
             good &= part[to, None] != part[None, :]
         i, j = np.nonzero(good)
-        low.append(n[i + at])
-        high.append(n[j])
+        i += at
+        keep = _close(i, j, size, sketches, similarity)
+        low.append(n[i[keep]])
+        high.append(n[j[keep]])
     return np.concatenate(low), np.concatenate(high)
 
 
