@@ -51,8 +51,20 @@ def quality_rank(flag: Column) -> Column:
 
 def best_rows(df: DataFrame, keys: list[str], flag: str, asof: str) -> DataFrame:
     """One row of each key: the best flag, then the earliest date; all other columns break ties, so the choice is fixed."""
+    return keep_one(df, keys, best_order(df, keys, flag, asof))
+
+
+def best_order(df: DataFrame, keys: list[str], flag: str, asof: str) -> list[Column]:
     rest = [F.col(c) for c in df.columns if c not in (*keys, flag, asof)]
-    return keep_one(df, keys, [quality_rank(F.col(flag)), F.asc_nulls_last(asof), *rest])
+    return [quality_rank(F.col(flag)), F.asc_nulls_last(asof), *rest]
+
+
+def least_rows(df: DataFrame, keys: list[str], flag: str, asof: str) -> DataFrame:
+    """``best_rows`` for keys with many rows each: a task keeps one row of a key before rows are shuffled."""
+    rest = [c for c in df.columns if c not in (*keys, flag, asof)]
+    order = [quality_rank(F.col(flag)).alias("_rank"), F.col(asof).isNull().alias("_none"), F.col(asof).alias(asof), *[F.col(c) for c in rest], F.col(flag)]
+    found = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_least"))
+    return found.select(*[F.col(c) if c in keys else F.col("_least")[c].alias(c) for c in df.columns])
 
 
 def with_availability(df: DataFrame, availability: DataFrame, values: list[str], order: list[Column], *, cik: str = "cik10", accession: str = "accession_number", key: str = "accession_lineage_key") -> DataFrame:
@@ -97,13 +109,22 @@ def research_panel(mismatch: DataFrame, fund: DataFrame, text: DataFrame, availa
     accepted_at_edgar, timestamp_quality_flag. Each side gives one row for a key, by quality and date.
     """
     key = "accession_lineage_key"
-    left = best_rows(mismatch, [key], "mismatch_quality_flag", "feature_asof_date")
-    f = best_rows(fund.withColumn("_acc", accession_key(F.col(key))).drop(key, "cik10", "accession_number"), ["_acc"], "fundamental_quality_flag", "feature_asof_date")
+    # rows are dealt by accession once, where accounting and availability meet them, and once by document for the texts
+    # (_own is null where the row's own numbers name the key's accession, as they do as a rule)
+    own = lineage_key(F.col("cik10"), F.col("accession_number"))
+    rows = mismatch.withColumn("_acc", accession_key(F.col(key))).withColumn("_own", F.when(~own.eqNullSafe(F.col("_acc")), own)).repartition("_acc")
+    left = keep_one(rows, ["_acc", key], best_order(mismatch, [key], "mismatch_quality_flag", "feature_asof_date"))
+    f = least_rows(fund.withColumn("_acc", accession_key(F.col(key))).drop(key, "cik10", "accession_number"), ["_acc"], "fundamental_quality_flag", "feature_asof_date")
     t = best_rows(text.drop("cik10", "accession_number"), [key], "full_parse_quality_flag", "feature_asof_date")
-    joined = left.withColumn("_acc", accession_key(F.col(key))).join(prefixed(f, "fund_", ["_acc"]), "_acc", "left").join(prefixed(t, "text_", [key]), key, "left").drop("_acc")
     found = {"first_allowed_execution_date": "_av_date", "accepted_at_edgar": "_av_time", "timestamp_quality_flag": "_av_flag"}
-    av = availability.select("cik10", "accession_number", *[F.col(a).alias(b) for a, b in found.items()])
-    out = with_availability(joined, av, list(found.values()), [F.desc_nulls_last(c) for c in found.values()])
+    av = availability.select(lineage_key(F.col("cik10"), F.col("accession_number")).alias("_acc"), F.struct(*[F.col(a).alias(b) for a, b in found.items()]).alias("_found"))
+    av = av.groupBy("_acc").agg(F.max("_found").alias("_found"))
+    met = left.join(prefixed(f, "fund_", ["_acc"]), "_acc", "left").join(av, "_acc", "left")
+    # the filing's own numbers come before the key's; where both name one accession, they have met
+    same = F.col("_own").isNull()
+    other = met.filter(~same).join(av.select(F.col("_acc").alias("_own"), F.col("_found").alias("_first")), "_own", "left")
+    met = met.filter(same).unionByName(other.withColumn("_found", F.coalesce("_first", "_found")).drop("_first")).drop("_acc", "_own")
+    out = met.select("*", "_found.*").drop("_found").join(prefixed(t, "text_", [key]), key, "left")
     for target, source in (("feature_asof_date", "_av_date"), ("accepted_at_edgar", "_av_time"), ("timestamp_quality_flag", "_av_flag")):
         out = filled(out, {target: source}) if target in out.columns else out.withColumn(target, F.col(source))
     notes, flag = panel_gate(**gates)
@@ -118,7 +139,7 @@ def model_dataset(panel: DataFrame, targets: DataFrame, *, label: str = "forward
     filled from the targets where they are blank. A target that ends no later than it begins is YELLOW and stays eligible.
     """
     key = "panel_row_id"
-    t = best_rows(targets, [key], "target_quality_flag", "target_entry_date")
+    t = least_rows(targets, [key], "target_quality_flag", "target_entry_date")
     shared = [c for c in t.columns if c != key and c in panel.columns]
     t = t.select(key, *[F.col(c).alias(f"_{c}" if c in shared else c) for c in t.columns if c != key])
     joined = best_rows(panel, [key], "panel_quality_flag", "feature_asof_date").join(t, key, "left")

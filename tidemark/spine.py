@@ -31,9 +31,9 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").withColumns(padded)
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every line of every order, with the key of its document."""
-    rows = _t(spark, d, "lineitem").join(_filings(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
+def _documents(spark: SparkSession, d: str, filings: DataFrame | None = None) -> DataFrame:
+    """Every line of every order (or of those in ``filings``), with the key of its document."""
+    rows = _t(spark, d, "lineitem").join(_filings(spark, d) if filings is None else filings, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.withColumn("accession_lineage_key", panel.lineage_key(F.col("cik10"), F.col("accession_number"), F.concat(F.lit("d"), "l_linenumber")))
 
 
@@ -60,7 +60,7 @@ def _accounting(spark: SparkSession, d: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    rows = _documents(spark, d).join(docs, F.col("l_orderkey") == F.col("doc_id"))
+    rows = _documents(spark, d, _filings(spark, d).join(docs, F.col("o_orderkey") == F.col("doc_id")))
     return rows.select(*_KEYS, _day("o_orderdate").alias("feature_asof_date"), _grade(F.col("n_chars") < 200, F.col("n_chars") < 1000).alias("full_parse_quality_flag"), "lang")
 
 
