@@ -1,12 +1,14 @@
 """What holds whatever the order and number of rows."""
 
+import contextlib
 import datetime as dt
+import io
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import stories
-from tidemark.operators import folds, market
+from tidemark import panels, stories
+from tidemark.operators import folds, market, texts
 
 
 def test_a_constant_side_has_no_correlation_however_rows_are_dealt(spark):
@@ -46,3 +48,13 @@ def test_folds_write_a_row_for_rows_that_agree_and_no_seats(spark):
     every = rows.join(folds.fold_days(windows), "day").filter("seats is not null").select(F.explode("seats").alias("s")).groupBy("s.fold", "s.role").count()
     ours = ready.join(seats, "span").select("n_alike", F.explode("seats").alias("s")).groupBy("s.fold", "s.role").agg(F.sum("n_alike"))
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, ours.collect()))
+
+
+def test_tokens_of_texts_are_not_dealt_out_for_a_few_words(spark):
+    words = texts.as_lexicon(spark, panels.TONES)
+    assert sorted(map(tuple, words.collect())) == sorted((w, k) for k, ws in panels.TONES.items() for w in ws)
+    assert texts.as_lexicon(spark, {}).collect() == [] and texts.as_lexicon(spark, {}).columns == ["word", "category"]
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        panels.text_features(spark, "/root/testdata/sf0.001").explain("simple")
+    assert "Exchange hashpartitioning(word" not in out.getvalue().split("BroadcastExchange")[0] and out.getvalue().count("BroadcastHashJoin [word") == 2

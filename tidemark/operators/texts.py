@@ -30,8 +30,13 @@ def text_counts(df: DataFrame, raw: str, clean: str, *, min_words: int = 1000) -
 
 
 def as_lexicon(spark: SparkSession, words: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(word, category) of a few words given in code; a real dictionary comes from ``sources.files.lexicon``."""
-    return spark.createDataFrame([(w, k) for k, ws in words.items() for w in ws], "word string, category string")
+    """(word, category) of a few words given in code; a real dictionary comes from ``sources.files.lexicon``.
+
+    It is a table of one generated row's parts, whose size Spark knows before it runs, so that it goes to the tokens and tokens aren't dealt out.
+    """
+    pairs = [F.struct(F.lit(w).alias("word"), F.lit(k).alias("category")) for k, ws in words.items() for w in ws]
+    rows = F.array(*pairs) if pairs else F.array().cast("array<struct<word:string,category:string>>")
+    return spark.range(1).select(F.inline(rows))
 
 
 def tokens(text: Column) -> Column:
