@@ -340,3 +340,14 @@ def test_sketches_never_rule_out_what_is_similar():
 def test_fingerprints_of_near_groups_link_and_are_checked(spark):
     made = spark.createDataFrame([(1, 0b0), (2, 0b0), (3, 0b11), (4, 0b11111100000), (5, -1)], "n bigint, print bigint")
     assert sorted(map(tuple, simhash._print_pairs(made).collect())) == [(1, 2), (1, 3)]
+
+
+def test_rows_of_keys_carry_no_sketches(spark):
+    rows = spark.createDataFrame([(h, n, 10, 0, 12, n % 3) for h in (1, 2) for n in range(12)], "h long, n long, size int, pos int, rows long, root long")
+    blocks = simhash._key_blocks(rows, 5)
+    assert "binary" not in blocks.schema.simpleString()
+    pairs = set()
+    for b in blocks.collect():
+        xs = pa.array([x.asDict() for x in b.xs])
+        pairs |= set(zip(*(x.tolist() for x in simhash._open_pairs(xs, b.i != b.j, 0.8)), strict=True))
+    assert pairs == {(a, b) for a in range(12) for b in range(a + 1, 12) if a % 3 != b % 3}

@@ -275,8 +275,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     each in any fixed order, so these are the keys under which sets meet. A sample of texts tells which shingles are common and go
     last, which changes the cost only. First sets whose SimHash fingerprints (of the same shingles) differ in at most two bits are checked,
     and every set against a few neighbours under its keys, which joins large groups; then all pairs under a key that aren't joined yet
-    are checked, keys of over bucket_rows sets as blocks of rows against blocks. A pair leaves its block only if the sets' parity sketches,
-    which bound from below what one set has and the other lacks, don't rule the similarity out.
+    are checked, keys of over bucket_rows sets as blocks of rows against blocks. A pair's sets are only compared if their parity sketches,
+    which bound from below what one set has and the other lacks, don't rule the similarity out. Sketches come to the distinct pairs, not to
+    the keys, of which a set has dozens.
     Sets that meet under common keys without being similar are still compared by pairs. Texts without words are copies of each
     other. Repeated rows share a group; null ids never name a group of others.
     """
@@ -314,11 +315,17 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         give_back()
         return pa.array([_jaccard(_unpacked_set(a.as_py()), _unpacked_set(b.as_py())) >= similarity - 1e-9 for a, b in zip(x, y, strict=True)], pa.bool_())
 
+    @F.arrow_udf("boolean")
+    def close(size_a: pa.Array, size_b: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        n = len(x)
+        sizes = np.concatenate((size_a.to_numpy(zero_copy_only=False), size_b.to_numpy(zero_copy_only=False)))
+        return pa.array(_close(np.arange(n), np.arange(n, 2 * n), sizes, [*x.to_pylist(), *y.to_pylist()], similarity))
+
     with scratch(spark) as keep, arrow_rows(spark, 1000):
-        return _near_groups(docs, id_col, text_col, make, whole, alike, similarity, bucket_rows, keep)
+        return _near_groups(docs, id_col, text_col, make, whole, alike, close, similarity, bucket_rows, keep)
 
 
-def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike, similarity: float, bucket_rows: int, keep) -> DataFrame:
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike, close, similarity: float, bucket_rows: int, keep) -> DataFrame:
     """The groups, given the functions on shingles; keep cuts the lineage of a step's table."""
     spark = docs.sparkSession
     text_hash = F.xxhash64(F.col(text_col))
@@ -353,19 +360,20 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     release_shuffles(spark)
     rooted = met.join(roots.withColumnRenamed("node", "n"), "n", "left").select("n", "h", "size", "pos", "rows", F.coalesce("root", "n").alias("root"))
     of_key = Window.partitionBy("h")
-    split = rooted.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high")).filter("low <> high")
-    parts_of = F.ceil(F.col("rows") / bucket_rows)
-    sketched = split.join(made.groupBy("n").agg(F.first("sketch").alias("sketch")), "n")
-    dealt = sketched.withColumn("part", F.pmod(F.xxhash64("n"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts_of - 1).cast("int"))))
-    blocks = dealt.groupBy("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("n", "size", "pos", "root", "part", "sketch")).alias("xs"))
+    split = keep(rooted.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high")).filter("low <> high").drop("low", "high"))
+    release_shuffles(spark)
+    blocks = _key_blocks(split, bucket_rows)
 
     def open_pairs(batches):
         for batch in batches:
             for i, j, xs in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("xs"), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _open_pairs(xs.values, i != j, similarity)], ["a", "b"])
 
-    rest = blocks.select("i", "j", "xs").mapInArrow(open_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = keep(rest)
+    rest = keep(blocks.select("i", "j", "xs").mapInArrow(open_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"))
+    release_shuffles(spark)
+    sketches = keep(made.groupBy("n").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    side = lambda c, size, sketch: sketches.toDF(c, size, sketch)
+    rest = keep(rest.join(side("a", "size_a", "x"), "a").join(side("b", "size_b", "y"), "b").filter(close("size_a", "size_b", "x", "y")).select("a", "b"))
     release_shuffles(spark)
     edges = first if rest.isEmpty() else first.union(similar(rest))
     roots = connected_components(edges)
@@ -375,6 +383,13 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     return checkpoint(made.select("id", "th", "n").join(of, "n").select("id", "th", "root", "component"))
 
 
+def _key_blocks(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """(h, i, j, xs): the rows (n, h, size, pos, rows, root) of each key, those of over bucket_rows as parts i against parts j."""
+    parts_of = F.ceil(F.col("rows") / bucket_rows)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("n"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts_of - 1).cast("int"))))
+    return dealt.groupBy("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("n", "size", "pos", "root", "part")).alias("xs"))
+
+
 def _print_pairs(made: DataFrame) -> DataFrame:
     """(a, b): sets whose SimHash fingerprints differ in at most two bits, enough pairs to connect them; of made's columns n and print."""
     own = checkpoint(made.select("n", "print").distinct())
@@ -385,9 +400,9 @@ def _print_pairs(made: DataFrame) -> DataFrame:
 
 
 def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows under one key that have different roots and can be similar enough, by size, place and sketch; only those of different parts if across."""
+    """Pairs of rows under one key that have different roots and can be similar enough, by size, place and, where rows hold it, sketch; only those of different parts if across."""
     n, size, pos, root, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("n", "size", "pos", "root", "part"))
-    sketches = rows.field("sketch").to_pylist()
+    sketches = rows.field("sketch").to_pylist() if rows.type.get_field_index("sketch") >= 0 else None
     low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(n), 512):  # 512 rows at a time against all, so memory stays bounded
         to = slice(at, at + 512)
@@ -396,7 +411,7 @@ def _open_pairs(rows: pa.Array, across: bool, similarity: float) -> tuple[np.nda
             good &= part[to, None] != part[None, :]
         i, j = np.nonzero(good)
         i += at
-        keep = _close(i, j, size, sketches, similarity)
+        keep = slice(None) if sketches is None else _close(i, j, size, sketches, similarity)
         low.append(n[i[keep]])
         high.append(n[j[keep]])
     return np.concatenate(low), np.concatenate(high)
