@@ -218,3 +218,29 @@ def test_pipeline_keeps_columns_and_applies_its_decisions(spark):
         out = stage(spark, docs, SMALL)
         assert out.schema.names == docs.schema.names and 0 < out.count() < docs.count()
     assert P.run(spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize(("customers", "rest", "p", "d"), [(40, 2, 0.3, 0.5), (900, 40, 0.9, 0.6), (3000, 3, 0.2, 0.7)])
+def test_all_customers_of_a_dish_are_drawn(customers, rest, p, d):
+    theta, n = 1.0, 4000
+    logs = np.zeros(1)  # by the recursion of Stirling numbers, t from 1
+    for c in range(1, customers):
+        t = np.arange(1, c + 1)
+        logs = np.logaddexp(np.append(np.log(c - d * t) + logs, -np.inf), np.append(-np.inf, logs))
+    t = np.arange(1, customers + 1)
+    w = logs + np.cumsum(np.log(theta + d * (rest + t - 1)) + np.log(p))
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    want, spread = (w * t).sum(), np.sqrt((w * t * t).sum() - (w * t).sum() ** 2)
+    full = lambda x, kind: np.full(n, x, kind)
+    tables, mean = hpylm.gibbs(full(customers, np.int64), full(rest, np.int64), full(p, float), np.arange(n), theta=theta, discount=d, salt=(1,))
+    assert np.allclose(mean, want, rtol=1e-4)
+    assert abs(tables.mean() - want) < 5 * spread / n**0.5 and 0.93 < tables.std() / spread < 1.07
+
+
+def test_counts_of_a_block_do_not_depend_on_how_runs_are_merged(monkeypatch):
+    texts = [(f"text {k} of {k % 7} " * 9).encode() for k in range(40)]
+    by = lambda: dict(zip(*(x.tolist() for x in blocks.counted(texts, lambda ts: blocks.grams_of(ts, 4, True), np.arange(40) % 3 - 1, 2)), strict=True))
+    once = by()
+    monkeypatch.setattr(blocks, "RUN_BYTES", 500)
+    monkeypatch.setattr(blocks.runs, "__defaults__", (500,))
+    assert by() == once and sum(x for x, _ in once.values()) == sum(len(t) + 1 for k, t in enumerate(texts) if k % 3 == 1)
