@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,26 @@ def test_repeats_against_every_window(spark):
     assert substrings.repeated(frame(spark, [])).count() == 0
 
 
+def test_names_of_a_range_meet_in_bounded_memory():
+    r = np.random.default_rng(5)
+    held = [r.choice(1_500_000, 150_000, replace=False) * 7919 for _ in range(20)]
+    wanted = [r.random(len(x)) < 0.5 for x in held]
+    sent = [substrings._sent(np.concatenate((x, x[:5])) << 2, 1, np.concatenate((w, w[:5]))) for x, w in zip(held, wanted, strict=True)]
+    rows = pa.table({"block": pa.array(range(20, 0, -1), pa.int64()), "names": pa.array([x[0]["names"] for x in sent], pa.binary())})
+    places = Counter(np.concatenate(held).tolist() + [v for x in held for v in x[:5].tolist()])
+    asked = set(np.concatenate([x[w] for x, w in zip(held, wanted, strict=True)]).tolist())
+    for any_asks in (False, True):
+        tracemalloc.start()
+        got = substrings._meet(rows, any_asks)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 45 * sum(map(len, held))  # bytes: values and where they came from, and what is sent back
+        by = dict(zip(got["block"].to_pylist(), got["names"].to_pylist(), strict=True))
+        for k, (x, w) in enumerate(zip(held, wanted, strict=True)):
+            want = [v for v, a in zip(x.tolist(), w.tolist(), strict=True) if (v in asked if any_asks else a and places[v] > 1)]
+            assert (substrings._unpacked(by[20 - k]) >> np.uint64(2)).tolist() == sorted(want)
+
+
 def test_shards_are_even_gapless_and_split_hot_groups(spark):
     r = random.Random(4)
     texts = [*ODD, *("hot text " * 30 for _ in range(900)), *(str(k) * r.randint(1, 200) for k in range(1800))]
