@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import give_back
-from .common import arrow_rows, checkpoint, fresh, release_shuffles, scratch, small_side
+from .common import arrow_bytes, arrow_rows, checkpoint, fresh, release_shuffles, scratch, small_side
 from .components import connected_components
 from .words import BASE, LOWER, NOT_SPACE, mix, parts, span_hashes, text_bytes, word_spans
 
 BITS = 64
+#: So many pairs leave a Python worker at a time.
+PAIRS = 1 << 16
 
 
 def _shingle_hashes(words: bytes, starts: list[int], ends: list[int], size: int, seed: int) -> np.ndarray:
@@ -299,6 +301,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             prints.append(simhash_of(hashes))
             prefixes.append(_prefix(hashes, similarity, common, ranks).view(np.int64))
             sketches.append(_sketch(hashes))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["n", "size", "print", "prefix", "sketch"])
 
     @F.arrow_udf("struct<n:bigint,packed:binary>")
@@ -308,6 +311,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         for hashes in each_shingle_set(column, size):
             ns.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
             packed.append(_packed_set(hashes))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(np.array(ns, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], ["n", "packed"])
 
     @F.arrow_udf("boolean")
@@ -321,7 +325,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         sizes = np.concatenate((size_a.to_numpy(zero_copy_only=False), size_b.to_numpy(zero_copy_only=False)))
         return pa.array(_close(np.arange(n), np.arange(n, 2 * n), sizes, [*x.to_pylist(), *y.to_pylist()], similarity))
 
-    with scratch(spark) as keep, arrow_rows(spark, 1000):
+    with scratch(spark) as keep, arrow_rows(spark, 1000), arrow_bytes(spark):
         return _near_groups(docs, id_col, text_col, make, whole, alike, close, similarity, bucket_rows, keep)
 
 
@@ -367,7 +371,11 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, make, whole, alike
     def open_pairs(batches):
         for batch in batches:
             for i, j, xs in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("xs"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _open_pairs(xs.values, i != j, similarity)], ["a", "b"])
+                a, b = _open_pairs(xs.values, i != j, similarity)
+                for at in range(0, len(a), PAIRS):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + PAIRS]) for x in (a, b)], ["a", "b"])
+                del a, b
+            give_back()
 
     rest = keep(blocks.select("i", "j", "xs").mapInArrow(open_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"))
     release_shuffles(spark)
