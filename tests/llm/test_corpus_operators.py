@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import blocks, hpylm, licenses, quality, queries, rules, shards, substrings
+from tidemark.llm import blocks, common, hpylm, licenses, quality, queries, rules, shards, substrings
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " \n", "a", "The THE the", "é ü\nß\n\né ü", "x" * 3000, "ab " * 4000]
@@ -157,6 +157,41 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-4
 
 
+def test_python_gets_texts_by_bytes(spark):
+    rows = spark.range(0, 200, 1, 1).select(F.lit("x" * 1000).alias("text"))
+    most = lambda: rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"]) for b in batches), "n long").agg(F.max("n")).first()[0]
+    with common.arrow_bytes(spark, 10_000):
+        assert most() < 20
+    assert most() == 200
+
+
+def test_small_dishes_are_drawn_in_bounded_memory():
+    n = 1 << 12
+    full = lambda x, kind: np.full(n, x, kind)
+    hpylm._log_stirling(0.4)
+    tracemalloc.start()
+    hpylm._drawn_small(full(8, np.int64), full(1.0, float), full(-1.0, float), full(0.5, float), 0.4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+
+
+@pytest.mark.parametrize("n_distinct", [50, 400_000])
+def test_counts_and_answers_of_keys(n_distinct):
+    r = np.random.default_rng(3)
+    keys = [r.integers(-n_distinct, n_distinct, k) for k in (0, 700_000, 5, 600_000)]
+    groups = np.array([0, 1, -1, 0])
+    of = lambda texts: (np.concatenate([keys[int(t[:1])] for t in texts]), np.cumsum([0, *(len(keys[int(t[:1])]) for t in texts)]))
+    got, counts = blocks.counted([str(k).encode() * (1 << 20) for k in range(4)], of, groups, 2)
+    want = {k: [0, 0] for k in np.concatenate(keys).tolist()}
+    for ks, g in zip(keys, groups, strict=True):
+        for k in ks.tolist() if g >= 0 else []:
+            want[k][g] += 1
+    assert dict(zip(got.tolist(), counts.tolist(), strict=True)) == want
+    asked = r.permutation(np.concatenate(keys))
+    assert (blocks.Answers(got[::-1], got[::-1] * 3)(asked) == asked * 3).all()
+
+
 def test_gibbs_tables_follow_the_exact_posterior():
     # four customers of one dish, all partitions of them weighed by the process itself
     theta, d, rest, p = 1.0, 0.4, 3, 0.3
