@@ -58,3 +58,24 @@ def test_tokens_of_texts_are_not_dealt_out_for_a_few_words(spark):
     with contextlib.redirect_stdout(out):
         panels.text_features(spark, "/root/testdata/sf0.001").explain("simple")
     assert "Exchange hashpartitioning(word" not in out.getvalue().split("BroadcastExchange")[0] and out.getvalue().count("BroadcastHashJoin [word") == 2
+
+
+def test_folds_are_measured_without_a_row_for_each_window(spark, monkeypatch):
+    days = [dt.date(2018, 1, 1) + dt.timedelta(days=k % 1800) for k in range(4000)]
+    rows = spark.createDataFrame([(d, None if k % 11 == 0 else float(k % 7), float(k % 3), float(k * 37 % 1009) + k % 7, k) for k, d in enumerate(days)], "day date, a double, b double, y double, k int")
+    windows = market.fold_windows(F.col("lo"), F.col("hi"), rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi")))
+    n = windows.count()
+    ready, seats = folds.alike(rows, "day", ["a", "b"], "y", windows)
+    fitted, edges = folds.fit_folds(ready, ["a", "b"], "y", n, trees=3, weight="n_alike")
+    by = lambda df: {(r.fold, r.model_name, r.role): r for r in df.collect()}
+    seen = folds.predict_folds(folds.prepared(rows, ["k"], "day", ["a", "b"], "y", windows), ["k"], ["a", "b"], "y", fitted, edges)
+    want = by(market.fold_metrics(seen, ["fold", "model_name", "role"], "y_true", "y_pred"))
+    asked = []
+    monkeypatch.setattr(folds, "predict_folds", lambda *a, f=folds.predict_folds: asked.append(1) or f(*a))
+    for how, calls in (({"lines_a_range": 100}, False), ({}, False), ({"most_numbers": 0}, True)):
+        got = by(folds.window_metrics(ready, seats, ["a", "b"], "y", fitted, edges, **how))
+        assert got.keys() == want.keys() and len(want) > 60 and bool(asked) == calls
+        assert all(got[k].n_rows == w.n_rows and [got[k][c] for c in ("rmse", "mae", "pearson", "spearman")] == pytest.approx([w[c] for c in ("rmse", "mae", "pearson", "spearman")], rel=1e-8) for k, w in want.items())
+    asked.clear()
+    folds.fold_report(rows, ["k"], "day", ["a", "b"], "y", windows, models=("ridge",))
+    assert not asked

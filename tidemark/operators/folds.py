@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import market
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import Written, cut, release
 
 MODELS = ("ridge", "elastic_net", "gradient_boosting")
 MISSING = 255  # the bin of a null until a fold's median takes its place
@@ -371,15 +371,16 @@ def prepared(rows: DataFrame, keys: list[str], date: str, features: list[str], l
     return cut(asked.join(F.broadcast(days), "day", "left").drop("day"))
 
 
-def alike(rows: DataFrame, date: str, features: list[str], label: str, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def alike(rows: DataFrame, date: str, features: list[str], label: str, windows: DataFrame, *, held: Written | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that agree in label, features and the windows that hold them, counted: (first_fold, span, label, features..., n_alike), written once; and (span, seats).
 
     A span is a set of days that lie in the same windows. Its seats, some dozen, are looked up, not written with each row; what the windows don't hold is left out.
+    The rows are one of held's tables if it is given.
     """
     calendar = cut(fold_days(windows).withColumn("span", F.min("day").over(Window.partitionBy("first_fold", "seats"))))  # a row for each day
     asked = rows.select(F.col(date).alias("day"), label, *[c for c in features if c != label])
-    held = asked.join(F.broadcast(calendar.drop("seats")), "day").drop("day")
-    return cut(held.groupBy(*held.columns).agg(F.count("*").alias("n_alike"))), calendar.filter("seats is not null").select("span", "seats").distinct()
+    placed = asked.join(F.broadcast(calendar.drop("seats")), "day").drop("day")
+    return (held.cut if held else cut)(placed.groupBy(*placed.columns).agg(F.count("*").alias("n_alike"))), calendar.filter("seats is not null").select("span", "seats").distinct()
 
 
 def fit_folds(rows: DataFrame, features: list[str], label: str, folds: int, *, models: tuple[str, ...] = MODELS, alpha: float = 1.0, l1_alpha: float = 0.001, l1_ratio: float = 0.25, trees: int = 100, rate: float = 0.03, depth: int = 2, leaf: int = 5, bins: int = 64, least_train: int = 20, most_cells: int = 1_000_000, weight: str | None = None) -> tuple[list[dict], list[np.ndarray]]:
@@ -424,22 +425,171 @@ def predict_folds(rows: DataFrame, keys: list[str], features: list[str], label:
         fitted, edges = held.value
         for b in batches:
             x, fold = _matrix(b, [f"_x{k}" for k in range(len(features))]), b.column("fold").to_numpy()
-            code = coded(x, edges) if edges else None
             for f in np.unique(fold):
                 at = np.nonzero(fold == f)[0]
                 own, median = b.take(pa.array(at)), fitted[f]["medians"]
-                filled = np.where(np.isnan(x[at]), median, x[at])
                 for name, model in fitted[f]["models"].items():
-                    if name == "gradient_boosting":
-                        bins = _filled(code[at], coded(median[None, :], edges)[0])
-                        y = model[0] + sum((tree_values(bins, t) for t in model[1]), np.zeros(len(at)))
-                    else:
-                        y = filled @ model[0] + model[1]
+                    y = _predicted(model, name, x[at], median, edges)
                     yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), own.column("fold"), own.column("role"), pa.array([name] * len(at)), own.column("_y"), pa.array(y)], [*keys, "fold", "role", "model_name", "y_true", "y_pred"])
 
     return asked.mapInArrow(predict, f"{kinds}, fold int, role string, model_name string, y_true double, y_pred double")
 
 
+# Evaluation by sums of windows
+
+
+class _Codes:
+    """Numbers of the distinct rows of a matrix of finite numbers and nan."""
+
+    def __init__(self, x: np.ndarray):
+        self.values, self.pairs = [], []
+        code = np.zeros(len(x), np.int64)
+        for column in x.T:
+            self.values.append(np.unique(column[~np.isnan(column)]))
+            key = self._key(code, column, self.values[-1])
+            self.pairs.append(np.unique(key))
+            code = np.searchsorted(self.pairs[-1], key)
+        self.first = np.unique(code, return_index=True)[1]  # a row of x for each number
+
+    @staticmethod
+    def _key(code: np.ndarray, column: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return code * (len(values) + 1) + np.where(np.isnan(column), len(values), np.searchsorted(values, column))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        code = np.zeros(len(x), np.int64)
+        for column, values, pairs in zip(x.T, self.values, self.pairs, strict=True):
+            code = np.searchsorted(pairs, self._key(code, column, values))
+        return code
+
+
+def _predicted(model: tuple, name: str, x: np.ndarray, median: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    if name != "gradient_boosting":
+        return np.where(np.isnan(x), median, x) @ model[0] + model[1]
+    bins = _filled(coded(x, edges), coded(median[None, :], edges)[0])
+    return model[0] + sum((tree_values(bins, t) for t in model[1]), np.zeros(len(x)))
+
+
+def _deviations(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """(value less its mean, sum of squares, average rank less its mean, sum of squares) of values that stand for n rows each; 0 where n is 0."""
+    total = n.sum()
+    off = np.where(n > 0, value - (n @ value) / total, 0.0)
+    _, at = np.unique(value, return_inverse=True)
+    ties = np.bincount(at, weights=n)
+    ranks = np.where(n > 0, (np.cumsum(ties) - ties + (ties + 1) / 2)[at] - (total + 1) / 2, 0.0)
+    return off, float(n @ off**2), ranks, float(n @ ranks**2)
+
+
+def window_metrics(ready: DataFrame, seats: DataFrame, features: list[str], label: str, fitted: list[dict], edges: list[np.ndarray], *, most_numbers: int = 1 << 24, lines_a_range: int = 1 << 18) -> DataFrame:
+    """(fold, model_name, role, n_rows, rmse, mae, pearson, spearman) of every model on the windows that evaluate its fold; ready and seats: from ``alike``.
+
+    A prediction follows from the features, so its ranks in a window follow from how often the window holds each combination of them. Lines are dealt out once, by ranges of
+    the label; within a range every line's rank in each of its windows is counted, and only sums for each window leave the task. That holds while the predictions and
+    ranks of all combinations, for all windows and models, are at most most_numbers; beyond that lines meet a few folds at a time (``predict_folds``).
+    """
+    spark = ready.sparkSession
+    schema = "fold int, model_name string, role string, n_rows bigint, rmse double, mae double, pearson double, spearman double"
+    spans = sorted((r.span, [(s.fold, s.role) for s in r.seats if fitted[s.fold]["models"]]) for r in seats.collect())  # some dozen
+    windows = sorted({w for _, ws in spans for w in ws})
+    number = spark.createDataFrame([(d, k) for k, (d, ws) in enumerate(spans) if ws], "span date, sid int")
+    lines = ready.filter(F.col(label).isNotNull()).join(F.broadcast(number), "span").select("sid", F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)], F.col("n_alike").alias("n"))
+    held_by = {r.sid: r for r in lines.groupBy("sid").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_y")).alias("total"), F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect()}
+    if not held_by:
+        return spark.createDataFrame([], schema)
+    xs = [f"_x{k}" for k in range(len(features))]
+    models = sorted({m for f in fitted for m in f["models"]})
+    most = most_numbers // ((len(windows) + len(fitted)) * len(models))
+    kinds = lines.select(*xs).distinct().limit(most + 1).toPandas().to_numpy(float).reshape(-1, len(xs))
+    if len(kinds) > most:
+        return _by_folds(ready, seats, features, label, fitted, edges, {f: sum(held_by[k].n for k, (_, ws) in enumerate(spans) if k in held_by and any(f == g for g, _ in ws)) for f in {f for f, _ in windows}}, schema)
+    codes = _Codes(kinds)
+    kinds = kinds[codes.first]
+    hold = np.zeros((len(spans), len(windows)), bool)
+    for k, (_, ws) in enumerate(spans):
+        hold[k, [windows.index(w) for w in ws]] = True
+    n_lines = sum(r.lines for r in held_by.values())
+    ranges = max(1, -(-n_lines // lines_a_range))
+    cuts = lines.agg(F.percentile_approx("_y", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
+    cuts = np.unique(np.array(cuts or [], float))  # only the sizes of ranges depend on them
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = _matrix(b, ["_y"])[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, y, side="left").astype(np.int32)), b.column("sid"), pa.array(y), pa.array(codes.of(_matrix(b, xs)).astype(np.int32)), b.column("n")], ["range", "sid", "y", "kind", "n"])
+
+    dealt = lines.mapInArrow(deal, "range int, sid int, y double, kind int, n bigint")
+    by_kind, by_range = np.zeros((len(spans), len(kinds))), np.zeros((len(spans), len(cuts) + 1))
+    for r in dealt.groupBy("sid", "kind").agg(F.sum("n").alias("n")).toLocalIterator():
+        by_kind[r.sid, r.kind] = r.n
+    for r in dealt.groupBy("sid", "range").agg(F.sum("n").alias("n")).toLocalIterator():
+        by_range[r.sid, r.range] = r.n
+    in_window = hold.T @ by_range
+    size = in_window.sum(axis=1)
+    before = np.cumsum(in_window, axis=1) - in_window
+    own = [[held_by[k] for k in np.nonzero(hold[:, w])[0] if k in held_by] for w in range(len(windows))]
+    mean = np.array([sum(r.total for r in rs) / max(sum(r.n for r in rs), 1) for rs in own])
+    asked, about = [], []  # of each window and model: (window, predictions, their deviations and those of their ranks), sums of squares
+    for w, (f, _) in enumerate(windows):
+        n = hold[:, w] @ by_kind
+        for name, model in fitted[f]["models"].items() if size[w] else ():
+            p = _predicted(model, name, kinds, fitted[f]["medians"], edges)
+            off, pp, ranks, rpp = _deviations(p, n)
+            asked.append((w, p, off, ranks))
+            about.append((w, name, pp, rpp, np.ptp(p[n > 0]) > 0))
+    sent = spark.sparkContext.broadcast(asked)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        y, n, sid, kind = (table.column(c).to_numpy() for c in ("y", "n", "sid", "kind"))
+        order = np.argsort(y, kind="stable")
+        y, n, sid, kind = y[order], n[order].astype(float), sid[order], kind[order]
+        group, at, out = np.cumsum(np.append(0, y[1:] != y[:-1])), key[0].as_py(), []
+        last = -1
+        for k, (w, p, off, ranks) in enumerate(sent.value):
+            if w != last:
+                last, lines = w, np.nonzero(hold[:, w][sid])[0]
+                if len(lines):
+                    c, ys, g, kinds_of = n[lines], y[lines], group[lines], kind[lines]
+                    starts = np.nonzero(np.append(True, g[1:] != g[:-1]))[0]
+                    ties = np.add.reduceat(c, starts)
+                    r = before[w, at] + np.cumsum(ties) - ties + (ties + 1) / 2 - (size[w] + 1) / 2
+                    cr, cd = c * np.repeat(r, np.diff(np.append(starts, len(lines)))), c * (ys - mean[w])
+                    tt, rtt = cd @ (ys - mean[w]), ties @ r**2
+            if len(lines):
+                e = ys - p[kinds_of]
+                out.append((k, c @ e**2, c @ np.abs(e), tt, cd @ off[kinds_of], rtt, cr @ ranks[kinds_of]))
+        return pa.table([pa.array([r[j] for r in out], pa.int32() if j == 0 else pa.float64()) for j in range(7)], names=["k", *sums])
+
+    sums = ["se", "ae", "tt", "tp", "rtt", "rtp"]
+    parts = dealt.groupBy("range").applyInArrow(add, f"k int, {', '.join(f'{c} double' for c in sums)}")
+    rows = []
+    for r in parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in sums]).collect():  # a row for each window and model
+        w, name, pp, rpp, varied = about[r.k]
+        varied = varied and min(x.lo for x in own[w]) < max(x.hi for x in own[w])
+        share = lambda x, a, b: float(x / (a**0.5 * b**0.5)) if varied and a > 0 and b > 0 else None  # noqa: B023, E731
+        rows.append((windows[w][0], name, windows[w][1], int(size[w]), (r.se / size[w]) ** 0.5, r.ae / size[w], share(r.tp, r.tt, pp), share(r.rtp, r.rtt, rpp)))
+    sent.unpersist()
+    return spark.createDataFrame([(a, b, c, n, float(x), float(y), p, q) for a, b, c, n, x, y, p, q in rows], schema)
+
+
+def _by_folds(ready: DataFrame, seats: DataFrame, features: list[str], label: str, fitted: list[dict], edges: list[np.ndarray], sizes: dict[int, int], schema: str) -> DataFrame:
+    """``window_metrics`` by ranks of predictions as they are: so many folds at a time that their rows are about as many as all rows."""
+    spark, total, batches, filled = ready.sparkSession, ready.agg(F.sum("n_alike")).first()[0], [], 0
+    for f in sorted(sizes):
+        if not batches or filled + sizes[f] > total:
+            batches.append([])
+            filled = 0
+        batches[-1].append(f)
+        filled += sizes[f]
+    rows = []
+    for batch in batches:
+        some = seats.select("span", F.filter("seats", lambda s: s["fold"].isin(batch)).alias("seats")).filter("size(seats) > 0")  # noqa: B023
+        seen = predict_folds(ready.join(F.broadcast(some), "span"), ["n_alike"], features, label, fitted, edges)
+        found = market.fold_metrics(seen, ["fold", "model_name", "role"], "y_true", "y_pred", weight="n_alike")
+        rows += found.select("fold", "model_name", "role", F.col("n_rows").cast("bigint"), "rmse", "mae", "pearson", "spearman").collect()
+        del seen, found
+        release(spark)
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
 def fold_report(rows: DataFrame, keys: list[str], date: str, features: list[str], label: str, windows: DataFrame, *, models: tuple[str, ...] = MODELS, least_train: int = 20, least_eval: int = 1, roles: tuple[str, ...] = ("validation", "test"), **params) -> DataFrame:
     """(fold_id, model_name, role, status, notes, train_rows, n_rows, rmse, mae, pearson, spearman) of every fold, model and role.
 
@@ -448,13 +598,15 @@ def fold_report(rows: DataFrame, keys: list[str], date: str, features: list[str]
     """
     windows = cut(windows)
     named = [r.fold_id for r in windows.orderBy("test_start").select("fold_id").collect()]
-    ready, seats = alike(rows, date, features, label, windows)
+    held = Written(rows.sparkSession)
+    ready, seats = alike(rows, date, features, label, windows, held=held)
+    release(rows.sparkSession)  # the shuffle that wrote them
     fitted, edges = fit_folds(ready, features, label, len(named), models=models, least_train=least_train, weight="n_alike", **params)
-    seated = ready.join(F.broadcast(seats), "span")
-    seen = predict_folds(seated, ["n_alike"], features, label, fitted, edges)
-    metrics = market.fold_metrics(seen, ["fold", "model_name", "role"], "y_true", "y_pred", weight="n_alike")
-    counts = ready.filter(F.col(label).isNotNull()).groupBy("span").agg(F.sum("n_alike").alias("n")).join(F.broadcast(seats), "span").select("n", F.explode("seats").alias("s")).groupBy("s.fold", "s.role").agg(F.sum("n").alias("labelled"))
+    metrics = window_metrics(ready, seats, features, label, fitted, edges)
+    counts = ready.filter(F.col(label).isNotNull()).groupBy("span").agg(F.sum("n_alike").alias("n")).join(F.broadcast(seats), "span").select("n", F.explode("seats").alias("s")).groupBy("s.fold", "s.role").agg(F.sum("n").alias("labelled")).collect()  # a row for each window
+    held.drop_all()
     spark = rows.sparkSession
+    counts = spark.createDataFrame([tuple(r) for r in counts], "fold int, role string, labelled bigint")
     every = spark.createDataFrame([(f, named[f], m, role, fitted[f]["train_rows"]) for f in range(len(named)) for m in models for role in roles], "fold int, fold_id string, model_name string, role string, train_rows bigint")
     joined = every.join(counts, ["fold", "role"], "left").join(metrics, ["fold", "model_name", "role"], "left")
     n = F.coalesce(F.col("labelled"), F.lit(0))
