@@ -79,3 +79,26 @@ def test_folds_are_measured_without_a_row_for_each_window(spark, monkeypatch):
     asked.clear()
     folds.fold_report(rows, ["k"], "day", ["a", "b"], "y", windows, models=("ridge",))
     assert not asked
+
+
+def test_a_rule_of_words_counts_like_its_table_and_deals_no_tokens(spark):
+    df = spark.createDataFrame([(1, "Gain loss, gain\nand more"), (2, None), (3, ""), (3, "loss LOSS x")], "k int, t string")
+    table = spark.createDataFrame([("GAIN", "positive"), ("LOSS", "negative")], "word string, category string")
+    rule = lambda w: F.when(w == "GAIN", "positive").when(w == "LOSS", "negative")
+    want, got = (texts.dictionary_counts(df, "t", x, ["k"]) for x in (table, rule))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        stories.mismatch_components(spark, "/root/testdata/sf0.001").explain("simple")
+    assert "hashpartitioning(word" not in out.getvalue()
+
+
+def test_only_orders_with_a_document_are_measured(spark):
+    keys = spark.createDataFrame([(1,), (2,), (10**12,)], "o_orderkey long")
+    d = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, stories._changes(spark, d, keys).collect()))
+    assert 0 < len(got) < 3 and got == sorted(map(tuple, stories._changes(spark, d).filter("o_orderkey in (1, 2)").collect()))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        stories.mismatch_components(spark, d).explain("simple")
+    assert out.getvalue().count("LeftSemi") >= 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,21 +46,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("[A-Z]+"), 0)
 
 
-def dictionary_counts(df: DataFrame, text: str, lexicon: DataFrame, keep: list[str], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+#: A table of (word, category), or a rule: the category of a word, null for none.
+Lexicon = DataFrame | Callable[[Column], Column]
+
+
+def dictionary_counts(df: DataFrame, text: str, lexicon: Lexicon, keep: list[str], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """(keep..., lm_token_count, <category>_count...), one row for each row of df, rows that are alike included.
 
     lexicon: (word, category); a word may have several categories, and repeats count once. Each token asks a hash table of the
     lexicon, so the cost doesn't grow with its words; Spark sends the table to all tasks while it is under the broadcast limit of the session, and else deals
-    tokens and lexicon out by word. A row's tokens are added up in the task that split them.
+    tokens and lexicon out by word. A row's tokens are added up in the task that split them. A rule is asked for each token where it stands: no token is joined or dealt out.
     """
-    members = lexicon.groupBy("word").agg(*[F.max((F.col("category") == k).cast("int")).alias(f"_{k}") for k in categories])
     numbered = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    each = numbered.select(*keep, "_row", F.explode_outer(tokens(F.col("_text"))).alias("word")).join(members, "word", "left")
+    each = numbered.select(*keep, "_row", F.explode_outer(tokens(F.col("_text"))).alias("word"))
+    if callable(lexicon):
+        each = each.withColumn("_mark", lexicon(F.col("word"))).withColumns({f"_{k}": (F.col("_mark") == k).cast("int") for k in categories})
+    else:
+        members = lexicon.groupBy("word").agg(*[F.max((F.col("category") == k).cast("int")).alias(f"_{k}") for k in categories])
+        each = each.join(members, "word", "left")
     counts = [F.coalesce(F.sum(f"_{k}"), F.lit(0)).cast("int").alias(f"{k}_count") for k in categories]
     return each.groupBy("_row", *keep).agg(F.count("word").cast("int").alias("lm_token_count"), *counts).drop("_row")
 
 
-def lexicon_features(df: DataFrame, text: str, lexicon: DataFrame, prefix: str, keep: list[str], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+def lexicon_features(df: DataFrame, text: str, lexicon: Lexicon, prefix: str, keep: list[str], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """keep and the lexicon features of a text: counts, shares, net tone, balance, modal total; an empty or null text gets zeros."""
     counted = dictionary_counts(df, text, lexicon, keep, categories)
     n, count = F.col("lm_token_count"), {k: F.col(f"{k}_count") for k in categories}
@@ -73,11 +83,11 @@ def lexicon_features(df: DataFrame, text: str, lexicon: DataFrame, prefix: str,
     return counted.select(*keep, *[c.alias(f"{prefix}{k}") for k, c in out.items()])
 
 
-def text_features(full: DataFrame, sections: DataFrame, lexicon: DataFrame, *, key: str = "accession_lineage_key", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+def text_features(full: DataFrame, sections: DataFrame, lexicon: Lexicon, *, key: str = "accession_lineage_key", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """One row of each document: features of the full text and of its three sections; a missing section is RED with zeros.
 
     full: (key, clean_text, parse_quality_flag, ...); sections: (key, section_name, section_text, section_quality_flag,
-    section_word_count), at most one of each name for a document. lexicon: (word, category). Sections are counted in one pass.
+    section_word_count), at most one of each name for a document. lexicon: (word, category), or a rule. Sections are counted in one pass.
     """
     keep = [c for c in full.columns if c != "clean_text"]
     out = lexicon_features(full, "clean_text", lexicon, "full_", keep, categories)
