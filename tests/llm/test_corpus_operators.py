@@ -267,6 +267,15 @@ def test_licences_are_confirmed_by_templates(spark, licence_texts):
     assert all(k >= n - 4 for k, _ in found)
 
 
+def test_every_line_trains_the_licence_model(spark, monkeypatch):
+    seen, fit = [], licenses.NaiveBayes.fit
+    monkeypatch.setattr(licenses.NaiveBayes, "fit", lambda self, rows: seen.append(rows.filter(F.col("label") < licenses.PARTS).count()) or fit(self, rows))
+    texts = ["\n".join(f"word{k} and line {i} of many" for i in range(500)) for k in range(60)] + ["Released under the MIT License.\nno such thing"]
+    found = licenses.scan(frame(spark, texts)).collect()
+    assert seen == [60 * 500 + 2 + licenses.PARTS]  # the last text stands twice; an empty line for each part
+    assert [(r.doc_id, r.paragraph, r.family) for r in found] == [(60, 0, "MIT")] * 2
+
+
 def test_pipeline_keeps_columns_and_applies_its_decisions(spark):
     import corpus_pipeline as P
 
